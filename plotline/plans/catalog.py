@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline import constants as K
-from plotline.functions.dates import parse_mm_yyyy
 from plotline.functions.numeric import price_per_m2, radius_bucket
 from plotline.functions.text import canonical_contains_ci, contains_arabic
 from plotline.operators import features as FE
@@ -744,5 +743,86 @@ def q_scan_json_props(spark, d):
     return ev.select("event_id", "event_type", F.from_json("props", "k int")["k"].alias("k"))
 
 
-def _unused():  # keep linters quiet about helpers used only by some builds
-    return parse_mm_yyyy
+# ============================ models (rows-only checks) ===========================
+# Model outputs depend on the tree learner, so these have no oracle SQL; the
+# features and metrics feeding them are oracle-checked above.
+
+SMALL_GBT = {"maxIter": 20}
+
+
+def _forecast_model(spark, d):
+    from plotline.operators import models as M
+    tr = V.transactions(Tables(spark, d))
+    feats = FE.forecast_features(tr, post_year=POST_YEAR)
+    return tr, M.fit_forecast(feats, SPLIT_DATE, POST_YEAR, SMALL_GBT)
+
+
+@query("forecast_city")
+def q_forecast_city(spark, d):
+    from plotline.operators import models as M
+    tr, (model, _) = _forecast_model(spark, d)
+    return M.forecast_report(tr, model, POST_YEAR)
+
+
+@query("forecast_monthly")
+def q_forecast_monthly(spark, d):
+    from plotline.operators import models as M
+    tr, (model, _) = _forecast_model(spark, d)
+    return M.forecast_cities(tr, model, post_year=POST_YEAR)
+
+
+@query("forecast_validation_metrics")
+def q_forecast_validation_metrics(spark, d):
+    _, (_, metrics) = _forecast_model(spark, d)
+    return metrics
+
+
+def _price_model(spark, d):
+    from plotline.operators import models as M
+    feats = FE.price_features(_props(spark, d), PRICE_TYPE, RARE_MIN)
+    return feats, M.fit_price(feats, gbt_params=SMALL_GBT)
+
+
+@query("price_model_metrics")
+def q_price_model_metrics(spark, d):
+    _, (_, metrics) = _price_model(spark, d)
+    return metrics
+
+
+@query("estimate_price")
+def q_estimate_price(spark, d):
+    from plotline.operators import models as M
+    _, (model, _) = _price_model(spark, d)
+    req = _props(spark, d).where(F.col("type") == PRICE_TYPE).select(
+        "listing_id", "province", "district", "city", "size_m2", "bedrooms", "bathrooms", "latitude", "longitude")
+    return M.estimate_price(model, req)
+
+
+@query("feature_importance")
+def q_feature_importance(spark, d):
+    from plotline.operators import models as M
+    feats, (model, _) = _price_model(spark, d)
+    return M.feature_importance(model, feats)
+
+
+@query("predict_property")
+def q_predict_property(spark, d):
+    from plotline.operators import models as M
+    props = _props(spark, d)
+    pipe = M.label_encoded_pipeline(["city", "district", "province", "type"],
+                                    ["size_m2", "bedrooms", "bathrooms"], "price", SMALL_GBT)
+    train = props.where(F.col("price").isNotNull())
+    return pipe.fit(train).transform(props).select(
+        "listing_id", "city", "district", "type", F.col("prediction").alias("predicted_price"))
+
+
+@query("predict_transaction")
+def q_predict_transaction(spark, d):
+    from plotline.operators import models as M
+    tr = V.transactions(Tables(spark, d)).select(
+        "city", F.year("month").alias("year"), F.month("month").alias("month"),
+        F.col("transaction_number").cast("double").alias("transaction_number"), "transaction_value")
+    pipe = M.label_encoded_pipeline(["city"], ["year", "month", "transaction_number"],
+                                    "transaction_value", SMALL_GBT)
+    return pipe.fit(tr).transform(tr).select(
+        "city", "year", "month", F.col("prediction").alias("predicted_value"))
