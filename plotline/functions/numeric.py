@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["price_per_m2", "price_per_m2_raw", "safe_ratio", "zero_to_null", "null_to_zero",
+__all__ = ["round_to", "price_per_m2", "price_per_m2_raw", "safe_ratio", "zero_to_null", "null_to_zero",
            "truncate_int", "round_hundreds", "round_half_up", "pct_change",
            "annual_to_monthly_rate", "trend_direction", "radius_bucket", "uniform_noise"]
 
@@ -16,9 +16,19 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def round_to(x, digits: int) -> Column:
+    """Round a double to ``digits`` decimals, half away from zero, on its binary value
+    (``x * 10^d`` then nearest integer), as browser ``toFixed`` and C ``round`` do.
+    Spark's ``round`` instead rounds the shortest decimal text, so 5116.235 (stored as
+    5116.23499...) would become 5116.24."""
+    scale = float(10 ** digits)
+    v = _c(x).cast("double")
+    return F.signum(v) * F.floor(F.abs(v) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
 def price_per_m2(price, size) -> Column:
     """Chart form: 2 decimals, 0 when the size is missing or not positive."""
-    return F.when(_c(size) > 0, F.round(_c(price) / _c(size), 2)).otherwise(F.lit(0.0))
+    return F.when(_c(size) > 0, round_to(_c(price) / _c(size), 2)).otherwise(F.lit(0.0))
 
 
 def price_per_m2_raw(price, size) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plotline import constants as K
 from plotline.functions.dates import calendar_flags, cyclic_month
-from plotline.functions.numeric import safe_ratio, zero_to_null
+from plotline.functions.numeric import round_to, safe_ratio, zero_to_null
 from plotline.operators.quantiles import exact_quantiles
 from plotline.operators.series import time_index_global, time_index_series
 
@@ -105,7 +105,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> D
     mirrored = half.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
     diag = half.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "col_a string, col_b string, r double")
     return (half.unionByName(mirrored).unionByName(diag)
-            .select("col_a", "col_b", F.round("r", digits).alias("r")))
+            .select("col_a", "col_b", round_to("r", digits).alias("r")))
 
 
 def regression_metrics(pred: DataFrame, y: str = "y", yhat: str = "y_hat") -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotline.functions.numeric import round_to
 from plotline.operators.quantiles import exact_quantiles
 
 
@@ -58,12 +59,12 @@ def market_comparison(df: DataFrame, districts: Sequence[str], key: str = "distr
                          "median_size_m2": (size, 0.5), "price_p10": (price, 0.1),
                          "price_p90": (price, 0.9), "median_bedrooms": (bedrooms, 0.5)},
         extra_aggs=[F.count(F.lit(1)).alias("number_of_listings")])
-    return res.select(key, *[F.round(c, 4).alias(c) for c in
+    return res.select(key, *[round_to(c, 4).alias(c) for c in
                              ("median_price", "median_sqm_price", "median_size_m2")],
                       F.col("number_of_listings").cast("bigint").alias("number_of_listings"),
-                      F.round("price_p10", 4).alias("price_p10"),
-                      F.round("price_p90", 4).alias("price_p90"),
-                      F.round("median_bedrooms", 4).alias("median_bedrooms"))
+                      round_to("price_p10", 4).alias("price_p10"),
+                      round_to("price_p90", 4).alias("price_p90"),
+                      round_to("median_bedrooms", 4).alias("median_bedrooms"))
 
 
 def _top_by(df: DataFrame, what: str, by: str, largest: bool) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions.dates import month_spine
-from plotline.functions.numeric import annual_to_monthly_rate, pct_change, trend_direction
+from plotline.functions.numeric import (annual_to_monthly_rate, pct_change, round_to,
+                                        trend_direction)
 from plotline.operators.quantiles import exact_quantiles
 
 
@@ -66,7 +67,7 @@ def city_price_trend(medians: DataFrame, y0: int, y1: int, coords: DataFrame,
     return (medians.dropna(subset=[a, b])
             .join(c, F.trim(F.col("city")) == F.col("_k"), "inner")
             .select("city", trend_direction(pct, band).alias("direction"),
-                    F.round(pct, 2).alias("change_percent"),
+                    round_to(pct, 2).alias("change_percent"),
                     F.col(b).alias("current_price"), "latitude", "longitude"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline import constants as K
-from plotline.functions.numeric import price_per_m2, radius_bucket
+from plotline.functions.numeric import price_per_m2, radius_bucket, round_to
 from plotline.functions.text import canonical_contains_ci, contains_arabic
 from plotline.operators import features as FE
 from plotline.operators import listings as L
@@ -462,7 +462,7 @@ _MED_SQL = (f"SELECT city, " + ", ".join(
 def q_median_by_city_year(spark, d):
     m = S.medians_by_city_year(V.transactions(Tables(spark, d)), "city", "month", "transaction_value",
                                list(TREND_YEARS))
-    return m.select("city", *[F.round(f"median_price_{y}", 4).alias(f"median_price_{y}") for y in TREND_YEARS])
+    return m.select("city", *[round_to(f"median_price_{y}", 4).alias(f"median_price_{y}") for y in TREND_YEARS])
 
 
 @query("city_price_trend", with_views("transactions", "coords") + f"""
@@ -477,7 +477,7 @@ def q_city_price_trend(spark, d):
     t = Tables(spark, d)
     m = S.medians_by_city_year(V.transactions(t), "city", "month", "transaction_value", list(TREND_YEARS))
     out = S.city_price_trend(m, TREND_YEARS[0], TREND_YEARS[1], V.coords(t).withColumnRenamed("district", "city"))
-    return out.withColumn("current_price", F.round("current_price", 4))
+    return out.withColumn("current_price", round_to("current_price", 4))
 
 
 _SCEN_SQL = with_views("transactions") + ", " + V.rates_sql() + f"""
@@ -504,7 +504,7 @@ def _projection(spark, d):
 @query("scenario_projection", _SCEN_SQL +
        "SELECT city, date, scenario, round(transaction_value, 4) AS transaction_value FROM proj")
 def q_scenario_projection(spark, d):
-    return _projection(spark, d).withColumn("transaction_value", F.round("transaction_value", 4))
+    return _projection(spark, d).withColumn("transaction_value", round_to("transaction_value", 4))
 
 
 @query("pivot_scenarios", _SCEN_SQL + """
@@ -515,7 +515,7 @@ SELECT city, date,
 FROM proj GROUP BY city, date""")
 def q_pivot_scenarios(spark, d):
     p = S.pivot_scenarios(_projection(spark, d))
-    return p.select("city", "date", *[F.round(c, 4).alias(c) for c in ("baseline", "boom", "crash")])
+    return p.select("city", "date", *[round_to(c, 4).alias(c) for c in ("baseline", "boom", "crash")])
 
 
 @query("future_spine", with_views("transactions") + f"""
@@ -545,14 +545,14 @@ def q_time_index_global(spark, d):
        "FROM transactions GROUP BY 1")
 def q_mean_by_month(spark, d):
     m = S.mean_by_month(V.transactions(Tables(spark, d)), "transaction_value")
-    return m.select("month", F.round("monthly_avg", 4).alias("monthly_avg"))
+    return m.select("month", round_to("monthly_avg", 4).alias("monthly_avg"))
 
 
 @query("mean_by_city", with_views("transactions") +
        "SELECT city, round(avg(transaction_value), 4) AS city_avg FROM transactions GROUP BY city")
 def q_mean_by_city(spark, d):
     return (V.transactions(Tables(spark, d)).groupBy("city")
-            .agg(F.round(F.avg("transaction_value"), 4).alias("city_avg")))
+            .agg(round_to(F.avg("transaction_value"), 4).alias("city_avg")))
 
 
 @query("distinct_cities", with_views("transactions") + "SELECT DISTINCT city FROM transactions")
@@ -594,8 +594,8 @@ FROM f"""
 @query("forecast_features", with_views("transactions") + _FF_SQL)
 def q_forecast_features(spark, d):
     f = FE.forecast_features(V.transactions(Tables(spark, d)), post_year=POST_YEAR)
-    return f.withColumns({"month_sin": F.round("month_sin", 6), "month_cos": F.round("month_cos", 6),
-                          "monthly_avg": F.round("monthly_avg", 4), "city_avg": F.round("city_avg", 4)})
+    return f.withColumns({"month_sin": round_to("month_sin", 6), "month_cos": round_to("month_cos", 6),
+                          "monthly_avg": round_to("monthly_avg", 4), "city_avg": round_to("city_avg", 4)})
 
 
 @query("forecast_baseline_metrics", with_views("transactions") + f"""
@@ -615,7 +615,7 @@ def q_forecast_baseline_metrics(spark, d):
             .withColumn("_m", F.month("month")).join(train, ["city", "_m"])
             .select(F.col("transaction_value").alias("y"), "y_hat"))
     m = FE.regression_metrics(test)
-    return m.select(*[F.round(c, 4).alias(c) for c in m.columns])
+    return m.select(*[round_to(c, 4).alias(c) for c in m.columns])
 
 
 _PRICE_FEAT_SQL = with_views("listing", "coords") + _PROPS_SQL + f"""
@@ -640,9 +640,9 @@ FROM b JOIN g USING (district)""")
 def q_price_features(spark, d):
     f = FE.price_features(_props(spark, d), PRICE_TYPE, RARE_MIN)
     r6 = ["log_size_m2", "log_price"]
-    return f.withColumns({**{c: F.round(c, 6) for c in r6},
-                          "avg_price_in_district": F.round("avg_price_in_district", 4),
-                          "avg_size_in_district": F.round("avg_size_in_district", 4)})
+    return f.withColumns({**{c: round_to(c, 6) for c in r6},
+                          "avg_price_in_district": round_to("avg_price_in_district", 4),
+                          "avg_size_in_district": round_to("avg_size_in_district", 4)})
 
 
 @query("rare_districts", _PRICE_FEAT_SQL +
