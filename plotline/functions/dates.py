@@ -16,8 +16,10 @@ def _c(x) -> Column:
 
 
 def parse_yy_mon(x) -> Column:
-    """``"11-Jan"`` -> 2011-01-01."""
-    return F.to_date(_c(x), "yy-MMM")
+    """``"11-Jan"`` -> 2011-01-01.  Two-digit years pivot like C/pandas ``%y``:
+    69-99 -> 1969-1999, 00-68 -> 2000-2068 (Spark alone would read 99 as 2099)."""
+    d = F.to_date(_c(x), "yy-MMM")
+    return F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
 
 
 def parse_mm_yyyy(x) -> Column:

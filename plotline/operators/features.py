@@ -16,15 +16,18 @@ from pyspark.sql import functions as F
 from plotline import constants as K
 from plotline.functions.dates import calendar_flags, cyclic_month
 from plotline.functions.numeric import round_to, safe_ratio, zero_to_null
+from plotline.operators.joins import join_groups
 from plotline.operators.quantiles import exact_quantiles
 from plotline.operators.series import time_index_global, time_index_series
 
 
-def attach_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
-    """Add per-group aggregates to every row (pandas ``groupby().transform``)."""
+def attach_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
+                       broadcast_groups: bool = False) -> DataFrame:
+    """Add per-group aggregates to every row (pandas ``groupby().transform``): a
+    partial-aggregated ``groupBy`` joined back skew-safely (see ``joins``)."""
     keys = list(keys)
     stats = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    return df.join(stats, keys, "left") if keys else df.crossJoin(F.broadcast(stats))
+    return join_groups(df, stats, keys, "left", broadcast=broadcast_groups)
 
 
 def forecast_features(series: DataFrame, city: str = "city", date: str = "month",

@@ -16,6 +16,9 @@ key holding a third of a 100 TB table that task has to hold billions of values.
 3. a running count over the few surviving values per group finds the values at
    ranks floor((n-1)p) and ceil((n-1)p) and interpolates.
 
+The per-group statistics have a single consumer (the row join), so the input is
+scanned exactly twice and nothing is joined back at the end.
+
 Only ``max(accuracy, ~8n/accuracy)`` values of a group ever meet in one task.  Extra
 partial-aggregable statistics (avg, min, max, count) ride along in pass 1, and
 several value columns share both passes, so a market rollup is two scans and no
@@ -29,19 +32,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotline.operators.joins import DEFAULT_SALT, join_groups
+
 DEFAULT_ACCURACY = 50_000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column | None = None,
                     probs: dict[str, float] | None = None, extra_aggs: Sequence[Column] = (),
                     accuracy: int = DEFAULT_ACCURACY,
-                    specs: dict[str, tuple[str | Column, float]] | None = None) -> DataFrame:
+                    specs: dict[str, tuple[str | Column, float]] | None = None,
+                    broadcast_groups: bool = False, salt: int = DEFAULT_SALT) -> DataFrame:
     """Per group of ``keys``: exact quantiles as named columns.
 
     Either ``value`` + ``probs={name: p}`` or ``specs={name: (value_col, p)}``.
     NULL values are ignored (pandas/SQL semantics).  ``extra_aggs`` are computed
     over the group's rows of ``df`` in the first pass (they may reference any
     column of ``df``).  A group whose values are all NULL gets NULL quantiles.
+    ``broadcast_groups``: the number of groups has a proven small bound, so the
+    per-group bounds are broadcast; otherwise the join is salted (see ``joins``).
     """
     keys = list(keys)
     if specs is None:
@@ -86,54 +94,66 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column | No
         lo = F.col(f"_min{j}") if lo_p <= 0.0 else F.col(f"_b{j}")[k]
         hi = F.col(f"_max{j}") if hi_p >= 1.0 else F.col(f"_b{j}")[k + 1]
         bound_cols += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    bnd = stats.select(*keys, *bound_cols, *[F.col(f"_n{j}") for j in range(len(vexprs))])
+    internal = {f"{p}{j}" for j in range(len(vexprs)) for p in ("_n", "_min", "_max", "_b")}
+    extra = [c for c in stats.columns if c not in internal and c not in keys]
+    ncols = [f"_n{j}" for j in range(len(vexprs))]
+    # ``stats`` has this single consumer, so pass 1 runs once; the extra aggregates
+    # and counts travel with the rows instead of being joined back at the end.
+    bnd = stats.select(*keys, *bound_cols, *ncols, *extra)
 
     slim = base.select(*keys, *[f"_v{j}" for j in range(len(vexprs))])
-    joined = slim.join(bnd, keys, "inner") if keys else slim.crossJoin(F.broadcast(bnd))
+    joined = join_groups(slim, bnd, keys, "inner", broadcast=broadcast_groups, salt=salt,
+                         salt_cols=[f"_v{j}" for j in range(len(vexprs))])
+
     # Each row contributes to each quantile either a "below" marker (NULL value) or
     # its own value when it lies between the bounds; NULL values contribute nothing.
     # A group of at most ``accuracy`` values keeps them all (bounded); a larger one has
     # a window of >= 3 ranks on each side of the target beyond the sketch error.
+    # A group with no value at all emits one marker (pi = -1) so it is not lost.
     def small(i):
         return F.col(f"_n{spec_v[i]}") <= F.lit(int(accuracy))
 
-    emit = F.array_compact(F.array(*[
-        F.when(~small(i) & (F.col(f"_v{spec_v[i]}") < F.col(f"_lo{i}")),
-               F.struct(F.lit(i).alias("pi"), F.lit(None).cast("double").alias("v")))
-         .when(F.col(f"_v{spec_v[i]}").isNotNull() & (small(i) | (F.col(f"_v{spec_v[i]}") <= F.col(f"_hi{i}"))),
-               F.struct(F.lit(i).alias("pi"), F.col(f"_v{spec_v[i]}").alias("v")))
-        for i in range(len(names))]))
-    cand = (joined.select(*keys, F.explode(emit).alias("_e"))
-            .select(*keys, F.col("_e.pi").alias("_pi"), F.col("_e.v").alias("_v"))
-            .groupBy(*keys, "_pi", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    def v(i):
+        return F.col(f"_v{spec_v[i]}")
+
+    all_empty = None
+    for c in ncols:
+        e = F.col(c) == 0
+        all_empty = e if all_empty is None else all_empty & e
+    emit = F.array_compact(F.array(
+        *[F.when(~small(i) & (v(i) < F.col(f"_lo{i}")),
+                 F.struct(F.lit(i).alias("pi"), F.lit(None).cast("double").alias("v")))
+           .when(v(i).isNotNull() & (small(i) | (v(i) <= F.col(f"_hi{i}"))),
+                 F.struct(F.lit(i).alias("pi"), v(i).alias("v")))
+          for i in range(len(names))],
+        F.when(all_empty, F.struct(F.lit(-1).alias("pi"), F.lit(None).cast("double").alias("v")))))
+    n_of_pi = None
+    for i in range(len(names)):
+        n_of_pi = (F.when(F.col("_e.pi") == i, F.col(f"_n{spec_v[i]}")) if n_of_pi is None
+                   else n_of_pi.when(F.col("_e.pi") == i, F.col(f"_n{spec_v[i]}")))
+    p_of_pi = None
+    for i, n in enumerate(names):
+        p_of_pi = (F.when(F.col("_pi") == i, F.lit(float(specs[n][1]))) if p_of_pi is None
+                   else p_of_pi.when(F.col("_pi") == i, F.lit(float(specs[n][1]))))
+    carried = [F.any_value(c).alias(c) for c in extra]
+    cand = (joined.select(*keys, *extra, F.explode(emit).alias("_e"),
+                          n_of_pi.alias("_n"))
+            .select(*keys, *extra, "_n", F.col("_e.pi").alias("_pi"), F.col("_e.v").alias("_v"))
+            .groupBy(*keys, "_pi", "_v")
+            .agg(F.count(F.lit(1)).alias("_c"), F.any_value("_n").alias("_n"), *carried))
     w = (Window.partitionBy(*keys, "_pi").orderBy(F.col("_v").asc_nulls_first())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cand = cand.withColumn("_cum", F.sum("_c").over(w)).withColumn("_prev", F.col("_cum") - F.col("_c"))
-
-    # Target ranks per (group, spec).
-    tgt_rows = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pi"),
-                 ((F.col(f"_n{spec_v[i]}") - 1).cast("double") * F.lit(float(specs[n][1])))
-                 .alias("h"))
-        for i, n in enumerate(names)]))
-    targets = (stats.select(*keys, tgt_rows.alias("_t"))
-               .select(*keys, F.col("_t.pi").alias("_pi"), F.col("_t.h").alias("_h"))
-               .where(F.col("_h") >= 0)
-               .withColumn("_rlo", F.floor("_h")).withColumn("_rhi", F.ceil("_h"))
-               .withColumn("_frac", F.col("_h") - F.col("_rlo")))
-    picked = (cand.where(F.col("_v").isNotNull()).join(targets, keys + ["_pi"], "inner")
-              .groupBy(*keys, "_pi")
-              .agg(F.max(F.when((F.col("_prev") <= F.col("_rlo")) & (F.col("_rlo") < F.col("_cum")),
-                                F.col("_v"))).alias("_vlo"),
-                   F.max(F.when((F.col("_prev") <= F.col("_rhi")) & (F.col("_rhi") < F.col("_cum")),
-                                F.col("_v"))).alias("_vhi"),
-                   F.max("_frac").alias("_frac")))
+    h = (F.col("_n") - 1).cast("double") * p_of_pi
+    cand = (cand.withColumn("_cum", F.sum("_c").over(w))
+            .withColumn("_prev", F.col("_cum") - F.col("_c"))
+            .withColumn("_rlo", F.floor(h)).withColumn("_rhi", F.ceil(h))
+            .withColumn("_frac", h - F.floor(h)))
+    at_lo = (F.col("_prev") <= F.col("_rlo")) & (F.col("_rlo") < F.col("_cum")) & F.col("_v").isNotNull()
+    at_hi = (F.col("_prev") <= F.col("_rhi")) & (F.col("_rhi") < F.col("_cum")) & F.col("_v").isNotNull()
+    picked = (cand.groupBy(*keys, "_pi")
+              .agg(F.max(F.when(at_lo, F.col("_v"))).alias("_vlo"),
+                   F.max(F.when(at_hi, F.col("_v"))).alias("_vhi"),
+                   F.max("_frac").alias("_frac"), *carried))
     q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
-    pivots = [F.max(F.when(F.col("_pi") == i, q)).alias(n) for i, n in enumerate(names)]
-    wide = picked.groupBy(*keys).agg(*pivots) if keys else picked.agg(*pivots)
-
-    internal = {f"{p}{j}" for j in range(len(vexprs)) for p in ("_n", "_min", "_max", "_b")}
-    out_cols = [c for c in stats.columns if c not in internal]
-    if not keys:
-        return stats.select(*out_cols).crossJoin(wide)
-    return stats.select(*out_cols).join(wide, keys, "left")
+    outs = [*carried, *[F.max(F.when(F.col("_pi") == i, q)).alias(n) for i, n in enumerate(names)]]
+    return picked.groupBy(*keys).agg(*outs) if keys else picked.agg(*outs)

@@ -18,16 +18,17 @@ from plotline.operators.quantiles import exact_quantiles
 
 
 def market_stats(df: DataFrame, key: str, value: str = "price", prefix: str = "price",
-                 out_key: str | None = None) -> DataFrame:
+                 out_key: str | None = None, bounded_keys: bool = False) -> DataFrame:
     """avg / median / max / min / count of ``value`` per ``key`` as truncated BIGINTs.
 
     Pandas group-by semantics: NULL keys dropped, the count counts non-NULL values,
     the median interpolates; rows sorted by key.  A key whose values are all NULL
-    gets NULL stats and count 0.
+    gets NULL stats and count 0.  ``bounded_keys``: the key comes from a fixed-size
+    dimension, so per-key statistics may be broadcast.
     """
     d = df.where(F.col(key).isNotNull())
     res = exact_quantiles(
-        d, [key], value, {"_med": 0.5},
+        d, [key], value, {"_med": 0.5}, broadcast_groups=bounded_keys,
         extra_aggs=[F.avg(value).alias("_avg"), F.max(value).alias("_mx"),
                     F.min(value).alias("_mn"), F.count(value).alias("_cnt")])
     return (res.select(F.col(key).alias(out_key or key),
@@ -50,6 +51,7 @@ def attach_coords(df: DataFrame, coords: DataFrame, key: str = "district",
 def market_comparison(df: DataFrame, districts: Sequence[str], key: str = "district",
                       price: str = "price", size: str = "size_m2",
                       bedrooms: str = "bedrooms") -> DataFrame:
+    # The requested list bounds the groups (2-5 districts), so stats are broadcast.
     """Per requested district: median price, median price/m², median size, listing
     count, 10th/90th price percentile, median bedrooms (all exact)."""
     d = df.where(F.col(key).isin(list(districts)))
@@ -58,7 +60,7 @@ def market_comparison(df: DataFrame, districts: Sequence[str], key: str = "distr
         d, [key], specs={"median_price": (price, 0.5), "median_sqm_price": (sqm, 0.5),
                          "median_size_m2": (size, 0.5), "price_p10": (price, 0.1),
                          "price_p90": (price, 0.9), "median_bedrooms": (bedrooms, 0.5)},
-        extra_aggs=[F.count(F.lit(1)).alias("number_of_listings")])
+        extra_aggs=[F.count(F.lit(1)).alias("number_of_listings")], broadcast_groups=True)
     return res.select(key, *[round_to(c, 4).alias(c) for c in
                              ("median_price", "median_sqm_price", "median_size_m2")],
                       F.col("number_of_listings").cast("bigint").alias("number_of_listings"),

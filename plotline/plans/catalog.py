@@ -40,6 +40,10 @@ def query(name: str, sql: str | None = None):
 
 
 # Parameters for the driver tables -------------------------------------------------
+# Rollups keyed by province (region, 5 rows) or district (nation, 25 rows; or a
+# fixed list of names) pass ``bounded_keys=True``: their per-key statistics are
+# broadcast.  City (supplier) and free-text keys grow with the data and use the
+# salted join.
 PROVINCES = V.REGIONS
 DISTRICTS = [f"NATION_{i}" for i in range(23)]          # NATION_23/24 are not valid districts
 COMPARE = ["NATION_1", "NATION_7", "NATION_13", "NATION_22"]
@@ -74,7 +78,7 @@ def _listing(spark, d, with_part=True):
 
 
 def district_rollup(spark, d) -> DataFrame:
-    return R.market_stats(_listing(spark, d, False), "district")
+    return R.market_stats(_listing(spark, d, False), "district", bounded_keys=True)
 
 
 # Parsed-text CTEs (oracle side) ----------------------------------------------------
@@ -121,7 +125,7 @@ def _night_case(col: str = "Address") -> str:
 
 @query("rollup_price_by_province", with_views("listing") + _stats_sql("listing", "province"))
 def q_rollup_price_by_province(spark, d):
-    return R.market_stats(_listing(spark, d, False), "province")
+    return R.market_stats(_listing(spark, d, False), "province", bounded_keys=True)
 
 
 @query("rollup_price_by_district", with_views("listing", "coords") +
@@ -145,7 +149,7 @@ def _rent_parsed(spark, d):
 @query("rollup_rent_year_by_province", with_views("raw_rent") + _CLEAN_RENT_SQL +
        _stats_sql("rent_prov", "province", prefix="rent"))
 def q_rollup_rent_year_by_province(spark, d):
-    return R.market_stats(_rent_parsed(spark, d), "province", "price", "rent")
+    return R.market_stats(_rent_parsed(spark, d), "province", "price", "rent", bounded_keys=True)
 
 
 @query("rollup_rent_year_by_district", with_views("raw_rent", "coords") + _CLEAN_RENT_SQL +
@@ -154,7 +158,7 @@ def q_rollup_rent_year_by_province(spark, d):
        f") s LEFT JOIN coords c USING (district)")
 def q_rollup_rent_year_by_district(spark, d):
     t = Tables(spark, d)
-    r = R.market_stats(_rent_parsed(spark, d), "district", "price", "rent")
+    r = R.market_stats(_rent_parsed(spark, d), "district", "price", "rent", bounded_keys=True)
     return R.attach_coords(r, V.coords(t), "district", "left").orderBy("district")
 
 
@@ -173,7 +177,7 @@ def _night(spark, d):
        f", np AS (SELECT *, {_night_case()} AS province FROM night) " +
        _stats_sql("np", "province", "rent_night", "rent"))
 def q_rollup_rent_night_by_province(spark, d):
-    return R.market_stats(_night(spark, d), "province", "rent_night", "rent")
+    return R.market_stats(_night(spark, d), "province", "rent_night", "rent", bounded_keys=True)
 
 
 @query("rollup_rent_night_other", with_views("night") +
@@ -326,7 +330,8 @@ def q_dedupe_by_key(spark, d):
        f"UNION ALL SELECT district, median_price, avg_price, min_price FROM ({_stats_sql('listing', 'district')})")
 def q_chart_projection(spark, d):
     lst = _listing(spark, d, False)
-    both = L.union_sources(R.market_stats(lst, "province"), R.market_stats(lst, "district"))
+    both = L.union_sources(R.market_stats(lst, "province", bounded_keys=True),
+                           R.market_stats(lst, "district", bounded_keys=True))
     return R.chart_projection(both)
 
 
