@@ -25,18 +25,19 @@ def coerce_numeric(x) -> Column:
 
 
 def clean_price(x) -> Column:
-    """``"$1,250,000"`` -> ``"1250000"`` (drops ``$`` and ``,``)."""
-    return F.regexp_replace(_c(x), r"[$,]", "")
+    """``"$1,250,000"`` -> ``"1250000"`` (drops every ``$`` and ``,``; a character
+    mapping, no regex)."""
+    return F.translate(_c(x), "$,", "")
 
 
 def clean_rent(x) -> Column:
-    """``"$24,000 /Year"`` -> ``"24000"``."""
-    return F.regexp_replace(_c(x), r"\$| /Year|,", "")
+    """``"$24,000 /Year"`` -> ``"24000"`` (drops ``$``, ``,`` and `` /Year``)."""
+    return F.translate(F.replace(_c(x), F.lit(" /Year"), F.lit("")), "$,", "")
 
 
 def clean_size(x) -> Column:
-    """``"1,200 m²"`` -> ``"1200"``."""
-    return F.regexp_replace(_c(x), " m²|,", "")
+    """``"1,200 m²"`` -> ``"1200"`` (drops `` m²`` and ``,``)."""
+    return F.translate(F.replace(_c(x), F.lit(" m²"), F.lit("")), ",", "")
 
 
 def clean_room_count(x) -> Column:
@@ -70,7 +71,9 @@ def address_part(x, i: int) -> Column:
 
 
 def extract_first_match(x, names: Sequence[str]) -> Column:
-    """Name that occurs first *by position in the text*; NULL when none occurs."""
+    """Name that occurs first *by position in the text* (leftmost match of the
+    alternation; at equal positions the earlier listed name); NULL when none occurs.
+    One compiled regex per row measured faster than per-name ``instr`` positions."""
     pattern = "(" + "|".join(re.escape(n) for n in names) + ")"
     return F.nullif(F.regexp_extract(_c(x), pattern, 1), F.lit(""))
 

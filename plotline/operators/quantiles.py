@@ -19,7 +19,8 @@ key holding a third of a 100 TB table that task has to hold billions of values.
 The per-group statistics have a single consumer (the row join), so the input is
 scanned exactly twice and nothing is joined back at the end.
 
-Only ``max(accuracy, ~8n/accuracy)`` values of a group ever meet in one task.  Extra
+Only about ``max(1000, 2*(1 + 3*accuracy/1000), 8n/accuracy)`` values of a group
+ever meet in one task.  Extra
 partial-aggregable statistics (avg, min, max, count) ride along in pass 1, and
 several value columns share both passes, so a market rollup is two scans and no
 value lists.
@@ -35,6 +36,9 @@ from pyspark.sql import functions as F
 from plotline.operators.joins import DEFAULT_SALT, join_groups
 
 DEFAULT_ACCURACY = 50_000
+# Groups with at most this many values keep them all (bounded, and cheaper than
+# two more sketch queries); larger groups use a sketch window.
+SMALL_GROUP = 1000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column | None = None,
@@ -66,11 +70,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column | No
             vkey.append(tag)
             vexprs.append(F.col(v) if isinstance(v, str) else v)
         spec_v.append(vkey.index(tag))
-    margin = 4.0 / accuracy
-    spec_b: list[tuple[float, float]] = []
+    # Two windows per quantile.  The sketch's rank error is at most n/accuracy, so a
+    # window of +-m ranks-fraction covers the two target ranks with 3 ranks to spare
+    # when (m - 1/accuracy) * n >= 3:
+    #   narrow, m = 4/accuracy:          valid for n >= accuracy (~8n/accuracy values kept)
+    #   wide,   m = 1/accuracy + 3/SMALL: valid for n > SMALL (<= ~2*m*accuracy values kept)
+    m_narrow = 4.0 / accuracy
+    m_wide = 1.0 / accuracy + 3.0 / SMALL_GROUP
+    spec_b: list[tuple[float, float, float, float]] = []
     for n in names:
         p = float(specs[n][1])
-        spec_b.append((max(p - margin, 0.0), min(p + margin, 1.0)))
+        spec_b.append((max(p - m_narrow, 0.0), min(p + m_narrow, 1.0),
+                       max(p - m_wide, 0.0), min(p + m_wide, 1.0)))
 
     base = df.select("*", *[e.cast("double").alias(f"_v{j}") for j, e in enumerate(vexprs)])
     aggs = []
@@ -83,16 +94,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column | No
     grouped = base.groupBy(*keys) if keys else base.groupBy()
     stats = grouped.agg(*aggs, *extra_aggs)
 
-    # Lower/upper value bound per spec; clamp to the exact min/max at the ends.
+    # Lower/upper value bound per spec (narrow for large groups, wide for mid-size
+    # ones); clamp to the exact min/max at the ends.
     bound_cols = []
     pos = {j: 0 for j in range(len(vexprs))}
+
+    def at(j, k, frac):
+        if frac <= 0.0:
+            return F.col(f"_min{j}")
+        if frac >= 1.0:
+            return F.col(f"_max{j}")
+        return F.col(f"_b{j}")[k]
+
     for i in range(len(names)):
         j = spec_v[i]
-        lo_p, hi_p = spec_b[i]
+        lo1, hi1, lo2, hi2 = spec_b[i]
         k = pos[j]
-        pos[j] += 2
-        lo = F.col(f"_min{j}") if lo_p <= 0.0 else F.col(f"_b{j}")[k]
-        hi = F.col(f"_max{j}") if hi_p >= 1.0 else F.col(f"_b{j}")[k + 1]
+        pos[j] += 4
+        large = F.col(f"_n{j}") >= F.lit(int(accuracy))
+        lo = F.when(large, at(j, k, lo1)).otherwise(at(j, k + 2, lo2))
+        hi = F.when(large, at(j, k + 1, hi1)).otherwise(at(j, k + 3, hi2))
         bound_cols += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
     internal = {f"{p}{j}" for j in range(len(vexprs)) for p in ("_n", "_min", "_max", "_b")}
     extra = [c for c in stats.columns if c not in internal and c not in keys]
@@ -107,11 +128,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column | No
 
     # Each row contributes to each quantile either a "below" marker (NULL value) or
     # its own value when it lies between the bounds; NULL values contribute nothing.
-    # A group of at most ``accuracy`` values keeps them all (bounded); a larger one has
-    # a window of >= 3 ranks on each side of the target beyond the sketch error.
+    # A group of at most SMALL_GROUP values keeps them all; a larger one has a window
+    # of >= 3 ranks on each side of the target beyond the sketch error.
     # A group with no value at all emits one marker (pi = -1) so it is not lost.
     def small(i):
-        return F.col(f"_n{spec_v[i]}") <= F.lit(int(accuracy))
+        return F.col(f"_n{spec_v[i]}") <= F.lit(SMALL_GROUP)
 
     def v(i):
         return F.col(f"_v{spec_v[i]}")
