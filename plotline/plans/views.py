@@ -28,11 +28,17 @@ RATE_CITY_MAP = {"Beirut": "NATION_0", "Bekaa": "NATION_1", "Tripoli": "NATION_2
                  "Baabda": "NATION_3", "Kesrouan": "NATION_4"}
 
 
-def _geo(t: Tables) -> DataFrame:
-    """supplier -> city, district (nation), province (region)."""
+def _geo_join(fact: DataFrame, t: Tables, suppkey: str = "l_suppkey") -> DataFrame:
+    """fact -> supplier (city) -> nation (district) -> region (province).
+
+    Joined in this order so every build side is a dimension: joining supplier to
+    nation first would make Catalyst (without table statistics) estimate that side
+    as the product of both sizes and pick the *fact* as the broadcast side.
+    """
     nat = F.broadcast(t.nation.select("n_nationkey", "n_name", "n_regionkey"))
     reg = F.broadcast(t.region.select("r_regionkey", "r_name"))
-    return (t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    return (fact.join(t.supplier.select("s_suppkey", "s_name", "s_nationkey"),
+                      F.col(suppkey) == F.col("s_suppkey"))
             .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
             .join(reg, F.col("n_regionkey") == F.col("r_regionkey")))
 
@@ -51,7 +57,7 @@ def listing(t: Tables, with_part: bool = True) -> DataFrame:
     seen twice; (listing_id, suppkey, partkey, amount, quantity, list_date) is unique
     and is the tiebreak wherever an order must be total (``TIEBREAK``).
     """
-    li = _lineitem(t).join(_geo(t), F.col("l_suppkey") == F.col("s_suppkey"))
+    li = _geo_join(_lineitem(t), t)
     if with_part:
         li = li.join(t.part.select("p_partkey", "p_type", "p_size"),
                      F.col("l_partkey") == F.col("p_partkey"))
