@@ -53,8 +53,10 @@ def forecast_pipeline(post_year: int, gbt_params: dict | None = None,
         StringIndexer(inputCol="city", outputCol="city_idx", stringOrderType="alphabetAsc",
                       handleInvalid="error"),
         OneHotEncoder(inputCols=["city_idx"], outputCols=["city_ohe"], dropLast=False),
+        # A future month the city never had in its history has no monthly mean: it
+        # stays NaN (missing), as the source's booster received it.
         VectorAssembler(inputCols=forecast_numeric_features(post_year) + ["city_ohe"],
-                        outputCol="features"),
+                        outputCol="features", handleInvalid="keep"),
         gbt])
 
 

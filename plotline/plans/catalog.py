@@ -577,6 +577,48 @@ def q_union_distinct_years(spark, d):
     return hist.union(fut).distinct()
 
 
+@query("filter_ilike", with_views("transactions") +
+       "SELECT city, month, transaction_value FROM transactions WHERE city ILIKE 'nation_1%'")
+def q_filter_ilike(spark, d):
+    """Case-insensitive city match; ``%``/``_`` in the pattern act as wildcards."""
+    return V.transactions(Tables(spark, d)).where(F.col("city").ilike("nation_1%")).select(
+        "city", "month", "transaction_value")
+
+
+@query("scenario_records", _SCEN_SQL +
+       "SELECT strftime(date, '%Y-%m-%d') AS date, city, round(transaction_value, 4) AS transaction_value, "
+       "scenario FROM proj")
+def q_scenario_records(spark, d):
+    from plotline.sources.sinks import scenario_records
+    p = _projection(spark, d).withColumn("transaction_value", round_to("transaction_value", 4))
+    return scenario_records(p).select("date", "city", "transaction_value", "scenario")
+
+
+# FIXED-LIST analogue of the saved forecast column list for the driver tables.
+MODEL_COLUMNS = (["time_index", "year", "month", "transaction_value"] +
+                 [f"city_nation_{i}" for i in range(5)] + ["city_beirut"])
+
+
+@query("align_model_columns", with_views("transactions") + f"""
+, s AS (SELECT lower(city) AS city, month, transaction_value,
+               CAST(row_number() OVER (PARTITION BY city ORDER BY month) - 1 AS BIGINT) AS time_index FROM transactions)
+SELECT time_index, CAST(year(month) AS INTEGER) AS year, CAST(month(month) AS INTEGER) AS month, transaction_value,
+       {", ".join(f"CAST(city = 'nation_{i}' AS INTEGER) AS city_nation_{i}" for i in range(5))},
+       0 AS city_beirut
+FROM s""")
+def q_align_model_columns(spark, d):
+    """Dummy-encode the city, then align to the saved column list: levels absent from
+    the data are all-zero columns, columns not in the list are dropped."""
+    from plotline.operators import projections as P
+    tr = V.transactions(Tables(spark, d)).select(F.lower("city").alias("city"), "month", "transaction_value")
+    tr = S.time_index_series(tr, "city", "month").withColumns(
+        {"year": F.year("month"), "month_n": F.month("month")})
+    levels = [f"nation_{i}" for i in range(25)]
+    wide = P.one_hot_columns(tr, "city", levels).drop("month").withColumnRenamed("month_n", "month")
+    wide = P.drop_if_all_present(wide, ["city", "nonexistent_column"])     # guarded: not dropped
+    return P.align_columns(wide, MODEL_COLUMNS)
+
+
 # ============================ features / evaluation ===============================
 
 _FF_SQL = f"""
