@@ -221,13 +221,20 @@ def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 20) -
 
 def label_encoded_pipeline(categorical: Sequence[str], numeric: Sequence[str], label: str,
                            gbt_params: dict | None = None) -> Pipeline:
-    """Sorted-label encoding (unseen label -> error) + numerics -> boosted trees."""
+    """Sorted-label encoding (unseen label -> error) + numerics -> boosted trees.
+
+    The codes enter the trees as ordinal numbers (as integer label codes do in the
+    source's booster), not as categorical features: ``+ 0.0`` drops the nominal
+    metadata, so the number of levels (cities grow with the data) never has to fit
+    in ``maxBins``.
+    """
     cats = list(categorical)
+    ordinal = ", ".join(f"e_{c} + 0.0 AS o_{c}" for c in cats)
     return Pipeline(stages=[
         StringIndexer(inputCols=cats, outputCols=[f"e_{c}" for c in cats],
                       stringOrderType="alphabetAsc", handleInvalid="error"),
-        VectorAssembler(inputCols=[f"e_{c}" for c in cats] + list(numeric), outputCol="features",
+        SQLTransformer(statement=f"SELECT *, {ordinal} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"o_{c}" for c in cats] + list(numeric), outputCol="features",
                         handleInvalid="keep"),
         _gbt(label, {"maxIter": 50, "subsamplingRate": 1.0, "featureSubsetStrategy": "all",
-                     "minInstancesPerNode": 1, "maxBins": 128, **(gbt_params or {})})])
-
+                     "minInstancesPerNode": 1, **(gbt_params or {})})])
