@@ -721,11 +721,20 @@ def _sessions(spark, d):
     return V.sessions(Tables(spark, d))
 
 
+def _turns(spark, d):
+    return Tables(spark, d).conversations.select("conv_id", "turn", "role", "text")
+
+
+# Session queries run on the long turn table (operators/turns.py): grouped
+# aggregates only, so no session's messages are gathered into one array or task.
+# The array forms (operators/sessions.py) are covered by tests/test_fixtures.py.
+
 @query("session_system_flags", with_views("sessions") +
        "SELECT id, list_bool_or([m.role = 'system' FOR m IN messages]) AS has_system, "
        "CAST(len(messages) AS INTEGER) AS n_messages FROM sessions")
 def q_session_system_flags(spark, d):
-    return SE.flag_system(_sessions(spark, d))
+    from plotline.operators import turns as TU
+    return TU.flags(_turns(spark, d))
 
 
 @query("session_with_system_prompt", with_views("sessions") + f"""
@@ -735,24 +744,29 @@ def q_session_system_flags(spark, d):
 SELECT id, CAST(len(messages) AS INTEGER) AS n_messages, messages[1].role AS first_role,
        messages[1].content AS first_content FROM s2""")
 def q_session_with_system_prompt(spark, d):
-    s = SE.with_system_prompt(_sessions(spark, d), SYSTEM_PROMPT)
-    return s.select("id", F.size("messages").alias("n_messages"), F.col("messages")[0]["role"].alias("first_role"),
-                    F.col("messages")[0]["content"].alias("first_content"))
+    from plotline.operators import turns as TU
+    s = TU.summary(TU.with_system_prompt(_turns(spark, d), SYSTEM_PROMPT))
+    return s.select("id", "n_messages", "first_role", "first_content")
 
 
 @query("explode_messages", """
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, role, text
 FROM conversations WHERE role <> 'system'""")
 def q_explode_messages(spark, d):
-    return SE.explode_messages(_sessions(spark, d))
+    from plotline.operators import turns as TU
+    return TU.explode(_turns(spark, d))
 
 
 @query("latest_session", with_views("sessions") +
        "SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM sessions "
        "ORDER BY created_at DESC, id DESC LIMIT 1")
 def q_latest_session(spark, d):
-    return SE.latest_session(_sessions(spark, d)).select(
-        "id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+    from plotline.operators import turns as TU
+    meta = (_turns(spark, d).select("conv_id").distinct()
+            .select(F.col("conv_id").alias("id"),
+                    (F.lit("2024-01-01 00:00:00").cast("timestamp")
+                     + F.make_interval(mins=F.col("conv_id").cast("int"))).alias("created_at")))
+    return TU.latest(meta).select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 
 @query("session_upsert", with_views("sessions") + """
@@ -764,13 +778,11 @@ def q_latest_session(spark, d):
 SELECT id, CAST(len(messages) AS INTEGER) AS n_messages, messages[len(messages)].role AS last_role,
        messages[len(messages)].content AS last_content FROM merged""")
 def q_session_upsert(spark, d):
-    from plotline.functions.arrays import has_role
-    old = _sessions(spark, d).select("id", "messages")
-    new = SE.append_turn(old.where(has_role("messages")), "next question", "next answer")
-    m = SE.upsert(old, new, "id")
-    return m.select("id", F.size("messages").alias("n_messages"),
-                    F.element_at("messages", -1)["role"].alias("last_role"),
-                    F.element_at("messages", -1)["content"].alias("last_content"))
+    from plotline.operators import turns as TU
+    t = _turns(spark, d)
+    with_sys = TU.flags(t).where("has_system").select(F.col("id").alias("conv_id"))
+    new = TU.append_turn(t, with_sys, "next question", "next answer")
+    return TU.summary(TU.upsert(t, new)).select("id", "n_messages", "last_role", "last_content")
 
 
 # ============================ document sources ====================================

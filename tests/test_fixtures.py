@@ -269,3 +269,21 @@ def test_scalar_traps(spark):
     assert T.split_param_list(" a, b,a, ,") == ["a", "b"]
     with pytest.raises(ValueError):
         T.split_param_list("a,,a")
+
+
+def test_turns_long_form(spark):
+    from plotline.operators import turns as TU
+    t = spark.createDataFrame(
+        [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "system", "s"), (2, 1, "user", "c")] +
+        [(3, i, "user" if i % 2 else "assistant", f"m{i}") for i in range(5000)],
+        "conv_id long, turn long, role string, text string")
+    f = {r.id: r for r in TU.flags(t).collect()}
+    assert (f[1].has_system, f[1].n_messages, f[2].has_system, f[3].n_messages) == (False, 2, True, 5000)
+    s = {r.id: r for r in TU.summary(TU.with_system_prompt(t, "P")).collect()}
+    assert (s[1].first_role, s[1].first_content, s[1].n_messages) == ("system", "P", 3)
+    assert (s[2].first_content, s[2].n_messages) == ("s", 2)
+    ids = TU.flags(t).where("has_system").select(F.col("id").alias("conv_id"))
+    up = {r.id: r for r in TU.summary(TU.upsert(t, TU.append_turn(t, ids, "q", "r"))).collect()}
+    assert (up[2].n_messages, up[2].last_content, up[1].n_messages, up[3].n_messages) == (4, "r", 2, 5000)
+    ex = TU.explode(t).where("conv_id = 2").collect()
+    assert [(r.pos, r.role) for r in ex] == [(0, "user")]
