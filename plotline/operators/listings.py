@@ -17,6 +17,7 @@ from plotline.functions.text import (address_part, clean_price, clean_room_count
                                      coerce_numeric, extract_by_priority, extract_first_match,
                                      format_address, not_contains_ci, strip_decimal_zero,
                                      strip_suffix_words)
+from plotline.operators.joins import join_groups
 
 
 def _keep_id(df: DataFrame) -> list[str]:
@@ -91,17 +92,22 @@ def resolve_location(listings: DataFrame, dim: DataFrame,
     the highest ``seq`` wins), strip suffix words, build ``community, district,
     province`` and normalise room texts ``2.0`` -> ``2``.
 
-    The dimension is reduced to one name per id with a grouped ``max_by`` and then
-    joined three times; Catalyst broadcasts it when small and shuffles otherwise.
+    The dimension is reduced to one name per id with a grouped ``max_by``.  Every
+    listing of a province shares one lookup key, so province and district names
+    (fixed-size levels) are broadcast; community names grow with the data and use
+    the salted join, so a hot community is spread over several tasks.
     """
     names = (dim.groupBy("id").agg(F.max_by("name_en", "seq").alias("name"))
              .select("id", strip_suffix_words("name", suffixes).alias("name")))
     out = listings
-    for prefix, col, alias in (("p", "ProvinceID", "province_name"), ("d", "DistrictID", "district_name"),
-                               ("c", "CommunityID", "community_name")):
-        n = names.select(F.col("id").alias(f"_{alias}_id"), F.col("name").alias(alias))
-        k = F.concat(F.lit(prefix), F.col(col).cast("string"))
-        out = (out.join(n, k == F.col(f"_{alias}_id"), "left").drop(f"_{alias}_id")
+    for prefix, col, alias, bounded in (("p", "ProvinceID", "province_name", True),
+                                        ("d", "DistrictID", "district_name", True),
+                                        ("c", "CommunityID", "community_name", False)):
+        n = (names.where(F.col("id").startswith(prefix))
+             .select(F.col("id").alias(f"_{alias}_id"), F.col("name").alias(alias)))
+        out = out.withColumn(f"_{alias}_id", F.concat(F.lit(prefix), F.col(col).cast("string")))
+        out = (join_groups(out, n, [f"_{alias}_id"], "left", broadcast=bounded)
+               .drop(f"_{alias}_id")
                .withColumn(alias, F.coalesce(F.col(alias), F.lit(""))))
     return out.select(
         *_keep_id(listings), F.col("Title").alias("title"),
