@@ -619,6 +619,29 @@ def q_align_model_columns(spark, d):
     return P.align_columns(wide, MODEL_COLUMNS)
 
 
+@query("format_dates", with_views("transactions") + """
+SELECT DISTINCT month, strftime(month, '%Y-%m-%d') AS iso, strftime(month, '%b %y') AS mon_yy,
+       strftime(month, '%y-%b') AS yy_mon, CAST(strptime(strftime(month, '%y-%b'), '%y-%b') AS DATE) AS parsed,
+       CAST(strptime(strftime(month, '%m/%Y'), '%m/%Y') AS DATE) AS parsed_mm_yyyy
+FROM transactions""")
+def q_format_dates(spark, d):
+    """Output formats and the two text encodings of a month, parsed back to a DATE
+    (``yy`` pivots like C/pandas: 95 -> 1995, 01 -> 2001)."""
+    from plotline.functions import dates as DT
+    m = V.transactions(Tables(spark, d)).select("month").distinct()
+    return m.select("month", DT.format_iso("month").alias("iso"), DT.format_mon_yy("month").alias("mon_yy"),
+                    F.date_format("month", "yy-MMM").alias("yy_mon"),
+                    DT.parse_yy_mon(F.date_format("month", "yy-MMM")).alias("parsed"),
+                    DT.parse_mm_yyyy(F.date_format("month", "MM/yyyy")).alias("parsed_mm_yyyy"))
+
+
+@query("sort_multi", with_views("transactions") +
+       "SELECT city, month, transaction_value FROM transactions ORDER BY city, month")
+def q_sort_multi(spark, d):
+    """City, then date order (a range-partitioned global sort)."""
+    return V.transactions(Tables(spark, d)).select("city", "month", "transaction_value").orderBy("city", "month")
+
+
 # ============================ features / evaluation ===============================
 
 _FF_SQL = f"""
