@@ -40,3 +40,20 @@ def test_global_with_ties(spark):
     q = exact_quantiles(df, [], "v", {"a": 0.01, "b": 0.5, "c": 0.99}, accuracy=100).first()
     w = df.agg(F.percentile("v", [0.01, 0.5, 0.99]).alias("p")).first().p
     assert [q.a, q.b, q.c] == pytest.approx(w)
+
+
+@pytest.mark.parametrize("broadcast", [False, True])
+def test_hot_key_third_of_rows(spark, broadcast):
+    """One key holds a third of all rows (plus ties); results stay exact on both the
+    salted and the broadcast join path."""
+    n = 90_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 300).cast("string")).alias("k"),
+        ((F.col("id") * 7919) % 10007 / 10.0).alias("v"))
+    got = exact_quantiles(df, ["k"], "v", {"med": 0.5, "p99": 0.99}, accuracy=2000,
+                          broadcast_groups=broadcast)
+    want = df.groupBy("k").agg(F.percentile("v", 0.5).alias("med2"), F.percentile("v", 0.99).alias("p992"))
+    bad = got.join(want, "k").where(
+        (F.abs(F.col("med") - F.col("med2")) > 1e-9) | (F.abs(F.col("p99") - F.col("p992")) > 1e-9))
+    assert bad.count() == 0
+    assert got.count() == want.count() == 201
