@@ -62,13 +62,20 @@ def exact_global_quantiles(df: DataFrame, value: str | Column, probs: dict[str,
 
 def price_features(props: DataFrame, property_type: str = "Apartment",
                    rare_min_rows: int = K.RARE_DISTRICT_MIN_ROWS,
-                   trim: tuple[float, float] = K.TRIM_QUANTILES) -> DataFrame:
+                   trim: tuple[float, float] = K.TRIM_QUANTILES,
+                   materialize: bool = True) -> DataFrame:
     """Model table for one property type.
 
     coerce -> drop missing price/size -> 0 rooms are missing -> size > 0 ->
     price/m² kept inside its exact [1%, 99%] quantiles (inclusive) -> ratio features
     (zero divisor -> NULL) -> district means of price/m² and size -> districts with
     fewer than ``rare_min_rows`` rows become ``Other`` (after the means) -> log1p.
+
+    ``materialize``: the trimmed table feeds both the district statistics and their
+    join back; it is written once with ``checkpoint()`` to the shared folder named by
+    ``spark.checkpoint.dir`` (lineage cut, survives executor loss) instead of being
+    recomputed -- with its two quantile passes -- for each branch.  This runs a job
+    when the function is called.
     """
     d = (props.where(F.col("type") == property_type)
          .withColumns({c: F.col(c).try_cast("double")
@@ -83,6 +90,10 @@ def price_features(props: DataFrame, property_type: str = "Apartment",
          .drop("_qlo", "_qhi")
          .withColumns({"bed_bath_ratio": safe_ratio("bedrooms", "bathrooms"),
                        "size_per_bedroom": safe_ratio("size_m2", "bedrooms")}))
+    if materialize:
+        from plotline.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(d.sparkSession)
+        d = d.checkpoint(eager=True)
     d = attach_group_stats(d, ["district"], [F.avg("price_per_m2").alias("avg_price_in_district"),
                                              F.avg("size_m2").alias("avg_size_in_district"),
                                              F.count(F.lit(1)).alias("_dn")])
