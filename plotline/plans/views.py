@@ -296,8 +296,8 @@ SQL = {
          price / 100 AS rent_night
   FROM listing JOIN region o ON (regionkey + bedrooms) % 5 = o.r_regionkey)""",
     "coords": """coords AS (
-  SELECT n_name AS district, 30.0 + n_nationkey * 0.25 AS latitude,
-         35.0 + n_nationkey * 0.125 AS longitude
+  SELECT n_name AS district, CAST(30.0 AS DOUBLE) + n_nationkey * CAST(0.25 AS DOUBLE) AS latitude,
+         CAST(35.0 AS DOUBLE) + n_nationkey * CAST(0.125 AS DOUBLE) AS longitude
   FROM nation WHERE n_nationkey < 20)""",
     "location_dim": """location_dim AS (
   SELECT 'p' || CAST(r_regionkey AS VARCHAR) AS id, r_name || ' Governorate' AS name_en, 0 AS seq FROM region

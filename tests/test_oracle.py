@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from plotline.sources.tables import TABLE_NAMES
-from tools.oracle_check import rows_of
+from tools.oracle_check import TYPE_MAP, TYPE_MAP_D, rows_of
 
 SQLS = E.oracle_sql()
 
@@ -31,6 +31,9 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [c[0] for c in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    stypes = {f.name: TYPE_MAP.get(f.dataType.simpleString()) for f in df.schema.fields}
+    dtypes = {c[0]: TYPE_MAP_D.get(str(c[1])) for c in cur.description}
+    assert stypes == dtypes
     assert rows_of(df.columns, srows) == rows_of(dcols, drows)
 
 
