@@ -40,6 +40,30 @@ def market_stats(df: DataFrame, key: str, value: str = "price", prefix: str = "p
             .orderBy(out_key or key))
 
 
+def market_stats_levels(df: DataFrame, levels: Sequence[str], value: str = "price",
+                        prefix: str = "price", bounded_keys: bool = False) -> DataFrame:
+    """The rollup at several location levels from ONE pass pair over ``df`` (grouping
+    sets): each row is emitted once per level as ``(level, key, value)``, rows with a
+    NULL key at a level are dropped for that level, and one exact-quantile aggregation
+    runs on ``(level, key)``.  Output: level, key + the ``market_stats`` columns."""
+    levels = list(levels)
+    pairs = F.array(*[F.struct(F.lit(lv).alias("level"), F.col(lv).cast("string").alias("key"))
+                      for lv in levels])
+    x = (df.select(F.explode(pairs).alias("_l"), F.col(value).alias("_val"))
+         .select("_l.level", "_l.key", "_val").where(F.col("key").isNotNull()))
+    res = exact_quantiles(
+        x, ["level", "key"], "_val", {"_med": 0.5}, broadcast_groups=bounded_keys,
+        extra_aggs=[F.avg("_val").alias("_avg"), F.max("_val").alias("_mx"),
+                    F.min("_val").alias("_mn"), F.count("_val").alias("_cnt")])
+    return (res.select("level", "key",
+                       F.col("_avg").cast("bigint").alias(f"avg_{prefix}"),
+                       F.col("_med").cast("bigint").alias(f"median_{prefix}"),
+                       F.col("_mx").cast("bigint").alias(f"max_{prefix}"),
+                       F.col("_mn").cast("bigint").alias(f"min_{prefix}"),
+                       F.col("_cnt").cast("bigint").alias("listings_count"))
+            .orderBy("level", "key"))
+
+
 def attach_coords(df: DataFrame, coords: DataFrame, key: str = "district",
                   how: str = "inner") -> DataFrame:
     """Add latitude/longitude by district.  ``inner`` drops districts without a

@@ -200,6 +200,15 @@ def q_market_comparison(spark, d):
     return R.market_comparison(_listing(spark, d), COMPARE)
 
 
+@query("rollup_price_levels", with_views("listing") +
+       " UNION ALL ".join(f"SELECT '{lv}' AS level, s.* FROM ({_stats_sql('listing', lv, out_key='key')}) s"
+                          for lv in ("province", "district", "city")))
+def q_rollup_price_levels(spark, d):
+    """The province, district and city rollups of one listing table in a single plan
+    (grouping sets: one scan pair instead of three)."""
+    return R.market_stats_levels(_listing(spark, d, False), ["province", "district", "city"])
+
+
 # ============================ dashboard ===========================================
 
 _DSTATS = f", d AS ({_stats_sql('listing', 'district')})\n"
@@ -329,10 +338,9 @@ def q_dedupe_by_key(spark, d):
        f"SELECT province AS name, median_price, avg_price, min_price FROM ({_stats_sql('listing', 'province')}) "
        f"UNION ALL SELECT district, median_price, avg_price, min_price FROM ({_stats_sql('listing', 'district')})")
 def q_chart_projection(spark, d):
-    lst = _listing(spark, d, False)
-    both = L.union_sources(R.market_stats(lst, "province", bounded_keys=True),
-                           R.market_stats(lst, "district", bounded_keys=True))
-    return R.chart_projection(both)
+    # One scan pair for both levels (grouping sets) instead of one per rollup.
+    both = R.market_stats_levels(_listing(spark, d, False), ["province", "district"], bounded_keys=True)
+    return both.select(F.col("key").alias("name"), "median_price", "avg_price", "min_price")
 
 
 # ============================ listing ETL =========================================
