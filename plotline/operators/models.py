@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plotline import constants as K
 from plotline.functions.dates import calendar_flags, cyclic_month
 from plotline.functions.numeric import round_hundreds, safe_ratio, zero_to_null
-from plotline.operators.features import forecast_features, regression_metrics
+from plotline.operators.features import regression_metrics
 from plotline.operators.quantiles import exact_quantiles
 from plotline.operators.series import future_spine, yearly_total, yearly_forecast_total, align_full_outer
 

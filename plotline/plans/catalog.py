@@ -20,7 +20,6 @@ from plotline.operators import features as FE
 from plotline.operators import listings as L
 from plotline.operators import rollups as R
 from plotline.operators import series as S
-from plotline.operators import sessions as SE
 from plotline.plans import views as V
 from plotline.plans.views import with_views
 from plotline.sources import files as SRC
