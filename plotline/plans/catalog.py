@@ -384,6 +384,32 @@ def q_listing_resolve_location(spark, d):
     return L.resolve_location(V.id_listing(t), V.location_dim(t))
 
 
+@query("union_sources", with_views("raw_buy", "id_listing", "location_dim") + _CLEAN_BUY_SQL + """
+, names AS (SELECT id, replace(replace(arg_max(name_en, seq), ' Governorate', ''), ' district', '') AS name
+            FROM location_dim GROUP BY id)
+, b AS (SELECT i.listing_id, i.Title AS title,
+               COALESCE(c.name, '') || ', ' || COALESCE(dn.name, '') || ', ' || COALESCE(p.name, '') AS address,
+               i.Price AS price, i.Type AS type, CAST(i.Area_sqm AS DOUBLE) AS size_m2,
+               CAST(regexp_replace(i.Bedroom, '\\.0$', '') AS INTEGER) AS bedrooms,
+               CAST(regexp_replace(i.Bathroom, '\\.0$', '') AS INTEGER) AS bathrooms, 'json' AS source
+        FROM id_listing i
+        LEFT JOIN names p ON p.id = 'p' || CAST(i.ProvinceID AS VARCHAR)
+        LEFT JOIN names dn ON dn.id = 'd' || CAST(i.DistrictID AS VARCHAR)
+        LEFT JOIN names c ON c.id = 'c' || CAST(i.CommunityID AS VARCHAR))
+SELECT listing_id, address, type, price, size_m2, bedrooms, bathrooms, 'html' AS source FROM buy_clean
+UNION ALL BY NAME SELECT * FROM b""")
+def q_union_sources(spark, d):
+    """Stack the two cleaned listing sources by column name; ``title`` exists only in
+    the JSON source and is NULL for the HTML rows."""
+    t = Tables(spark, d)
+    a = L.clean_buy(V.raw_listing(t, "buy")).withColumn("source", F.lit("html"))
+    b = (L.resolve_location(V.id_listing(t), V.location_dim(t))
+         .withColumns({"size_m2": F.col("size_m2").cast("double"),
+                       "bedrooms": F.col("bedrooms").cast("int"),
+                       "bathrooms": F.col("bathrooms").cast("int"), "source": F.lit("json")}))
+    return L.union_sources(a, b)
+
+
 @query("province_extraction", with_views("night") +
        f"SELECT listing_id, NULLIF(regexp_extract(Address, '(AFRICA|AMERICA|ASIA|EUROPE|MIDDLE EAST|MIDEAST)', 1), '') AS leftmost, "
        f"{_night_case()} AS priority FROM night")
