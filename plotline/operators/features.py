@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plotline import constants as K
 from plotline.functions.dates import calendar_flags, cyclic_month
 from plotline.functions.numeric import round_to, safe_ratio, zero_to_null
-from plotline.operators.joins import join_groups
+from plotline.operators.joins import attach_row, join_groups
 from plotline.operators.quantiles import exact_quantiles
 from plotline.operators.series import time_index_global, time_index_series
 
@@ -85,7 +85,7 @@ def price_features(props: DataFrame, property_type: str = "Apartment",
          .where(F.col("size_m2") > 0)
          .withColumn("price_per_m2", F.col("price") / F.col("size_m2")))
     q = exact_global_quantiles(d, "price_per_m2", {"_qlo": trim[0], "_qhi": trim[1]})
-    d = (d.crossJoin(F.broadcast(q))
+    d = (attach_row(d, q)
          .where((F.col("price_per_m2") >= F.col("_qlo")) & (F.col("price_per_m2") <= F.col("_qhi")))
          .drop("_qlo", "_qhi")
          .withColumns({"bed_bath_ratio": safe_ratio("bedrooms", "bathrooms"),

@@ -20,6 +20,15 @@ from pyspark.sql import functions as F
 DEFAULT_SALT = 16
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (global bounds, totals) to every row: an
+    equi-join on a constant key against the broadcast row (a broadcast hash join; no
+    row pairs are formed)."""
+    k = "_one"
+    return (df.withColumn(k, F.lit(0))
+            .join(F.broadcast(one_row.withColumn(k, F.lit(0))), k, "inner").drop(k))
+
+
 def join_groups(fact: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner",
                 broadcast: bool = False, salt: int = DEFAULT_SALT,
                 salt_cols: Sequence[str] | None = None) -> DataFrame:
@@ -31,7 +40,7 @@ def join_groups(fact: DataFrame, groups: DataFrame, keys: Sequence[str], how: st
     """
     keys = list(keys)
     if not keys:
-        return fact.crossJoin(F.broadcast(groups))
+        return attach_row(fact, groups)
     if broadcast:
         return fact.join(F.broadcast(groups), keys, how)
     if salt <= 1:

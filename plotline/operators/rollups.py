@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotline.functions.numeric import round_to
+from plotline.operators.joins import attach_row
 from plotline.operators.quantiles import exact_quantiles
 
 
@@ -120,7 +121,7 @@ def kpi_cards(district_rollup: DataFrame, series: DataFrame, most_by: str = "sum
         pick = F.min_by(F.struct(F.col(city), F.col("_s")), F.col(city))
     t = sums.agg(pick.alias("_p")).select(F.col("_p")[city].alias("region_tran"),
                                           F.col("_p._s").alias("high_num"))
-    return d.crossJoin(t)
+    return attach_row(d, t)
 
 
 def count_by_type(df: DataFrame, key: str = "type") -> DataFrame:
