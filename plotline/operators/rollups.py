@@ -19,7 +19,8 @@ from plotline.operators.quantiles import exact_quantiles
 
 
 def market_stats(df: DataFrame, key: str, value: str = "price", prefix: str = "price",
-                 out_key: str | None = None, bounded_keys: bool = False) -> DataFrame:
+                 out_key: str | None = None, bounded_keys: bool = False,
+                 materialize: bool = False) -> DataFrame:
     """avg / median / max / min / count of ``value`` per ``key`` as truncated BIGINTs.
 
     Pandas group-by semantics: NULL keys dropped, the count counts non-NULL values,
@@ -27,7 +28,14 @@ def market_stats(df: DataFrame, key: str, value: str = "price", prefix: str = "p
     gets NULL stats and count 0.  ``bounded_keys``: the key comes from a fixed-size
     dimension, so per-key statistics may be broadcast.
     """
-    d = df.where(F.col(key).isNotNull())
+    d = df.where(F.col(key).isNotNull()).select(key, value)
+    if materialize:
+        # Expensive inputs (text parsing) are computed once: the narrow (key, value)
+        # projection is checkpointed to the shared checkpoint folder and both
+        # exact-quantile passes read it.  Runs a job when called.
+        from plotline.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(d.sparkSession)
+        d = d.checkpoint(eager=True)
     res = exact_quantiles(
         d, [key], value, {"_med": 0.5}, broadcast_groups=bounded_keys,
         extra_aggs=[F.avg(value).alias("_avg"), F.max(value).alias("_mx"),

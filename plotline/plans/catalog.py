@@ -38,6 +38,9 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+# Rollups over text-parsed inputs pass ``materialize=True``: the parsed (key, value)
+# projection is checkpointed once instead of re-parsing for each quantile pass.
+
 # Parameters for the driver tables -------------------------------------------------
 # Rollups keyed by province (region, 5 rows) or district (nation, 25 rows; or a
 # fixed list of names) pass ``bounded_keys=True``: their per-key statistics are
@@ -148,7 +151,8 @@ def _rent_parsed(spark, d):
 @query("rollup_rent_year_by_province", with_views("raw_rent") + _CLEAN_RENT_SQL +
        _stats_sql("rent_prov", "province", prefix="rent"))
 def q_rollup_rent_year_by_province(spark, d):
-    return R.market_stats(_rent_parsed(spark, d), "province", "price", "rent", bounded_keys=True)
+    return R.market_stats(_rent_parsed(spark, d), "province", "price", "rent", bounded_keys=True,
+                          materialize=True)
 
 
 @query("rollup_rent_year_by_district", with_views("raw_rent", "coords") + _CLEAN_RENT_SQL +
@@ -157,14 +161,15 @@ def q_rollup_rent_year_by_province(spark, d):
        f") s LEFT JOIN coords c USING (district)")
 def q_rollup_rent_year_by_district(spark, d):
     t = Tables(spark, d)
-    r = R.market_stats(_rent_parsed(spark, d), "district", "price", "rent", bounded_keys=True)
+    r = R.market_stats(_rent_parsed(spark, d), "district", "price", "rent", bounded_keys=True,
+                       materialize=True)
     return R.attach_coords(r, V.coords(t), "district", "left").orderBy("district")
 
 
 @query("rollup_rent_year_by_city", with_views("raw_rent") + _CLEAN_RENT_SQL +
        _stats_sql("rent_prov", "city", prefix="rent"))
 def q_rollup_rent_year_by_city(spark, d):
-    return R.market_stats(_rent_parsed(spark, d), "city", "price", "rent")
+    return R.market_stats(_rent_parsed(spark, d), "city", "price", "rent", materialize=True)
 
 
 def _night(spark, d):
@@ -176,7 +181,8 @@ def _night(spark, d):
        f", np AS (SELECT *, {_night_case()} AS province FROM night) " +
        _stats_sql("np", "province", "rent_night", "rent"))
 def q_rollup_rent_night_by_province(spark, d):
-    return R.market_stats(_night(spark, d), "province", "rent_night", "rent", bounded_keys=True)
+    return R.market_stats(_night(spark, d), "province", "rent_night", "rent", bounded_keys=True,
+                          materialize=True)
 
 
 @query("rollup_rent_night_other", with_views("night") +
@@ -184,7 +190,7 @@ def q_rollup_rent_night_by_province(spark, d):
        _stats_sql("np", "Address", "rent_night", "rent", out_key="address"))
 def q_rollup_rent_night_other(spark, d):
     n = _night(spark, d).where(F.col("province").isNull())
-    return R.market_stats(n, "Address", "rent_night", "rent", out_key="address")
+    return R.market_stats(n, "Address", "rent_night", "rent", out_key="address", materialize=True)
 
 
 @query("market_comparison", with_views("listing") + f"""
