@@ -193,9 +193,16 @@ def request_features(requests: DataFrame) -> DataFrame:
                           "size_per_bedroom": safe_ratio("size_m2", "bedrooms")})
 
 
+ESTIMATE_REQUIRED = ["province", "district", "city", "size_m2", "bedrooms", "bathrooms",
+                     "latitude", "longitude"]
+
+
 def estimate_price(model: PipelineModel, requests: DataFrame, spread: float = K.ESTIMATE_RANGE) -> DataFrame:
     """Batch fair-price estimates: dollars rounded to hundreds (ties to even) with a
-    ±``spread`` range."""
+    ±``spread`` range.  A request table without every required field is rejected."""
+    missing = [c for c in ESTIMATE_REQUIRED if c not in requests.columns]
+    if missing:
+        raise ValueError(f"missing required fields: {missing}")
     p = model.transform(request_features(requests)).withColumn("_usd", F.expm1("prediction"))
     keep = [c for c in requests.columns]
     return p.select(*keep, round_hundreds("_usd").alias("estimated_price"),

@@ -48,6 +48,8 @@ def query(name: str, sql: str | None = None):
 # salted join.
 PROVINCES = V.REGIONS
 DISTRICTS = [f"NATION_{i}" for i in range(23)]          # NATION_23/24 are not valid districts
+# The comparison request as it arrives (a comma list with a repeat and an empty item).
+COMPARE_PARAM = "NATION_1, NATION_7,NATION_13,, NATION_22, NATION_1"
 COMPARE = ["NATION_1", "NATION_7", "NATION_13", "NATION_22"]
 HOT_MIN = 2000                                          # reference value 400; see README
 TREND_YEARS = (1999, 2000)
@@ -202,7 +204,8 @@ SELECT district, round(median(price), 4) AS median_price,
        round(median(CAST(bedrooms AS DOUBLE)), 4) AS median_bedrooms
 FROM listing WHERE district IN ({_in_list(COMPARE)}) GROUP BY district""")
 def q_market_comparison(spark, d):
-    return R.market_comparison(_listing(spark, d), COMPARE)
+    from plotline.functions.text import split_param_list
+    return R.market_comparison(_listing(spark, d), split_param_list(COMPARE_PARAM))
 
 
 @query("rollup_price_levels", with_views("listing") +

@@ -64,3 +64,10 @@ def test_random_split_is_stable(spark):
     a = df.repartition(7).where(M.random_split_flag(["listing_id"])).count()
     b = df.repartition(3).where(M.random_split_flag(["listing_id"])).count()
     assert a == b and 600 < a < 800
+
+
+def test_estimate_requires_fields(spark):
+    import pytest
+    req = spark.createDataFrame([("A", 1.0)], "province string, size_m2 double")
+    with pytest.raises(ValueError):
+        M.estimate_price(None, req)
