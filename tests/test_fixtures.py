@@ -287,3 +287,21 @@ def test_turns_long_form(spark):
     assert (up[2].n_messages, up[2].last_content, up[1].n_messages, up[3].n_messages) == (4, "r", 2, 5000)
     ex = TU.explode(t).where("conv_id = 2").collect()
     assert [(r.pos, r.role) for r in ex] == [(0, "user")]
+
+
+def test_rounding_noise_and_iso(spark):
+    from plotline.functions.dates import parse_iso
+    df = spark.createDataFrame([(2.5, "2024-02-29"), (-2.5, "2023-12-31"), (2.4999, "2020-01-01")],
+                               "x double, s string")
+    r = df.select(N.round_half_up("x").alias("u"), parse_iso("s").alias("d")).collect()
+    assert [x.u for x in r] == [3, -2, 2]                     # browser Math.round: half up
+    assert r[0].d == dt.date(2024, 2, 29)
+    rates = spark.createDataFrame([(2020, "X", "boom", 0.12), (2020, "X", "crash", -0.12)],
+                                  "year int, city string, scenario string, annual_rate double")
+    s = _series(spark, [("X", dt.date(2020, m, 1), 100.0) for m in range(1, 13)])
+    a = S.scenario_projection(s, rates, "X", noise_seed=7).where("scenario = 'Boom'").orderBy("date").collect()
+    b = S.scenario_projection(s, rates, "X", noise_seed=7).where("scenario = 'Boom'").orderBy("date").collect()
+    plain = S.scenario_projection(s, rates, "X").where("scenario = 'Boom'").orderBy("date").collect()
+    assert [x.transaction_value for x in a] == [x.transaction_value for x in b]     # seeded: repeatable
+    for x, p in zip(a, plain):
+        assert abs(x.transaction_value / p.transaction_value - 1) <= 0.015 + 1e-12
