@@ -50,9 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared (HDFS/object-store) folder there and we use it as-is.
     Only when it is unset -- local runs and tests -- a fresh scratch folder is made.
     """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint folder
+        return path or ""
+    path = path or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")

@@ -32,8 +32,12 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str, min_partitions: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.min_partitions = (min_partitions if min_partitions is not None
-                               else spark.sparkContext.defaultParallelism)
+        if min_partitions is None:
+            try:
+                min_partitions = spark.sparkContext.defaultParallelism
+            except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no context
+                min_partitions = 0
+        self.min_partitions = min_partitions
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
@@ -43,7 +47,11 @@ class Tables:
         if df is None:
             df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
             if name in FACT_TABLES and self.min_partitions > 1:
-                if df.rdd.getNumPartitions() < self.min_partitions:
+                try:
+                    splits = df.rdd.getNumPartitions()
+                except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the scan
+                    splits = self.min_partitions
+                if splits < self.min_partitions:
                     df = df.repartition(self.min_partitions)
             _CACHE[key] = df
         return df
