@@ -13,9 +13,10 @@ def _c(x) -> Column:
 
 
 def message(role, content) -> Column:
-    return F.struct(F.lit(role).alias("role") if isinstance(role, str) else role.alias("role"),
-                    _c(content).alias("content") if not isinstance(content, str)
-                    else F.lit(content).alias("content"))
+    """A message struct; plain strings are literals, Columns are used as they are."""
+    r = F.lit(role) if isinstance(role, str) else role
+    c = F.lit(content) if isinstance(content, str) else content
+    return F.struct(r.alias("role"), c.alias("content"))
 
 
 def has_role(messages, role: str = "system") -> Column:
