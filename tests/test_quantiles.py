@@ -57,3 +57,16 @@ def test_hot_key_third_of_rows(spark, broadcast):
         (F.abs(F.col("med") - F.col("med2")) > 1e-9) | (F.abs(F.col("p99") - F.col("p992")) > 1e-9))
     assert bad.count() == 0
     assert got.count() == want.count() == 201
+
+
+def test_join_groups_paths_agree(spark):
+    from plotline.operators.joins import attach_row, join_groups
+    fact = spark.range(5000).select((F.col("id") % 7).cast("string").alias("k"), F.col("id").alias("v"))
+    fact = fact.unionByName(spark.createDataFrame([(None, 1)], "k string, v long"))
+    groups = fact.groupBy("k").agg(F.sum("v").alias("s"))
+    plain = sorted(map(tuple, fact.join(groups, "k", "left").collect()), key=repr)
+    for kw in ({"broadcast": True}, {"salt": 16}, {"salt": 3, "salt_cols": ["v"]}):
+        got = sorted(map(tuple, join_groups(fact, groups, ["k"], "left", **kw).collect()), key=repr)
+        assert got == plain, kw
+    one = spark.createDataFrame([(1.5,)], "x double")
+    assert attach_row(fact, one).where("x = 1.5").count() == fact.count()
