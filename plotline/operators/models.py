@@ -63,7 +63,14 @@ def forecast_pipeline(post_year: int, gbt_params: dict | None = None,
 def fit_forecast(features: DataFrame, split_date: str, post_year: int = 2013,
                  gbt_params: dict | None = None) -> tuple[PipelineModel, DataFrame]:
     """Validate with early stopping on rows dated >= ``split_date``, then refit on all
-    rows with the validated number of trees.  Returns (model, test metrics)."""
+    rows with the validated number of trees.  Returns (model, test metrics).
+
+    The feature table (one row per series and month) is read by both fits and the
+    validation scoring, so it is checkpointed once to the shared checkpoint folder.
+    """
+    from plotline.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(features.sparkSession)
+    features = features.checkpoint(eager=True)
     f = features.withColumn("_is_val", F.col("date") >= F.lit(split_date).cast("date"))
     val_model = forecast_pipeline(post_year, gbt_params, "_is_val").fit(f)
     trees = len(val_model.stages[-1].trees)
