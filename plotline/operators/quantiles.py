@@ -83,7 +83,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column | No
         spec_b.append((max(p - m_narrow, 0.0), min(p + m_narrow, 1.0),
                        max(p - m_wide, 0.0), min(p + m_wide, 1.0)))
 
-    base = df.select("*", *[e.cast("double").alias(f"_v{j}") for j, e in enumerate(vexprs)])
+    # Row-content hash for the salted join: deterministic under task retries, and it
+    # separates rows of a hot group even when they share a value.
+    atomic = [f.name for f in df.schema.fields
+              if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
+    row_hash = F.xxhash64(*[F.col(c) for c in atomic]) if atomic else F.lit(0).cast("long")
+    base = df.select("*", *[e.cast("double").alias(f"_v{j}") for j, e in enumerate(vexprs)],
+                     row_hash.alias("_h"))
     aggs = []
     for j in range(len(vexprs)):
         bl = [b for i, bb in enumerate(spec_b) if spec_v[i] == j for b in bb]
@@ -122,9 +128,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column | No
     # and counts travel with the rows instead of being joined back at the end.
     bnd = stats.select(*keys, *bound_cols, *ncols, *extra)
 
-    slim = base.select(*keys, *[f"_v{j}" for j in range(len(vexprs))])
+    slim = base.select(*keys, *[f"_v{j}" for j in range(len(vexprs))], "_h")
     joined = join_groups(slim, bnd, keys, "inner", broadcast=broadcast_groups, salt=salt,
-                         salt_cols=[f"_v{j}" for j in range(len(vexprs))])
+                         salt_cols=["_h"])
 
     # Each row contributes to each quantile either a "below" marker (NULL value) or
     # its own value when it lies between the bounds; NULL values contribute nothing.
