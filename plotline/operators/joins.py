@@ -45,7 +45,9 @@ def join_groups(fact: DataFrame, groups: DataFrame, keys: Sequence[str], how: st
         return fact.join(F.broadcast(groups), keys, how)
     if salt <= 1:
         return fact.join(groups, keys, how)
-    cols = list(salt_cols) if salt_cols else fact.columns
+    cols = list(salt_cols) if salt_cols else [
+        f.name for f in fact.schema.fields
+        if f.dataType.typeName() not in ("map", "array", "struct", "variant")] or keys
     f = fact.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt)).cast("int"))
     g = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return f.join(g, keys + ["_salt"], how).drop("_salt")
