@@ -782,10 +782,6 @@ def q_correlation_matrix(spark, d):
 
 # ============================ sessions ============================================
 
-def _sessions(spark, d):
-    return V.sessions(Tables(spark, d))
-
-
 def _turns(spark, d):
     return Tables(spark, d).conversations.select("conv_id", "turn", "role", "text")
 
