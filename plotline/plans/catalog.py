@@ -554,6 +554,27 @@ def q_scenario_projection(spark, d):
     return _projection(spark, d).withColumn("transaction_value", round_to("transaction_value", 4))
 
 
+# Selection labels of the scenario page, re-keyed to the driver's nations.
+SCENARIO_LABELS = [("NATION_2, NATION_7", "NATION_2"), ("NATION_3, NATION_13", "NATION_3"),
+                   ("NATION_4, NATION_9", "NATION_4")]
+SCENARIO_SELECTION = "NATION_3, NATION_13"
+
+
+@query("scenario_selection", _SCEN_SQL +
+       "SELECT city, date, scenario, round(transaction_value, 4) AS transaction_value FROM proj "
+       "WHERE city = 'NATION_3'")
+def q_scenario_selection(spark, d):
+    """The page's request: a region label is mapped to its series city (exact,
+    case-sensitive containment; otherwise the label itself), then the baseline and
+    scenario rows of that city are returned."""
+    from plotline.functions.text import canonical_contains
+    # The request label is a parameter: map it once, then filter with a literal so the
+    # predicate is pushed below the monthly aggregation.
+    city = spark.range(1).select(canonical_contains(F.lit(SCENARIO_SELECTION), SCENARIO_LABELS)).first()[0]
+    p = _projection(spark, d).where(F.col("city") == city)
+    return p.select("city", "date", "scenario", round_to("transaction_value", 4).alias("transaction_value"))
+
+
 @query("pivot_scenarios", _SCEN_SQL + """
 SELECT city, date,
   round(max(CASE WHEN scenario = 'Baseline' THEN NULLIF(transaction_value, 0) END), 4) AS baseline,
