@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["round_to", "price_per_m2", "price_per_m2_raw", "safe_ratio", "zero_to_null", "null_to_zero",
+__all__ = ["money_avg", "round_to", "price_per_m2", "price_per_m2_raw", "safe_ratio", "zero_to_null", "null_to_zero",
            "truncate_int", "round_hundreds", "round_half_up", "pct_change",
            "annual_to_monthly_rate", "trend_direction", "radius_bucket", "uniform_noise"]
 
@@ -26,6 +26,14 @@ def round_to(x, digits: int) -> Column:
     return F.signum(v) * F.floor(F.abs(v) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def money_avg(x, scale: int = 2) -> Column:
+    """Mean of money values (at most ``scale`` decimals) as an exact DECIMAL sum divided
+    by the count: the result does not depend on partitioning or summation order, so
+    reruns and other engines agree to the last bit."""
+    v = _c(x)
+    return F.sum(v.cast(f"decimal(38,{scale})")).cast("double") / F.count(v).cast("double")
+
+
 def price_per_m2(price, size) -> Column:
     """Chart form: 2 decimals, 0 when the size is missing or not positive."""
     return F.when(_c(size) > 0, round_to(_c(price) / _c(size), 2)).otherwise(F.lit(0.0))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plotline import constants as K
 from plotline.functions.dates import calendar_flags, cyclic_month
-from plotline.functions.numeric import round_to, safe_ratio, zero_to_null
+from plotline.functions.numeric import money_avg, round_to, safe_ratio, zero_to_null
 from plotline.operators.joins import attach_row, join_groups
 from plotline.operators.quantiles import exact_quantiles
 from plotline.operators.series import time_index_global, time_index_series
@@ -46,8 +46,9 @@ def forecast_features(series: DataFrame, city: str = "city", date: str = "month"
          else time_index_global(s, "city", "date"))
     month_keys = ["city", "_m"] if avg_scope == "series" else ["_m"]
     s = s.withColumn("_m", F.month("date"))
-    s = attach_group_stats(s, month_keys, [F.avg("transaction_value").alias("monthly_avg")])
-    s = attach_group_stats(s, ["city"], [F.avg("transaction_value").alias("city_avg")])
+    # transaction values are money: exact decimal means (order-independent)
+    s = attach_group_stats(s, month_keys, [money_avg("transaction_value").alias("monthly_avg")])
+    s = attach_group_stats(s, ["city"], [money_avg("transaction_value").alias("city_avg")])
     flags = calendar_flags("date", post_year)
     return s.select("date", "city", "time_index", F.year("date").alias("year"),
                     F.month("date").alias("month"), F.quarter("date").alias("quarter"),

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plotline import constants as K
 from plotline.functions.dates import calendar_flags, cyclic_month
-from plotline.functions.numeric import round_hundreds, safe_ratio, zero_to_null
+from plotline.functions.numeric import money_avg, round_hundreds, safe_ratio, zero_to_null
 from plotline.operators.features import regression_metrics
 from plotline.operators.quantiles import exact_quantiles
 from plotline.operators.series import future_spine, yearly_total, yearly_forecast_total, align_full_outer
@@ -93,8 +93,8 @@ def forecast_cities(series: DataFrame, model: PipelineModel, months: int = K.FOR
                          F.col(value).alias("transaction_value"))
     spine = future_spine(hist, months, "city", "month")
     month_avg = hist.groupBy("city", F.month("month").alias("_m")).agg(
-        F.avg("transaction_value").alias("monthly_avg"))
-    city_avg = hist.groupBy("city").agg(F.avg("transaction_value").alias("city_avg"))
+        money_avg("transaction_value").alias("monthly_avg"))
+    city_avg = hist.groupBy("city").agg(money_avg("transaction_value").alias("city_avg"))
     flags = calendar_flags("date", post_year)
     feats = (spine.withColumn("_m", F.month("date"))
              .join(month_avg, ["city", "_m"], "left").join(city_avg, "city", "left")

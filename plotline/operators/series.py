@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions.dates import month_spine
-from plotline.functions.numeric import (annual_to_monthly_rate, pct_change, round_to,
+from plotline.functions.numeric import (annual_to_monthly_rate, money_avg, pct_change, round_to,
                                         trend_direction)
 from plotline.operators.quantiles import exact_quantiles
 
@@ -146,7 +146,7 @@ def future_spine(series: DataFrame, months: int, city: str = "city", date: str =
 def mean_by_month(series: DataFrame, value: str, date: str = "month",
                   keys: Sequence[str] = ()) -> DataFrame:
     return (series.groupBy(*keys, F.month(date).alias("month"))
-            .agg(F.avg(value).alias("monthly_avg")))
+            .agg(money_avg(value).alias("monthly_avg")))
 
 
 def yearly_forecast_total(pred: DataFrame, city: str = "city", date: str = "date",

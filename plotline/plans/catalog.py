@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline import constants as K
-from plotline.functions.numeric import price_per_m2, radius_bucket, round_to
+from plotline.functions.numeric import money_avg, price_per_m2, radius_bucket, round_to
 from plotline.functions.text import canonical_contains_ci, contains_arabic
 from plotline.operators import features as FE
 from plotline.operators import listings as L
@@ -609,7 +609,7 @@ def q_time_index_global(spark, d):
 
 
 @query("mean_by_month", with_views("transactions") +
-       "SELECT CAST(month(month) AS INTEGER) AS month, round(avg(transaction_value), 4) AS monthly_avg "
+       "SELECT CAST(month(month) AS INTEGER) AS month, round(CAST(sum(CAST(transaction_value AS DECIMAL(38,2))) AS DOUBLE) / CAST(count(transaction_value) AS DOUBLE), 4) AS monthly_avg "
        "FROM transactions GROUP BY 1")
 def q_mean_by_month(spark, d):
     m = S.mean_by_month(V.transactions(Tables(spark, d)), "transaction_value")
@@ -617,10 +617,10 @@ def q_mean_by_month(spark, d):
 
 
 @query("mean_by_city", with_views("transactions") +
-       "SELECT city, round(avg(transaction_value), 4) AS city_avg FROM transactions GROUP BY city")
+       "SELECT city, round(CAST(sum(CAST(transaction_value AS DECIMAL(38,2))) AS DOUBLE) / CAST(count(transaction_value) AS DOUBLE), 4) AS city_avg FROM transactions GROUP BY city")
 def q_mean_by_city(spark, d):
     return (V.transactions(Tables(spark, d)).groupBy("city")
-            .agg(round_to(F.avg("transaction_value"), 4).alias("city_avg")))
+            .agg(round_to(money_avg("transaction_value"), 4).alias("city_avg")))
 
 
 @query("distinct_cities", with_views("transactions") + "SELECT DISTINCT city FROM transactions")
@@ -717,8 +717,10 @@ SELECT date, city, CAST(row_number() OVER (PARTITION BY city ORDER BY date) - 1
        CAST(month(date) = 12 AS INTEGER) AS is_december,
        CAST(month(date) IN (6, 7, 8) AS INTEGER) AS is_summer,
        CAST(date = last_day(date) AND month(date) IN (3, 6, 9, 12) AS INTEGER) AS is_quarter_end,
-       round(avg(transaction_value) OVER (PARTITION BY city, month(date)), 4) AS monthly_avg,
-       round(avg(transaction_value) OVER (PARTITION BY city), 4) AS city_avg,
+       round(CAST(sum(CAST(transaction_value AS DECIMAL(38,2))) OVER (PARTITION BY city, month(date)) AS DOUBLE)
+             / CAST(count(transaction_value) OVER (PARTITION BY city, month(date)) AS DOUBLE), 4) AS monthly_avg,
+       round(CAST(sum(CAST(transaction_value AS DECIMAL(38,2))) OVER (PARTITION BY city) AS DOUBLE)
+             / CAST(count(transaction_value) OVER (PARTITION BY city) AS DOUBLE), 4) AS city_avg,
        CAST(year(date) > {POST_YEAR} AS INTEGER) AS post_{POST_YEAR},
        transaction_value
 FROM f"""
@@ -732,23 +734,25 @@ def q_forecast_features(spark, d):
 
 
 @query("forecast_baseline_metrics", with_views("transactions") + f"""
-, tr AS (SELECT city, month(month) AS m, avg(transaction_value) AS yhat FROM transactions
+, tr AS (SELECT city, month(month) AS m, CAST(sum(CAST(transaction_value AS DECIMAL(38,2))) AS DOUBLE) / CAST(count(transaction_value) AS DOUBLE) AS yhat FROM transactions
          WHERE month < DATE '{SPLIT_DATE}' GROUP BY 1, 2)
 , te AS (SELECT t.transaction_value AS y, tr.yhat FROM transactions t JOIN tr ON t.city = tr.city AND month(t.month) = tr.m
          WHERE t.month >= DATE '{SPLIT_DATE}')
-SELECT round(avg(abs(yhat - y)), 4) AS mae, round(sqrt(avg((yhat - y) * (yhat - y))), 4) AS rmse,
+SELECT round(avg(abs(yhat - y)), 2) AS mae, round(sqrt(avg((yhat - y) * (yhat - y))), 2) AS rmse,
        round(avg(abs(yhat - y) / abs(y)) * 100, 4) AS mape,
        round(1 - sum((yhat - y) * (yhat - y)) / (var_pop(y) * count(y)), 4) AS r2
 FROM te""")
 def q_forecast_baseline_metrics(spark, d):
     tr = V.transactions(Tables(spark, d))
     train = (tr.where(F.col("month") < F.lit(SPLIT_DATE).cast("date"))
-             .groupBy("city", F.month("month").alias("_m")).agg(F.avg("transaction_value").alias("y_hat")))
+             .groupBy("city", F.month("month").alias("_m")).agg(money_avg("transaction_value").alias("y_hat")))
     test = (tr.where(F.col("month") >= F.lit(SPLIT_DATE).cast("date"))
             .withColumn("_m", F.month("month")).join(train, ["city", "_m"])
             .select(F.col("transaction_value").alias("y"), "y_hat"))
     m = FE.regression_metrics(test)
-    return m.select(*[round_to(c, 4).alias(c) for c in m.columns])
+    # mae/rmse are ~1e6 sums of doubles in partition order: 2 decimals; mape/r2: 4
+    return m.select(round_to("mae", 2).alias("mae"), round_to("rmse", 2).alias("rmse"),
+                    round_to("mape", 4).alias("mape"), round_to("r2", 4).alias("r2"))
 
 
 _PRICE_FEAT_SQL = with_views("listing", "coords") + _PROPS_SQL + f"""
