@@ -63,11 +63,19 @@ def latest(sessions_meta: DataFrame) -> DataFrame:
         .select("_l.id", "_l.created_at")
 
 
-def explode(turns: DataFrame, hide_role: str | None = "system") -> DataFrame:
+def explode(turns: DataFrame, hide_role: str | None = "system", bucket: int = 10_000) -> DataFrame:
     """Messages in display order (conv_id, pos, role, text), optionally without one
-    role.  ``pos`` is a per-session row number: a window partitioned by session,
-    sorted with spill, so memory stays bounded even for a very long session."""
+    role.  ``pos`` is the 0-based rank of the turn within its session, computed
+    without sorting a whole session in one task: turns are cut into ranges of
+    ``bucket`` turn numbers, a running offset per (session, range) comes from the
+    small per-range count table, and row numbers run only within a range."""
     from pyspark.sql import Window
     t = turns.where(F.col("role") != hide_role) if hide_role else turns
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t.select("conv_id", (F.row_number().over(w) - 1).cast("bigint").alias("pos"), "role", "text")
+    t = t.withColumn("_b", F.floor(F.col("turn") / F.lit(bucket)))
+    counts = t.groupBy("conv_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("conv_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("conv_id", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("conv_id", "_b").orderBy("turn")
+    return (t.join(offsets, ["conv_id", "_b"])
+            .select("conv_id", (F.col("_off") + F.row_number().over(within) - 1).cast("bigint").alias("pos"),
+                    "role", "text"))

@@ -305,3 +305,14 @@ def test_rounding_noise_and_iso(spark):
     assert [x.transaction_value for x in a] == [x.transaction_value for x in b]     # seeded: repeatable
     for x, p in zip(a, plain):
         assert abs(x.transaction_value / p.transaction_value - 1) <= 0.015 + 1e-12
+
+
+def test_turn_positions_across_buckets(spark):
+    from plotline.operators import turns as TU
+    rows = [(7, i, "system" if i % 50 == 0 else "user", f"m{i}") for i in range(0, 3000, 3)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = [(r[1], r[2]) for r in rows if r[2] != "system"]
+    for b in (7, 100, 10_000):
+        got = sorted((r.pos, r.text) for r in TU.explode(t, bucket=b).collect())
+        assert [p for p, _ in got] == list(range(len(want)))
+        assert [x for _, x in got] == [f"m{turn}" for turn, _ in want]
