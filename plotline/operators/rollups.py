@@ -13,20 +13,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotline.functions.numeric import round_to
+from plotline.functions.numeric import money_avg, round_to
 from plotline.operators.joins import attach_row
 from plotline.operators.quantiles import exact_quantiles
 
 
 def market_stats(df: DataFrame, key: str, value: str = "price", prefix: str = "price",
                  out_key: str | None = None, bounded_keys: bool = False,
-                 materialize: bool = False) -> DataFrame:
+                 materialize: bool = False, avg_scale: int | None = None) -> DataFrame:
     """avg / median / max / min / count of ``value`` per ``key`` as truncated BIGINTs.
 
     Pandas group-by semantics: NULL keys dropped, the count counts non-NULL values,
     the median interpolates; rows sorted by key.  A key whose values are all NULL
     gets NULL stats and count 0.  ``bounded_keys``: the key comes from a fixed-size
-    dimension, so per-key statistics may be broadcast.
+    dimension, so per-key statistics may be broadcast.  ``avg_scale``: the values are
+    money with at most that many decimals, so the mean is an exact DECIMAL sum over
+    the count (independent of partitioning and summation order).
     """
     d = df.where(F.col(key).isNotNull())
     if materialize:
@@ -40,9 +42,10 @@ def market_stats(df: DataFrame, key: str, value: str = "price", prefix: str = "p
         from plotline.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(d.sparkSession)
         d = d.checkpoint(eager=True)
+    mean = money_avg(value, avg_scale) if avg_scale is not None else F.avg(value)
     res = exact_quantiles(
         d, [key], value, {"_med": 0.5}, broadcast_groups=bounded_keys,
-        extra_aggs=[F.avg(value).alias("_avg"), F.max(value).alias("_mx"),
+        extra_aggs=[mean.alias("_avg"), F.max(value).alias("_mx"),
                     F.min(value).alias("_mn"), F.count(value).alias("_cnt")])
     return (res.select(F.col(key).alias(out_key or key),
                        F.col("_avg").cast("bigint").alias(f"avg_{prefix}"),
@@ -54,7 +57,8 @@ def market_stats(df: DataFrame, key: str, value: str = "price", prefix: str = "p
 
 
 def market_stats_levels(df: DataFrame, levels: Sequence[str], value: str = "price",
-                        prefix: str = "price", bounded_keys: bool = False) -> DataFrame:
+                        prefix: str = "price", bounded_keys: bool = False,
+                        avg_scale: int | None = None) -> DataFrame:
     """The rollup at several location levels from ONE pass pair over ``df`` (grouping
     sets): each row is emitted once per level as ``(level, key, value)``, rows with a
     NULL key at a level are dropped for that level, and one exact-quantile aggregation
@@ -66,7 +70,8 @@ def market_stats_levels(df: DataFrame, levels: Sequence[str], value: str = "pric
          .select("_l.level", "_l.key", "_val").where(F.col("key").isNotNull()))
     res = exact_quantiles(
         x, ["level", "key"], "_val", {"_med": 0.5}, broadcast_groups=bounded_keys,
-        extra_aggs=[F.avg("_val").alias("_avg"), F.max("_val").alias("_mx"),
+        extra_aggs=[(money_avg("_val", avg_scale) if avg_scale is not None else F.avg("_val")).alias("_avg"),
+                    F.max("_val").alias("_mx"),
                     F.min("_val").alias("_mn"), F.count("_val").alias("_cnt")])
     return (res.select("level", "key",
                        F.col("_avg").cast("bigint").alias(f"avg_{prefix}"),

@@ -67,9 +67,11 @@ def _in_list(xs) -> str:
 
 
 def _stats_sql(src: str, key: str, value: str = "price", prefix: str = "price",
-               out_key: str | None = None) -> str:
+               out_key: str | None = None, scale: int = 2) -> str:
     ok = out_key or key
-    return (f"SELECT {key} AS {ok}, CAST(trunc(avg({value})) AS BIGINT) AS avg_{prefix}, "
+    mean = (f"CAST(sum(CAST({value} AS DECIMAL(38,{scale}))) AS DOUBLE) "
+            f"/ CAST(count({value}) AS DOUBLE)")
+    return (f"SELECT {key} AS {ok}, CAST(trunc({mean}) AS BIGINT) AS avg_{prefix}, "
             f"CAST(trunc(median({value})) AS BIGINT) AS median_{prefix}, "
             f"CAST(trunc(max({value})) AS BIGINT) AS max_{prefix}, "
             f"CAST(trunc(min({value})) AS BIGINT) AS min_{prefix}, "
@@ -82,7 +84,7 @@ def _listing(spark, d, with_part=True):
 
 
 def district_rollup(spark, d) -> DataFrame:
-    return R.market_stats(_listing(spark, d, False), "district", bounded_keys=True)
+    return R.market_stats(_listing(spark, d, False), "district", bounded_keys=True, avg_scale=2)
 
 
 # Parsed-text CTEs (oracle side) ----------------------------------------------------
@@ -129,7 +131,7 @@ def _night_case(col: str = "Address") -> str:
 
 @query("rollup_price_by_province", with_views("listing") + _stats_sql("listing", "province"))
 def q_rollup_price_by_province(spark, d):
-    return R.market_stats(_listing(spark, d, False), "province", bounded_keys=True)
+    return R.market_stats(_listing(spark, d, False), "province", bounded_keys=True, avg_scale=2)
 
 
 @query("rollup_price_by_district", with_views("listing", "coords") +
@@ -142,7 +144,7 @@ def q_rollup_price_by_district(spark, d):
 
 @query("rollup_price_by_city", with_views("listing") + _stats_sql("listing", "city"))
 def q_rollup_price_by_city(spark, d):
-    return R.market_stats(_listing(spark, d, False), "city")
+    return R.market_stats(_listing(spark, d, False), "city", avg_scale=2)
 
 
 def _rent_parsed(spark, d):
@@ -151,27 +153,27 @@ def _rent_parsed(spark, d):
 
 
 @query("rollup_rent_year_by_province", with_views("raw_rent") + _CLEAN_RENT_SQL +
-       _stats_sql("rent_prov", "province", prefix="rent"))
+       _stats_sql("rent_prov", "province", prefix="rent", scale=4))
 def q_rollup_rent_year_by_province(spark, d):
     return R.market_stats(_rent_parsed(spark, d), "province", "price", "rent", bounded_keys=True,
-                          materialize=True)
+                          materialize=True, avg_scale=4)
 
 
 @query("rollup_rent_year_by_district", with_views("raw_rent", "coords") + _CLEAN_RENT_SQL +
        f"SELECT s.*, c.latitude, c.longitude FROM ("
-       f"{_stats_sql('rent_prov', 'district', prefix='rent')}"
+       f"{_stats_sql('rent_prov', 'district', prefix='rent', scale=4)}"
        f") s LEFT JOIN coords c USING (district)")
 def q_rollup_rent_year_by_district(spark, d):
     t = Tables(spark, d)
     r = R.market_stats(_rent_parsed(spark, d), "district", "price", "rent", bounded_keys=True,
-                       materialize=True)
+                       materialize=True, avg_scale=4)
     return R.attach_coords(r, V.coords(t), "district", "left").orderBy("district")
 
 
 @query("rollup_rent_year_by_city", with_views("raw_rent") + _CLEAN_RENT_SQL +
-       _stats_sql("rent_prov", "city", prefix="rent"))
+       _stats_sql("rent_prov", "city", prefix="rent", scale=4))
 def q_rollup_rent_year_by_city(spark, d):
-    return R.market_stats(_rent_parsed(spark, d), "city", "price", "rent", materialize=True)
+    return R.market_stats(_rent_parsed(spark, d), "city", "price", "rent", materialize=True, avg_scale=4)
 
 
 def _night(spark, d):
@@ -181,18 +183,19 @@ def _night(spark, d):
 
 @query("rollup_rent_night_by_province", with_views("night") +
        f", np AS (SELECT *, {_night_case()} AS province FROM night) " +
-       _stats_sql("np", "province", "rent_night", "rent"))
+       _stats_sql("np", "province", "rent_night", "rent", scale=4))
 def q_rollup_rent_night_by_province(spark, d):
     return R.market_stats(_night(spark, d), "province", "rent_night", "rent", bounded_keys=True,
-                          materialize=True)
+                          materialize=True, avg_scale=4)
 
 
 @query("rollup_rent_night_other", with_views("night") +
        f", np AS (SELECT *, {_night_case()} AS province FROM night WHERE ({_night_case()}) IS NULL) " +
-       _stats_sql("np", "Address", "rent_night", "rent", out_key="address"))
+       _stats_sql("np", "Address", "rent_night", "rent", out_key="address", scale=4))
 def q_rollup_rent_night_other(spark, d):
     n = _night(spark, d).where(F.col("province").isNull())
-    return R.market_stats(n, "Address", "rent_night", "rent", out_key="address", materialize=True)
+    return R.market_stats(n, "Address", "rent_night", "rent", out_key="address",
+                          materialize=True, avg_scale=4)
 
 
 @query("market_comparison", with_views("listing") + f"""
@@ -214,7 +217,7 @@ def q_market_comparison(spark, d):
 def q_rollup_price_levels(spark, d):
     """The province, district and city rollups of one listing table in a single plan
     (grouping sets: one scan pair instead of three)."""
-    return R.market_stats_levels(_listing(spark, d, False), ["province", "district", "city"])
+    return R.market_stats_levels(_listing(spark, d, False), ["province", "district", "city"], avg_scale=2)
 
 
 # ============================ dashboard ===========================================
@@ -347,7 +350,8 @@ def q_dedupe_by_key(spark, d):
        f"UNION ALL SELECT district, median_price, avg_price, min_price FROM ({_stats_sql('listing', 'district')})")
 def q_chart_projection(spark, d):
     # One scan pair for both levels (grouping sets) instead of one per rollup.
-    both = R.market_stats_levels(_listing(spark, d, False), ["province", "district"], bounded_keys=True)
+    both = R.market_stats_levels(_listing(spark, d, False), ["province", "district"], bounded_keys=True,
+                                  avg_scale=2)
     return both.select(F.col("key").alias("name"), "median_price", "avg_price", "min_price")
 
 
