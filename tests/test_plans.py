@@ -67,3 +67,13 @@ def test_no_unpartitioned_window_over_facts(spark):
         for line in p.splitlines():
             if re.search(r"\bWindow \[", line):
                 assert "partition" not in line or "[]" not in line.split("partitionSpec")[-1][:3]
+
+
+def test_group_join_policy(spark):
+    """Unbounded keys (city) go through the salted join; bounded keys (province) broadcast
+    their per-key statistics instead of shuffling the facts."""
+    city = plan_of(E.queries()["rollup_price_by_city"](spark, SF_SMALL))
+    prov = plan_of(E.queries()["rollup_price_by_province"](spark, SF_SMALL))
+    assert "_salt" in city
+    assert "_salt" not in prov
+    assert re.search(r"BroadcastHashJoin \[province#\d+\], \[province#\d+\]", prov)
