@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import hypergeometric_shards, importance_resampling, kdtree_search, language_id
+from . import (best_fit_packing, dart_minhash, hypergeometric_shards, importance_resampling, kdtree_search,
+               language_id, license_scan, line_winnowing, skip_chain_crf, template_decontamination)
 
 QUERIES = {
     "op1_language_id": language_id.op1,
+    "op2_license_scan": license_scan.op2,
     "op3_hypergeometric_shards": hypergeometric_shards.op3,
     "op4_importance_resampling": importance_resampling.op4,
+    "op5_line_winnowing": line_winnowing.op5,
+    "op6_template_decontamination": template_decontamination.op6,
+    "op7_best_fit_packing": best_fit_packing.op7,
     "op8_kdtree_top_k": kdtree_search.op8,
+    "op9_dart_minhash": dart_minhash.op9,
+    "op10_skip_chain_crf": skip_chain_crf.op10,
 }
 
-ORACLE = {"op8_kdtree_top_k": kdtree_search.OP8_SQL}
+ORACLE = {"op5_line_winnowing": line_winnowing.OP5_SQL, "op8_kdtree_top_k": kdtree_search.OP8_SQL}
