@@ -257,11 +257,12 @@ def pack(pieces: DataFrame, capacity: int = LENGTH) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", *[
         common.col(c) for c in names if c not in ("doc_id", "piece", "length")]))
     ranked = rows.withColumn("_at", within).join(before.select("length", "_part", "_base"), ["length", "_part"]) \
-        .select(*map(common.col, names), (F.coalesce("_base", F.lit(0)) + F.col("_at") - 1).alias("_rank"))
+        .select(F.struct(*map(common.col, names)).alias("row"), "length",
+                (F.coalesce("_base", F.lit(0)) + F.col("_at") - 1).alias("rank"))
 
     def place(batches):
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for s in np.unique(length):
                 on = np.flatnonzero(length == s)
@@ -269,9 +270,10 @@ def pack(pieces: DataFrame, capacity: int = LENGTH) -> DataFrame:
                 i = np.searchsorted(first, rank[on], side="right") - 1
                 k = rank[on] - first[i]
                 seq[on], off[on] = base[i] + k // each[i], offset[i] + k % each[i] * s
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seq), pa.array(off)],
-                                             names=[*names, "sequence_id", "offset"])
-    return ranked.mapInArrow(place, ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(seq), pa.array(off)],
+                                             names=["row", "sequence_id", "offset"])
+    placed = ranked.mapInArrow(place, ranked.select("row").schema.add("sequence_id", "long").add("offset", "long"))
+    return placed.select("row.*", "sequence_id", "offset")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

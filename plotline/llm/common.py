@@ -29,6 +29,23 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def rows_with(docs: DataFrame, keys: DataFrame, mark, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with ``keys`` (an id and a mark of the text; null is
+    equal to null), ``mark`` being the same of ``docs``."""
+    a, b = fresh(docs, "id"), fresh(docs, "mark")
+    keys = keys.toDF(a, b).distinct()
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys[a]) & mark.eqNullSafe(keys[b]), how)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder that ``spark.checkpoint.dir`` names."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -254,10 +254,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the row with its class id (the
     smallest doc_id); null texts and classes without any id stay whole."""
     classes = near_duplicate_classes(docs, **options)
-    first = classes.where("doc_id = class_id or class_id is null").select(
-        F.col("doc_id").alias("_llm_id"), F.col("key").alias("_llm_key")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_llm_id")) & F.unhex(F.md5(docs["text"])).eqNullSafe(F.col("_llm_key"))
-    return docs.join(first, same, "left_semi")
+    first = classes.where("doc_id = class_id or class_id is null").select("doc_id", "key")
+    return common.rows_with(docs, first, F.unhex(F.md5(docs["text"])), "left_semi")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def uniform_shards(df: DataFrame, n_shards: int = 8, seed: int = 20_240, blocks:
     bounds = _table(spark, [{"block": b, "upto": np.cumsum(row).tolist()}
                             for (b, _), row in zip(sizes, matrix, strict=True)],
                     "block:bigint,upto:array<bigint>")
-    local = F.row_number().over(Window.partitionBy("block").orderBy("first", "second", "row")).cast("bigint")
+    local = F.row_number().over(Window.partitionBy("block").orderBy("first", "second")).cast("bigint")
     dealt = rows.withColumn("at", local).join(F.broadcast(bounds), "block").select(
         "row", "part", "second", "first",
         F.size(F.filter("upto", lambda x: x < F.col("at"))).alias("shard"))
@@ -133,7 +133,7 @@ def uniform_shards(df: DataFrame, n_shards: int = 8, seed: int = 20_240, blocks:
         offsets.append({"shard": s, "part": p, "base": seen[s]})
         seen[s] += n
     base = _table(spark, offsets, "shard:int,part:bigint,base:bigint")
-    again = F.row_number().over(Window.partitionBy("shard", "part").orderBy("second", "first", "row"))
+    again = F.row_number().over(Window.partitionBy("shard", "part").orderBy("second", "first"))
     out = dealt.withColumn("at", again).join(F.broadcast(base), ["shard", "part"])
     return out.select("row.*", "shard", (F.col("base") + F.col("at") - 1).alias("slot"))
 

@@ -156,10 +156,8 @@ def resample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS,
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the resampling takes, all columns."""
-    taken = resample(docs, labels, **options).select(
-        F.col("doc_id").alias("_llm_id"), F.col("h").alias("_llm_h")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_llm_id")) & (F.xxhash64(docs["text"]) == F.col("_llm_h"))
-    return docs.join(taken, same, "left_semi")
+    taken = resample(docs, labels, **options).select("doc_id", "h")
+    return common.rows_with(docs, taken, F.xxhash64(docs["text"]), "left_semi")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -221,12 +221,12 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG,
 def predict(docs: DataFrame, model: dict, keep: list[Column]) -> DataFrame:
     """``keep`` columns of ``docs`` with ``lang_pred`` and ``score``, from ``text`` alone."""
     langs, table = model["langs"], model["table"]
-    held = docs.select(*keep, common.col("text").alias("_llm_text"))
-    schema = held.drop("_llm_text").schema.add("lang_pred", "string").add("score", "double")
+    held = docs.select(F.struct(*keep).alias("row"), common.col("text").alias("text"))
+    schema = held.select("row").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column("text")
             lang, score = [], []
             for a, b in _batches(texts):
                 part = texts.slice(a, b - a).to_pylist()
@@ -244,9 +244,9 @@ def predict(docs: DataFrame, model: dict, keep: list[Column]) -> DataFrame:
                     lang += ["und"] * len(part)
                     score += [0.0] * len(part)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                names=[f.name for f in schema.fields])
-    return held.mapInArrow(run, schema)
+                [batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                names=["row", "lang_pred", "score"])
+    return held.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -150,8 +150,9 @@ def statements(files: DataFrame, templates: dict[str, list[str]], threshold: flo
                 [*batch.columns[:-1], pa.array(cos), pa.array(name, pa.string()), pa.array(share)],
                 names=[*batch.schema.names[:-1], "_cos", "_name", "_share"])
     keys = files.drop("text").columns
-    rows = files.select(*map(common.col, keys), "text")
-    return rows.mapInArrow(run, rows.drop("text").schema.add("_cos", "double").add("_name", "string").add("_share", "double"))
+    rows = files.select(F.struct(*map(common.col, keys)).alias("row"), "text")
+    return rows.mapInArrow(run, rows.drop("text").schema.add("_cos", "double").add("_name", "string").add("_share", "double")) \
+        .select("row.*", "_cos", "_name", "_share")
 
 
 def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

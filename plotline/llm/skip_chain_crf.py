@@ -86,16 +86,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---------------------------------------------------------------- the field
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Token spans (runs without white space that hold a digit or an at sign), without
-    marks at their ends."""
-    out = []
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Token spans in order: every base span, and every other run without white space that
+    holds a digit or an at sign, without marks at its ends."""
+    out = {(a, b) for a, _, b in base}
+    reach, spans = 0, sorted(out)
+    at = 0
     for m in _TOKEN.finditer(text):
         core = _EDGE.sub("", m[0])
-        if core:
-            a = m.start() + m[0].index(core)
-            out.append((a, a + len(core)))
-    return out
+        if not core:
+            continue
+        a = m.start() + m[0].index(core)
+        b = a + len(core)
+        while at < len(spans) and spans[at][0] < b:
+            reach = max(reach, spans[at][1])
+            at += 1
+        if reach <= a:
+            out.add((a, b))
+    return sorted(out)
 
 
 FEATURES = 34
@@ -134,18 +142,9 @@ def graph(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int
 
 
 def labels_of(tokens: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> np.ndarray:
-    """The kind of the base span that covers most of the token (0: none covers half)."""
-    y, j = np.zeros(len(tokens), dtype=np.int64), 0
-    spans = sorted((a, b, k) for a, k, b in base)
-    for i, (a, b) in enumerate(tokens):
-        best = 0
-        while j < len(spans) and spans[j][0] < a and spans[j][1] <= a and j + 1 < len(spans) and spans[j + 1][0] <= a:
-            j += 1
-        for s, e, k in spans[max(0, j - 4): j + 8]:
-            cover = min(b, e) - max(a, s)
-            if cover > best and 2 * cover >= b - a:
-                best, y[i] = cover, k + 1
-    return y
+    """The kind of the base span that the token is (the first listed), or 0."""
+    kind = {(a, b): k + 1 for a, k, b in reversed(base)}
+    return np.array([kind.get(t, 0) for t in tokens], dtype=np.int64)
 
 
 def marginals(unary: np.ndarray, links: list[tuple[int, int]], potentials: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
@@ -174,20 +173,26 @@ def marginals(unary: np.ndarray, links: list[tuple[int, int]], potentials: list[
     return p / p.sum(1, keepdims=True)
 
 
+#: Prior mean of the skip agreement, and its pull: base spans alone say little about forms
+#: that no pattern covers, which is what skip links are for.
+SKIP_PRIOR, SKIP_PULL = 4.0, 0.05
+
+
 def fit(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> dict[str, np.ndarray]:
     """Pseudo-likelihood weights: emission (FEATURES x LABELS), chain (LABELS x LABELS) and
-    skip agreement of each label.  Skip weights are kept from going below zero: tokens
-    that resemble each other never push each other apart."""
+    skip agreement of each label, all with Gaussian priors.  Skip weights are kept from
+    going below zero: tokens that resemble each other never push each other apart."""
     fx, ys, chains, skips, base = [], [], [], [], 0
     for text in texts:
-        tokens = candidates(text)
+        spans = base_spans(text)
+        tokens = candidates(text, spans)
         chain, skip = graph(text, tokens)
         fx += [features(text[a:b]) for a, b in tokens]
-        ys.append(labels_of(tokens, base_spans(text)))
+        ys.append(labels_of(tokens, spans))
         chains += [(i + base, j + base) for i, j in chain]
         skips += [(i + base, j + base) for i, j in skip]
         base += len(tokens)
-    w = {"emit": np.zeros((FEATURES, LABELS)), "chain": np.zeros((LABELS, LABELS)), "skip": np.zeros(LABELS)}
+    w = {"emit": np.zeros((FEATURES, LABELS)), "chain": np.zeros((LABELS, LABELS)), "skip": np.full(LABELS, SKIP_PRIOR)}
     if not base:
         return w
     y = np.concatenate(ys)
@@ -210,7 +215,7 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e
         d = (one - p) / base
         grad = {"emit": x.T @ d, "chain": left.T @ d + (right.T @ d).T, "skip": (skip * d).sum(0)}
         for k, g in grad.items():
-            g = g - decay * w[k]
+            g = g - (SKIP_PULL * (w[k] - SKIP_PRIOR) if k == "skip" else decay * w[k])
             total[k] += g * g
             w[k] = w[k] + rate * g / np.sqrt(total[k])
         w["skip"] = np.maximum(w["skip"], 0)
@@ -218,7 +223,7 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], w: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
-    tokens = candidates(text)
+    tokens = candidates(text, base)
     if len(tokens) < 2:
         return []
     chain, skip = graph(text, tokens)

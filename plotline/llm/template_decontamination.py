@@ -8,7 +8,8 @@ are one window of all.  Windows also count as written (in lower case, no placeho
 a text in capitals hides its names.  Documents' windows are joined with the items' by hash.
 A match counts if its slots are consistent: each slot value of the item goes with one value of the
 document and the other way round.  So an item copied with other numbers, names or units is
-caught (``reparameterised``), as is one copied as it is (``exact``).
+caught (``reparameterised``), as is one copied as it is (``exact``).  Slots are compared
+over all windows of one copy.
 
 Map tasks pass on only windows that a fixed 2 MB bitmap of the items' templates lets
 through; the join that follows is exact, so neither table's size is bounded.
@@ -116,6 +117,12 @@ def _windows(units: np.ndarray, sizes: list[int], bitmap: bytes | None, whole: b
 _SCHEMA = "id long, h long, t long, at long, slots array<long>"
 
 
+def _bijection(pairs):
+    """Whether (slots, item_slots) pairs match each value with one value both ways."""
+    n = F.size(F.array_distinct(pairs))
+    return (n == F.size(F.array_distinct(pairs["slots"]))) & (n == F.size(F.array_distinct(pairs["item_slots"])))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``h`` (xxhash64 of the text), ``item_id``, ``kind``, ``windows`` (consistent
     ones), ``first_token`` and ``last_token`` of the document that they span."""
@@ -129,21 +136,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
     found = rows.mapInArrow(_windows(units, used, bitmap, False), _SCHEMA)
     hits = found.join(item_windows, "t").where(F.size("slots") == F.size("item_slots"))
-    # literal tokens are 0 on both sides, so a bijection of all values is one of the slots
-    both = F.size(F.array_distinct(F.arrays_zip("slots", "item_slots")))
-    steady = hits.where((both == F.size(F.array_distinct("slots"))) & (both == F.size(F.array_distinct("item_slots"))))
-    return steady.groupBy("id", "h", "item_id").agg(
-        F.when(F.max(F.when(F.col("slots") == F.col("item_slots"), 1).otherwise(0)) == 1, "exact")
-        .otherwise("reparameterised").alias("kind"),
-        F.count_distinct("at").alias("windows"), F.min("at").alias("first_token"),
-        F.max(F.col("at") + F.size("slots") - 1).alias("last_token")).withColumnRenamed("id", "doc_id")
+    # windows that lie alike in both texts are one copy, whose slots must agree throughout;
+    # where they don't, only windows without a change count (an item bounds a copy's windows)
+    pair = F.filter(F.arrays_zip("slots", "item_slots"), lambda x: x["slots"] != 0)
+    copies = hits.groupBy("id", "h", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"),
+        F.collect_set(F.struct("at", (F.col("at") + F.size("slots") - 1).alias("last"),
+                               (F.col("slots") != F.col("item_slots")).alias("changed"))).alias("windows"))
+    counted = F.filter("windows", lambda w: F.col("agrees") | ~w["changed"])
+    found = copies.withColumn("agrees", _bijection(F.col("pairs"))).select("id", "h", "item_id", F.explode(counted).alias("w"))
+    return found.groupBy("id", "h", "item_id").agg(
+        F.when(F.max(F.col("w.changed").cast("int")) == 1, "reparameterised").otherwise("exact").alias("kind"),
+        F.count_distinct("w.at").alias("windows"), F.min("w.at").alias("first_token"),
+        F.max("w.last").alias("last_token")).withColumnRenamed("id", "doc_id")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no benchmark item leaked into."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_llm_id"), F.col("h").alias("_llm_h")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_llm_id")) & (F.xxhash64(docs["text"]) == F.col("_llm_h"))
-    return docs.join(found, same, "left_anti")
+    return common.rows_with(docs, leaks(docs, benchmark).select("doc_id", "h"), F.xxhash64(docs["text"]), "left_anti")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
