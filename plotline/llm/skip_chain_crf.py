@@ -295,7 +295,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
         w = fit(texts)
         yield pd.DataFrame({k: [v.astype(float).tobytes()] for k, v in w.items()})
 
-    got = some.where(pick < sample / max(1, n)).coalesce(1).mapInPandas(run, "emit binary, chain binary, skip binary").first()
+    got = some.where(pick < sample / max(1, n)).repartition(1).mapInPandas(run, "emit binary, chain binary, skip binary").first()
     shapes = {"emit": (FEATURES, LABELS), "chain": (LABELS, LABELS), "skip": (LABELS,)}
     if got is None:
         return {k: np.zeros(s) for k, s in shapes.items()}
