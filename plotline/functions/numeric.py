@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["money_avg", "round_to", "price_per_m2", "price_per_m2_raw", "safe_ratio", "zero_to_null", "null_to_zero",
+__all__ = ["EXACT", "exact_sum", "money_avg", "round_to", "price_per_m2", "safe_ratio", "zero_to_null", "null_to_zero",
            "truncate_int", "round_hundreds", "round_half_up", "pct_change",
            "annual_to_monthly_rate", "trend_direction", "radius_bucket", "uniform_noise"]
 
@@ -26,12 +26,20 @@ def round_to(x, digits: int) -> Column:
     return F.signum(v) * F.floor(F.abs(v) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
-def money_avg(x, scale: int = 2) -> Column:
-    """Mean of money values (at most ``scale`` decimals) as an exact DECIMAL sum divided
-    by the count: the result does not depend on partitioning or summation order, so
-    reruns and other engines agree to the last bit."""
-    v = _c(x)
-    return F.sum(v.cast(f"decimal(38,{scale})")).cast("double") / F.count(v).cast("double")
+#: Exact sums run in this type: 12 decimals and 26 digits before them.  A value beyond
+#: raises; none is rounded to cents.
+EXACT = "decimal(38,12)"
+
+
+def exact_sum(x) -> Column:
+    """Sum that does not depend on partitioning or summation order, as a double."""
+    return F.sum(_c(x).cast(EXACT)).cast("double")
+
+
+def money_avg(x) -> Column:
+    """Mean as an exact sum divided by the count: reruns and other engines agree to the
+    last bit."""
+    return exact_sum(x) / F.count(_c(x)).cast("double")
 
 
 def price_per_m2(price, size) -> Column:
@@ -39,10 +47,6 @@ def price_per_m2(price, size) -> Column:
     return F.when(_c(size) > 0, round_to(_c(price) / _c(size), 2)).otherwise(F.lit(0.0))
 
 
-def price_per_m2_raw(price, size) -> Column:
-    return F.try_divide(_c(price).cast("double"), _c(size).cast("double"))
-
-
 def safe_ratio(a, b) -> Column:
     """a / b with NULL for a zero or NULL divisor (pandas gives inf, then NaN)."""
     return F.try_divide(_c(a).cast("double"), F.nullif(_c(b).cast("double"), F.lit(0.0)))
@@ -91,6 +95,8 @@ def radius_bucket(n, steps: Sequence[tuple[int, int]], default: int, scale: int)
     return out.otherwise(F.lit(default * scale))
 
 
-def uniform_noise(seed: int, spread: float = 0.015) -> Column:
-    """Factor in [1-spread, 1+spread]; seeded so reruns agree."""
-    return F.lit(1.0) + (F.rand(seed) - F.lit(0.5)) * F.lit(2 * spread)
+def uniform_noise(seed: int, *keys, spread: float = 0.015) -> Column:
+    """Factor in [1-spread, 1+spread) from a hash of the seed and the row's keys: it does
+    not change with the partition layout or a rerun."""
+    unit = F.pmod(F.xxhash64(F.lit(seed), *[_c(k) for k in keys]), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return F.lit(1.0) + (unit - F.lit(0.5)) * F.lit(2 * spread)

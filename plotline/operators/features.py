@@ -108,28 +108,38 @@ def price_features(props: DataFrame, property_type: str = "Apartment",
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """Pearson r for every ordered pair of ``cols`` (pairwise-complete: a row counts for
-    a pair when both values are present).  One aggregation pass, then unpivot."""
+    """Pearson r for every ordered pair of ``cols``, the diagonal included
+    (pairwise-complete: a row counts for a pair when both values are present); NULL where
+    one of the two is constant over those rows.  One aggregation pass, then unpivot."""
     cols = list(cols)
-    pairs = list(itertools.combinations(cols, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    pairs = list(itertools.combinations_with_replacement(cols, 2))
+
+    def r(a: str, b: str) -> Column:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+        return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+    row = df.agg(*[r(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     stack = F.explode(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("r"))
         for i, (a, b) in enumerate(pairs)]))
     half = row.select(stack.alias("_s")).select("_s.*")
-    mirrored = half.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
-    diag = half.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "col_a string, col_b string, r double")
-    return (half.unionByName(mirrored).unionByName(diag)
-            .select("col_a", "col_b", round_to("r", digits).alias("r")))
+    mirrored = half.where("col_a <> col_b").select(
+        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
+    return half.unionByName(mirrored).select("col_a", "col_b", round_to("r", digits).alias("r"))
 
 
 def regression_metrics(pred: DataFrame, y: str = "y", yhat: str = "y_hat") -> DataFrame:
-    """One row: mae, rmse, mape (percent), r2 = 1 − SSE/SST, over rows with both values."""
+    """One row: mae, rmse, mape (percent), r2 = 1 − SSE/SST, over rows with both values.
+    ``mape`` leaves out rows with y = 0 (NULL if there are no others); ``r2`` is NULL
+    where y is constant."""
     d = pred.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
     e = F.col(yhat) - F.col(y)
+    share = F.try_divide(F.abs(e), F.nullif(F.abs(F.col(y).cast("double")), F.lit(0.0)))
+    sst = F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))
     return d.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-                 (F.avg(F.abs(e) / F.abs(F.col(y))) * 100).alias("mape"),
-                 (F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"))
+                 (F.avg(share) * 100).alias("mape"),
+                 (F.lit(1.0) - F.try_divide(F.sum(e * e), sst)).alias("r2"))
 
 
 def rare_categories(df: DataFrame, key: str, min_rows: int) -> DataFrame:

@@ -14,11 +14,6 @@ def drop_if_all_present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.drop(*cols) if set(cols) <= set(df.columns) else df
 
 
-def with_label(df: DataFrame, name: str, value) -> DataFrame:
-    """A literal label column (scenario name, city, source)."""
-    return df.withColumn(name, F.lit(value))
-
-
 def one_hot_columns(df: DataFrame, col: str, levels: Sequence[str], prefix: str | None = None) -> DataFrame:
     """``get_dummies`` for a known level list: one 0/1 INT column per level, named
     ``<prefix>_<level>``; a value outside the list is all zeros.  The level list is a

@@ -20,15 +20,14 @@ from plotline.operators.quantiles import exact_quantiles
 
 def market_stats(df: DataFrame, key: str, value: str = "price", prefix: str = "price",
                  out_key: str | None = None, bounded_keys: bool = False,
-                 materialize: bool = False, avg_scale: int | None = None) -> DataFrame:
+                 materialize: bool = False) -> DataFrame:
     """avg / median / max / min / count of ``value`` per ``key`` as truncated BIGINTs.
 
     Pandas group-by semantics: NULL keys dropped, the count counts non-NULL values,
     the median interpolates; rows sorted by key.  A key whose values are all NULL
     gets NULL stats and count 0.  ``bounded_keys``: the key comes from a fixed-size
-    dimension, so per-key statistics may be broadcast.  ``avg_scale``: the values are
-    money with at most that many decimals, so the mean is an exact DECIMAL sum over
-    the count (independent of partitioning and summation order).
+    dimension, so per-key statistics may be broadcast.  The mean is an exact sum over the
+    count (independent of partitioning and summation order).
     """
     d = df.where(F.col(key).isNotNull())
     if materialize:
@@ -42,7 +41,7 @@ def market_stats(df: DataFrame, key: str, value: str = "price", prefix: str = "p
         from plotline.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(d.sparkSession)
         d = d.checkpoint(eager=True)
-    mean = money_avg(value, avg_scale) if avg_scale is not None else F.avg(value)
+    mean = money_avg(value)
     res = exact_quantiles(
         d, [key], value, {"_med": 0.5}, broadcast_groups=bounded_keys,
         extra_aggs=[mean.alias("_avg"), F.max(value).alias("_mx"),
@@ -56,9 +55,16 @@ def market_stats(df: DataFrame, key: str, value: str = "price", prefix: str = "p
             .orderBy(out_key or key))
 
 
+def market_extremes(df: DataFrame, key: str, value: str = "price", prefix: str = "price") -> DataFrame:
+    """The max, min and count columns of ``market_stats``, for readers that need no
+    median: one scan and one hash aggregation."""
+    return (df.where(F.col(key).isNotNull()).groupBy(key)
+            .agg(F.max(value).cast("bigint").alias(f"max_{prefix}"), F.min(value).cast("bigint").alias(f"min_{prefix}"),
+                 F.count(value).alias("listings_count")))
+
+
 def market_stats_levels(df: DataFrame, levels: Sequence[str], value: str = "price",
-                        prefix: str = "price", bounded_keys: bool = False,
-                        avg_scale: int | None = None) -> DataFrame:
+                        prefix: str = "price", bounded_keys: bool = False) -> DataFrame:
     """The rollup at several location levels from ONE pass pair over ``df`` (grouping
     sets): each row is emitted once per level as ``(level, key, value)``, rows with a
     NULL key at a level are dropped for that level, and one exact-quantile aggregation
@@ -70,7 +76,7 @@ def market_stats_levels(df: DataFrame, levels: Sequence[str], value: str = "pric
          .select("_l.level", "_l.key", "_val").where(F.col("key").isNotNull()))
     res = exact_quantiles(
         x, ["level", "key"], "_val", {"_med": 0.5}, broadcast_groups=bounded_keys,
-        extra_aggs=[(money_avg("_val", avg_scale) if avg_scale is not None else F.avg("_val")).alias("_avg"),
+        extra_aggs=[money_avg("_val").alias("_avg"),
                     F.max("_val").alias("_mx"),
                     F.min("_val").alias("_mn"), F.count("_val").alias("_cnt")])
     return (res.select("level", "key",
@@ -173,12 +179,6 @@ def filter_gt(df: DataFrame, col: str, threshold) -> DataFrame:
     return df.where(F.col(col) > threshold)
 
 
-def chart_projection(df: DataFrame) -> DataFrame:
-    """Bar-chart rows: name = province when present else district, plus median/avg/min."""
-    name = F.coalesce(*[F.col(c) for c in ("province", "district") if c in df.columns])
-    return df.select(name.alias("name"), "median_price", "avg_price", "min_price")
-
-
 def max_by_key(df: DataFrame, what: str, by: str, alias: str) -> DataFrame:
     """Single row: ``what`` at the largest ``by`` (ties: smallest ``what``)."""
     return df.agg(_top_by(df, what, by, True).alias(alias), F.max(by).alias(f"max_{by}"))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions.dates import month_spine
-from plotline.functions.numeric import (annual_to_monthly_rate, money_avg, pct_change, round_to,
-                                        trend_direction)
+from plotline.functions.numeric import (EXACT, annual_to_monthly_rate, exact_sum, money_avg, pct_change,
+                                        round_to, trend_direction, uniform_noise)
 from plotline.operators.quantiles import exact_quantiles
 
 
@@ -31,18 +31,21 @@ def join_series(counts: DataFrame, values: DataFrame, keys: Sequence[str] = ("Da
 
 def monthly_total_by_city(df: DataFrame, city: str, date: str, value: str,
                           date_format: str | None = None) -> DataFrame:
-    """Sum of ``value`` per (city, month); non-numeric values count as 0.  Sums run in
-    DECIMAL(38,2) so the total does not depend on the summation order."""
+    """Sum of ``value`` per (city, month); values that are no (finite) number count as 0.
+    Sums are exact (``EXACT``), so the total does not depend on the summation order; a
+    number too large for them raises."""
     d = F.to_date(F.col(date), date_format) if date_format else F.col(date)
-    v = F.coalesce(F.col(value).try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    number = F.col(value).try_cast("double")
+    known = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    v = F.when(known, F.col(value).cast(EXACT)).otherwise(F.lit(0).cast(EXACT))
     return (df.groupBy(F.col(city).alias("city"), F.trunc(d, "MM").alias("month"))
-            .agg(F.sum(v).cast("double").alias("total_value"))
+            .agg(exact_sum(v).alias("total_value"))
             .orderBy("month", "city"))
 
 
 def yearly_total(df: DataFrame, city: str, date: str, value: str) -> DataFrame:
     return (df.groupBy(F.col(city).alias("city"), F.year(date).alias("year"))
-            .agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("total_value"))
+            .agg(exact_sum(value).alias("total_value"))
             .orderBy("city", "year"))
 
 
@@ -102,7 +105,7 @@ def scenario_projection(series: DataFrame, rates: DataFrame, default_city: str,
     trend = F.col("_start") * F.pow(m, (F.month("date") - 1).cast("double")) - F.col("_start")
     projected = F.col("price") + trend
     if noise_seed is not None:
-        projected = projected * (F.lit(1.0) + (F.rand(noise_seed) - F.lit(0.5)) * F.lit(0.03))
+        projected = projected * uniform_noise(noise_seed, "city", "date", "scenario")
     val = F.when((F.col("scenario") == "Baseline") | rate.isNull(), F.col("price")).otherwise(projected)
     return x.select("city", "date", "scenario", val.alias("transaction_value"))
 
@@ -157,8 +160,8 @@ def yearly_forecast_total(pred: DataFrame, city: str = "city", date: str = "date
 
 
 def align_full_outer(hist: DataFrame, fc: DataFrame, keys: Sequence[str] = ("city", "year")) -> DataFrame:
-    """History and forecast totals side by side per year; a side without the year, or a
-    0 value, is NULL."""
+    """History and forecast totals side by side per year; a side without the year is NULL,
+    as is a historical total of 0 (a forecast of 0 stays)."""
     h = hist.select(*keys, F.nullif(F.col("total_value"), F.lit(0.0)).alias("historical"))
-    f = fc.select(*keys, F.nullif(F.col("total_value"), F.lit(0.0)).alias("forecast"))
+    f = fc.select(*keys, F.col("total_value").alias("forecast"))
     return h.join(f, list(keys), "full")

@@ -84,7 +84,11 @@ def _listing(spark, d, with_part=True):
 
 
 def district_rollup(spark, d) -> DataFrame:
-    return R.market_stats(_listing(spark, d, False), "district", bounded_keys=True, avg_scale=2)
+    return R.market_stats(_listing(spark, d, False), "district", bounded_keys=True)
+
+
+def district_extremes(spark, d) -> DataFrame:
+    return R.market_extremes(_listing(spark, d, False), "district")
 
 
 # Parsed-text CTEs (oracle side) ----------------------------------------------------
@@ -131,7 +135,7 @@ def _night_case(col: str = "Address") -> str:
 
 @query("rollup_price_by_province", with_views("listing") + _stats_sql("listing", "province"))
 def q_rollup_price_by_province(spark, d):
-    return R.market_stats(_listing(spark, d, False), "province", bounded_keys=True, avg_scale=2)
+    return R.market_stats(_listing(spark, d, False), "province", bounded_keys=True)
 
 
 @query("rollup_price_by_district", with_views("listing", "coords") +
@@ -144,7 +148,7 @@ def q_rollup_price_by_district(spark, d):
 
 @query("rollup_price_by_city", with_views("listing") + _stats_sql("listing", "city"))
 def q_rollup_price_by_city(spark, d):
-    return R.market_stats(_listing(spark, d, False), "city", avg_scale=2)
+    return R.market_stats(_listing(spark, d, False), "city")
 
 
 def _rent_parsed(spark, d):
@@ -156,7 +160,7 @@ def _rent_parsed(spark, d):
        _stats_sql("rent_prov", "province", prefix="rent", scale=4))
 def q_rollup_rent_year_by_province(spark, d):
     return R.market_stats(_rent_parsed(spark, d), "province", "price", "rent", bounded_keys=True,
-                          materialize=True, avg_scale=4)
+                          materialize=True)
 
 
 @query("rollup_rent_year_by_district", with_views("raw_rent", "coords") + _CLEAN_RENT_SQL +
@@ -166,14 +170,14 @@ def q_rollup_rent_year_by_province(spark, d):
 def q_rollup_rent_year_by_district(spark, d):
     t = Tables(spark, d)
     r = R.market_stats(_rent_parsed(spark, d), "district", "price", "rent", bounded_keys=True,
-                       materialize=True, avg_scale=4)
+                       materialize=True)
     return R.attach_coords(r, V.coords(t), "district", "left").orderBy("district")
 
 
 @query("rollup_rent_year_by_city", with_views("raw_rent") + _CLEAN_RENT_SQL +
        _stats_sql("rent_prov", "city", prefix="rent", scale=4))
 def q_rollup_rent_year_by_city(spark, d):
-    return R.market_stats(_rent_parsed(spark, d), "city", "price", "rent", materialize=True, avg_scale=4)
+    return R.market_stats(_rent_parsed(spark, d), "city", "price", "rent", materialize=True)
 
 
 def _night(spark, d):
@@ -186,7 +190,7 @@ def _night(spark, d):
        _stats_sql("np", "province", "rent_night", "rent", scale=4))
 def q_rollup_rent_night_by_province(spark, d):
     return R.market_stats(_night(spark, d), "province", "rent_night", "rent", bounded_keys=True,
-                          materialize=True, avg_scale=4)
+                          materialize=True)
 
 
 @query("rollup_rent_night_other", with_views("night") +
@@ -195,7 +199,7 @@ def q_rollup_rent_night_by_province(spark, d):
 def q_rollup_rent_night_other(spark, d):
     n = _night(spark, d).where(F.col("province").isNull())
     return R.market_stats(n, "Address", "rent_night", "rent", out_key="address",
-                          materialize=True, avg_scale=4)
+                          materialize=True)
 
 
 @query("market_comparison", with_views("listing") + f"""
@@ -217,7 +221,7 @@ def q_market_comparison(spark, d):
 def q_rollup_price_levels(spark, d):
     """The province, district and city rollups of one listing table in a single plan
     (grouping sets: one scan pair instead of three)."""
-    return R.market_stats_levels(_listing(spark, d, False), ["province", "district", "city"], avg_scale=2)
+    return R.market_stats_levels(_listing(spark, d, False), ["province", "district", "city"])
 
 
 # ============================ dashboard ===========================================
@@ -235,7 +239,7 @@ SELECT (SELECT district FROM d WHERE max_price IS NOT NULL ORDER BY max_price DE
        (SELECT city FROM t ORDER BY s DESC, city LIMIT 1) AS region_tran,
        (SELECT s FROM t ORDER BY s DESC, city LIMIT 1) AS high_num""")
 def q_kpi_cards(spark, d):
-    return R.kpi_cards(district_rollup(spark, d), V.transactions(Tables(spark, d)))
+    return R.kpi_cards(district_extremes(spark, d), V.transactions(Tables(spark, d)))
 
 
 @query("count_by_type", with_views("listing") +
@@ -247,7 +251,7 @@ def q_count_by_type(spark, d):
 @query("agg_sum_global", with_views("listing") + _DSTATS +
        "SELECT CAST(sum(listings_count) AS BIGINT) AS total_listings FROM d")
 def q_agg_sum_global(spark, d):
-    return R.agg_sum_global(district_rollup(spark, d), "listings_count", "total_listings")
+    return R.agg_sum_global(district_extremes(spark, d), "listings_count", "total_listings")
 
 
 @query("agg_sum_by_city", with_views("transactions") +
@@ -259,13 +263,13 @@ def q_agg_sum_by_city(spark, d):
 @query("top1_max", with_views("listing") + _DSTATS +
        "SELECT district, max_price FROM d ORDER BY max_price DESC NULLS LAST, district LIMIT 1")
 def q_top1_max(spark, d):
-    return R.top_n(district_rollup(spark, d), "max_price", 1, True, ["district"]).select("district", "max_price")
+    return R.top_n(district_extremes(spark, d), "max_price", 1, True, ["district"]).select("district", "max_price")
 
 
 @query("top1_min", with_views("listing") + _DSTATS +
        "SELECT district, min_price FROM d ORDER BY min_price ASC NULLS LAST, district LIMIT 1")
 def q_top1_min(spark, d):
-    return R.top_n(district_rollup(spark, d), "min_price", 1, False, ["district"]).select("district", "min_price")
+    return R.top_n(district_extremes(spark, d), "min_price", 1, False, ["district"]).select("district", "min_price")
 
 
 @query("top20_districts", with_views("listing") + _DSTATS +
@@ -296,7 +300,7 @@ def q_page_range(spark, d):
        f"SELECT district, listings_count, latitude, longitude FROM d JOIN coords USING (district) "
        f"WHERE listings_count > {HOT_MIN}")
 def q_hot_areas(spark, d):
-    r = R.attach_coords(district_rollup(spark, d), V.coords(Tables(spark, d)), "district", "inner")
+    r = R.attach_coords(district_extremes(spark, d), V.coords(Tables(spark, d)), "district", "inner")
     return R.filter_gt(r, "listings_count", HOT_MIN).select("district", "listings_count", "latitude", "longitude")
 
 
@@ -306,7 +310,7 @@ SELECT district, listings_count, latitude, longitude,
             WHEN listings_count <= 1000 THEN 3000 WHEN listings_count <= 2000 THEN 4000 ELSE 7000 END AS radius
 FROM d JOIN coords USING (district) WHERE latitude IS NOT NULL AND longitude IS NOT NULL""")
 def q_city_circles(spark, d):
-    r = R.attach_coords(district_rollup(spark, d), V.coords(Tables(spark, d)), "district", "inner")
+    r = R.attach_coords(district_extremes(spark, d), V.coords(Tables(spark, d)), "district", "inner")
     return (r.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
             .select("district", "listings_count", "latitude", "longitude",
                     radius_bucket("listings_count", K.RADIUS_STEPS, K.RADIUS_DEFAULT, K.RADIUS_SCALE)
@@ -317,7 +321,7 @@ def q_city_circles(spark, d):
        "SELECT (SELECT district FROM d ORDER BY listings_count DESC, district LIMIT 1) AS district_most, "
        "(SELECT max(listings_count) FROM d) AS max_listings_count")
 def q_max_listings_district(spark, d):
-    return R.max_by_key(district_rollup(spark, d), "district", "listings_count", "district_most")
+    return R.max_by_key(district_extremes(spark, d), "district", "listings_count", "district_most")
 
 
 @query("max_price_per_m2", with_views("listing") +
@@ -350,8 +354,7 @@ def q_dedupe_by_key(spark, d):
        f"UNION ALL SELECT district, median_price, avg_price, min_price FROM ({_stats_sql('listing', 'district')})")
 def q_chart_projection(spark, d):
     # One scan pair for both levels (grouping sets) instead of one per rollup.
-    both = R.market_stats_levels(_listing(spark, d, False), ["province", "district"], bounded_keys=True,
-                                  avg_scale=2)
+    both = R.market_stats_levels(_listing(spark, d, False), ["province", "district"], bounded_keys=True)
     return both.select(F.col("key").alias("name"), "median_price", "avg_price", "min_price")
 
 
@@ -489,7 +492,7 @@ WITH o AS (SELECT n.n_name AS city, strftime(o_orderdate, '%m/%Y') AS date_text,
                   CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR) END AS value_text
            FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n.n_nationkey)
 SELECT city, CAST(strptime(date_text, '%m/%Y') AS DATE) AS month,
-       CAST(sum(COALESCE(TRY_CAST(value_text AS DECIMAL(18,2)), 0)) AS DOUBLE) AS total_value
+       CAST(sum(COALESCE(TRY_CAST(value_text AS DECIMAL(38,3)), 0)) AS DOUBLE) AS total_value
 FROM o GROUP BY 1, 2""")
 def q_monthly_total_by_city(spark, d):
     return S.monthly_total_by_city(_order_rows(spark, d), "city", "date_text", "value_text", "MM/yyyy")
@@ -497,7 +500,7 @@ def q_monthly_total_by_city(spark, d):
 
 @query("yearly_total", with_views("transactions") +
        "SELECT city, CAST(year(month) AS INTEGER) AS year, "
-       "CAST(sum(CAST(transaction_value AS DECIMAL(18,2))) AS DOUBLE) AS total_value FROM transactions GROUP BY 1, 2")
+       "CAST(sum(CAST(transaction_value AS DECIMAL(38,3))) AS DOUBLE) AS total_value FROM transactions GROUP BY 1, 2")
 def q_yearly_total(spark, d):
     return S.yearly_total(V.transactions(Tables(spark, d)), "city", "month", "transaction_value")
 
@@ -613,7 +616,7 @@ def q_time_index_global(spark, d):
 
 
 @query("mean_by_month", with_views("transactions") +
-       "SELECT CAST(month(month) AS INTEGER) AS month, round(CAST(sum(CAST(transaction_value AS DECIMAL(38,2))) AS DOUBLE) / CAST(count(transaction_value) AS DOUBLE), 4) AS monthly_avg "
+       "SELECT CAST(month(month) AS INTEGER) AS month, round(CAST(sum(CAST(transaction_value AS DECIMAL(38,3))) AS DOUBLE) / CAST(count(transaction_value) AS DOUBLE), 4) AS monthly_avg "
        "FROM transactions GROUP BY 1")
 def q_mean_by_month(spark, d):
     m = S.mean_by_month(V.transactions(Tables(spark, d)), "transaction_value")
@@ -621,7 +624,7 @@ def q_mean_by_month(spark, d):
 
 
 @query("mean_by_city", with_views("transactions") +
-       "SELECT city, round(CAST(sum(CAST(transaction_value AS DECIMAL(38,2))) AS DOUBLE) / CAST(count(transaction_value) AS DOUBLE), 4) AS city_avg FROM transactions GROUP BY city")
+       "SELECT city, round(CAST(sum(CAST(transaction_value AS DECIMAL(38,3))) AS DOUBLE) / CAST(count(transaction_value) AS DOUBLE), 4) AS city_avg FROM transactions GROUP BY city")
 def q_mean_by_city(spark, d):
     return (V.transactions(Tables(spark, d)).groupBy("city")
             .agg(round_to(money_avg("transaction_value"), 4).alias("city_avg")))
@@ -721,9 +724,9 @@ SELECT date, city, CAST(row_number() OVER (PARTITION BY city ORDER BY date) - 1
        CAST(month(date) = 12 AS INTEGER) AS is_december,
        CAST(month(date) IN (6, 7, 8) AS INTEGER) AS is_summer,
        CAST(date = last_day(date) AND month(date) IN (3, 6, 9, 12) AS INTEGER) AS is_quarter_end,
-       round(CAST(sum(CAST(transaction_value AS DECIMAL(38,2))) OVER (PARTITION BY city, month(date)) AS DOUBLE)
+       round(CAST(sum(CAST(transaction_value AS DECIMAL(38,3))) OVER (PARTITION BY city, month(date)) AS DOUBLE)
              / CAST(count(transaction_value) OVER (PARTITION BY city, month(date)) AS DOUBLE), 4) AS monthly_avg,
-       round(CAST(sum(CAST(transaction_value AS DECIMAL(38,2))) OVER (PARTITION BY city) AS DOUBLE)
+       round(CAST(sum(CAST(transaction_value AS DECIMAL(38,3))) OVER (PARTITION BY city) AS DOUBLE)
              / CAST(count(transaction_value) OVER (PARTITION BY city) AS DOUBLE), 4) AS city_avg,
        CAST(year(date) > {POST_YEAR} AS INTEGER) AS post_{POST_YEAR},
        transaction_value
@@ -738,7 +741,7 @@ def q_forecast_features(spark, d):
 
 
 @query("forecast_baseline_metrics", with_views("transactions") + f"""
-, tr AS (SELECT city, month(month) AS m, CAST(sum(CAST(transaction_value AS DECIMAL(38,2))) AS DOUBLE) / CAST(count(transaction_value) AS DOUBLE) AS yhat FROM transactions
+, tr AS (SELECT city, month(month) AS m, CAST(sum(CAST(transaction_value AS DECIMAL(38,3))) AS DOUBLE) / CAST(count(transaction_value) AS DOUBLE) AS yhat FROM transactions
          WHERE month < DATE '{SPLIT_DATE}' GROUP BY 1, 2)
 , te AS (SELECT t.transaction_value AS y, tr.yhat FROM transactions t JOIN tr ON t.city = tr.city AND month(t.month) = tr.m
          WHERE t.month >= DATE '{SPLIT_DATE}')

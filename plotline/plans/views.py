@@ -197,15 +197,16 @@ def transactions(t: Tables) -> DataFrame:
     """Monthly series per nation from orders: city, month (DATE), nationkey,
     transaction_number, transaction_value (exact decimal sum, as double)."""
     nat = F.broadcast(t.nation.select("n_nationkey", "n_name"))
-    o = t.orders.select("o_custkey", "o_totalprice", "o_orderdate")
+    # thousandths from the order key, as the source's series has three decimals
+    value = F.expr("cast(o_totalprice as decimal(18,2)) + cast(o_orderkey % 10 as decimal(4,0)) * cast(0.001 as decimal(4,3))")
+    o = t.orders.select("o_custkey", value.alias("_value"), "o_orderdate")
     c = t.customer.select("c_custkey", "c_nationkey")
     return (o.join(c, F.col("o_custkey") == F.col("c_custkey"))
             .join(nat, F.col("c_nationkey") == F.col("n_nationkey"))
             .groupBy(F.col("n_name").alias("city"), F.col("n_nationkey").alias("nationkey"),
                      F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month"))
             .agg(F.count(F.lit(1)).alias("transaction_number"),
-                 F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
-                 .alias("transaction_value")))
+                 F.sum("_value").cast("double").alias("transaction_value")))
 
 
 def series_counts(t: Tables) -> DataFrame:
@@ -235,20 +236,6 @@ def rates(spark) -> DataFrame:
     return spark.createDataFrame(rows, "year int, city string, scenario string, annual_rate double")
 
 
-def sessions(t: Tables) -> DataFrame:
-    """Chat sessions: id, messages array<struct<role, content>> in turn order, created_at.
-
-    One row per conversation, so a session's array is bounded by its own length.
-    """
-    msgs = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
-                       lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
-    return (t.conversations.groupBy("conv_id")
-            .agg(msgs.alias("messages"))
-            .select(F.col("conv_id").alias("id"), "messages",
-                    (F.lit("2024-01-01 00:00:00").cast("timestamp")
-                     + F.make_interval(mins=F.col("conv_id").cast("int"))).alias("created_at")))
-
-
 # ---------------------------------------------------------------------------
 # DuckDB CTE text for the same views (oracle side).  Compose with ``with_views``.
 # ---------------------------------------------------------------------------
@@ -316,7 +303,8 @@ SQL = {
   SELECT n.n_name AS city, n.n_nationkey AS nationkey,
          CAST(date_trunc('month', o.o_orderdate) AS DATE) AS month,
          CAST(count(*) AS BIGINT) AS transaction_number,
-         CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS transaction_value
+         CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))
+                  + CAST(o.o_orderkey % 10 AS DECIMAL(4,0)) * CAST(0.001 AS DECIMAL(4,3))) AS DOUBLE) AS transaction_value
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
   GROUP BY 1, 2, 3)""",
     "series_counts": """series_counts AS (

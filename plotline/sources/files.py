@@ -46,12 +46,14 @@ def scan_json_listings(pages: DataFrame, text_col: str = "json") -> DataFrame:
 
 def scan_json_locations(pages: DataFrame, text_col: str = "json") -> DataFrame:
     """Location pages ``{"pageProps": {"locations": [...]}}`` -> one row per location
-    (id, province_id, name_en, name_ar, copy_field_en, copy_field_ar); pages without
-    locations yield nothing."""
+    (id, province_id, name_en, name_ar, copy_field_en, copy_field_ar; ``''`` where a field
+    is absent); pages without locations yield nothing."""
     schema = ("pageProps struct<locations: array<struct<id: string, province_id: string, "
               "name_en: string, name_ar: string, copy_field_en: string, copy_field_ar: string>>>")
     doc = F.from_json(F.col(text_col), schema)
-    return pages.select(F.explode(doc["pageProps"]["locations"]).alias("_l")).select("_l.*")
+    names = ["id", "province_id", "name_en", "name_ar", "copy_field_en", "copy_field_ar"]
+    return pages.select(F.explode(doc["pageProps"]["locations"]).alias("_l")).select(
+        *[F.coalesce(F.col("_l")[c], F.lit("")).alias(c) for c in names])
 
 
 def extract_blocks(pages: DataFrame, html_col: str, block_regex: str,

@@ -7,54 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 TABLE_NAMES = ("region nation customer supplier part orders lineitem events documents "
                "embeddings pages benchmark labels conversations").split()
 
-# Tables whose rows carry per-row work (joins, text parsing); dimension tables are
-# tiny and broadcast, so they are read as they are.
-FACT_TABLES = {"lineitem", "orders", "events", "documents", "pages", "conversations"}
-
-
-# DataFrame handles (plans, not data) per session, folder and table: footers are read
-# and splits planned once per table rather than once per query.
-_CACHE: dict[tuple, DataFrame] = {}
-
 
 class Tables:
     """``Tables(spark, dir).lineitem`` -> DataFrame over ``dir/lineitem.parquet``.
 
     Reads are lazy and un-cached: each query prunes columns and pushes filters into
-    its own scan.  Scan parallelism floor: a fact file written as one row group
-    yields one scan task, so all per-row work before the first shuffle would run on
-    one core.  When the planned split count of a fact table is below the session's
-    default parallelism, the scan is round-robin repartitioned up to it.  The split
-    count comes from file metadata at planning time; on a cluster reading many
-    files the floor is already met and nothing is added.
+    its own scan, and the scan's own splits set its parallelism.
     """
 
-    def __init__(self, spark: SparkSession, root: str, min_partitions: int | None = None):
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        if min_partitions is None:
-            try:
-                min_partitions = spark.sparkContext.defaultParallelism
-            except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no context
-                min_partitions = 0
-        self.min_partitions = min_partitions
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise AttributeError(name)
-        key = (id(self.spark), self.root, name, self.min_partitions)
-        df = _CACHE.get(key)
-        if df is None:
-            df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-            if name in FACT_TABLES and self.min_partitions > 1:
-                try:
-                    splits = df.rdd.getNumPartitions()
-                except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the scan
-                    splits = self.min_partitions
-                if splits < self.min_partitions:
-                    df = df.repartition(self.min_partitions)
-            _CACHE[key] = df
-        return df
+        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)

@@ -316,3 +316,33 @@ def test_turn_positions_across_buckets(spark):
         got = sorted((r.pos, r.text) for r in TU.explode(t, bucket=b).collect())
         assert [p for p, _ in got] == list(range(len(want)))
         assert [x for _, x in got] == [f"m{turn}" for turn, _ in want]
+
+
+def test_series_values_keep_three_decimals(spark):
+    df = spark.createDataFrame([("a", "2020-01-05", "179.672"), ("a", "2020-01-09", "0.004"), ("a", "2020-01-20", "n/a"),
+                                ("a", "2020-02-01", "1e17"), ("a", "2020-02-02", None)], "city string, d string, v string")
+    got = {str(r.month): r.total_value for r in S.monthly_total_by_city(df, "city", "d", "v", "yyyy-MM-dd").collect()}
+    assert got == {"2020-01-01": 179.676, "2020-02-01": 1e17}
+    num = spark.createDataFrame([("a", 0.004), ("a", 0.002)], "city string, v double")
+    assert num.agg(N.money_avg("v").alias("m")).first().m == 0.003
+
+
+def test_metrics_and_correlation_are_total(spark):
+    zero = spark.createDataFrame([(0.0, 1.0), (2.0, 1.0)], "y double, y_hat double")
+    m = FE.regression_metrics(zero).first()
+    assert m.mape == 50.0 and m.r2 == 0.0
+    flat = spark.createDataFrame([(0.0, 1.0), (0.0, 1.0)], "y double, y_hat double")
+    m = FE.regression_metrics(flat).first()
+    assert m.mape is None and m.r2 is None and m.mae == 1.0
+    df = spark.createDataFrame([(1.0, 5.0, 2.0), (2.0, 5.0, None), (3.0, 5.0, 6.0)], "a double, b double, c double")
+    r = {(x.col_a, x.col_b): x.r for x in FE.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    assert len(r) == 9 and r["a", "a"] == 1.0 and r["a", "c"] == 1.0 and r["b", "b"] is None and r["a", "b"] is None
+
+
+def test_noise_does_not_depend_on_the_layout(spark):
+    from plotline.functions.numeric import uniform_noise
+    df = spark.range(500)
+    one = {r.id: r.f for r in df.coalesce(1).select("id", uniform_noise(7, "id").alias("f")).collect()}
+    many = {r.id: r.f for r in df.repartition(7).select("id", uniform_noise(7, "id").alias("f")).collect()}
+    assert one == many and all(0.985 <= f < 1.015 for f in one.values()) and len(set(one.values())) > 400
+

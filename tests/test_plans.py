@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from plotline.plans import catalog
 
 ML = {"forecast_city", "forecast_monthly", "forecast_validation_metrics", "price_model_metrics",
       "estimate_price", "feature_importance", "predict_property", "predict_transaction"}
-NAMES = sorted(n for n in E.queries() if n not in ML)
+NAMES = sorted(n for n in catalog.QUERIES if n not in ML)
 
 
 def plan_of(df) -> str:
@@ -94,3 +95,11 @@ def test_group_join_policy(spark):
     assert "_salt" in city
     assert "_salt" not in prov
     assert re.search(r"BroadcastHashJoin \[province#\d+\], \[province#\d+\]", prov)
+
+
+@pytest.mark.parametrize("name", ["kpi_cards", "agg_sum_global", "top1_max", "top1_min", "hot_areas", "city_circles",
+                                  "max_listings_district"])
+def test_dashboard_reads_no_median(spark, name):
+    p = plan_of(E.queries()[name](spark, SF_SMALL))
+    assert "approx_percentile" not in p
+    assert len(re.findall(r"FileScan parquet \[l_", p)) == 1

@@ -1,9 +1,7 @@
-"""CSV source/sink, Parquet upsert and the streaming session log."""
+"""CSV source/sink and Parquet upsert."""
 
-import json
 import os
 
-from pyspark.sql import functions as F
 
 from plotline.sources import files as SRC
 from plotline.sources import sinks as SK
@@ -41,27 +39,3 @@ def test_upsert_parquet_writes_new_path(spark, tmp_dir):
     merged = SK.upsert_parquet(spark, new, base, os.path.join(tmp_dir, "t1"))
     assert sorted(map(tuple, merged.collect())) == [("a", 1), ("b", 20), ("c", 30)]
     assert spark.read.parquet(base).count() == 2          # the table being read is untouched
-
-
-def test_streaming_session_log(spark, tmp_dir):
-    from plotline.streaming import sessions as ST
-    src = os.path.join(tmp_dir, "in")
-    os.makedirs(src)
-    saves = [{"id": "s1", "messages": [{"role": "user", "content": "a"}], "created_at": "2024-01-01T00:00:00"},
-             {"id": "s1", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}],
-              "created_at": "2024-01-01T00:01:00"},
-             {"id": "s2", "messages": [], "created_at": "2024-01-01T00:02:00"}]
-    with open(os.path.join(src, "batch1.json"), "w") as f:
-        f.write("\n".join(json.dumps(s) for s in saves[:2]))
-    log = os.path.join(tmp_dir, "log")
-    ck = os.path.join(tmp_dir, "ck")
-    q = ST.start_session_log(spark, src, log, ck)
-    q.awaitTermination(120)
-    with open(os.path.join(src, "batch2.json"), "w") as f:
-        f.write(json.dumps(saves[2]))
-    q = ST.start_session_log(spark, src, log, ck)
-    q.awaitTermination(120)
-    cur = {r.id: r for r in ST.current_sessions(spark, log).collect()}
-    assert set(cur) == {"s1", "s2"}
-    assert len(cur["s1"].messages) == 2 and cur["s2"].messages == []
-    assert ST.current_sessions(spark, log).where(F.col("id") == "s1").count() == 1
