@@ -1,186 +1,146 @@
 """Exact, skew-safe grouped quantiles.
 
-Spark's ``percentile``/``median`` aggregates keep every distinct value of a group
-in one hash map and merge all of a group's partial maps in a single task: with one
-key holding a third of a 100 TB table that task has to hold billions of values.
-``exact_quantiles`` gives the same exact, linearly interpolated answer (pandas
-``quantile``, DuckDB ``quantile_cont``) with bounded per-task memory:
-
-1. one aggregation pass computes, per group, the count and a bounded-size
-   ``approx_percentile`` sketch of the values just below and above each wanted
-   rank (rank error <= n / accuracy, we keep a 4x margin);
-2. a second pass joins the rows to those bounds: a row under the lower bound
-   only adds to a per-group counter, a row between the bounds is kept, a row
-   above is dropped.  ``(group, value)`` is pre-aggregated map-side before the
-   shuffle, so duplicates collapse;
-3. a running count over the few surviving values per group finds the values at
-   ranks floor((n-1)p) and ceil((n-1)p) and interpolates.
-
-The per-group statistics have a single consumer (the row join), so the input is
-scanned exactly twice and nothing is joined back at the end.
-
-Only about ``max(1000, 2*(1 + 3*accuracy/1000), 8n/accuracy)`` values of a group
-ever meet in one task.  Extra
-partial-aggregable statistics (avg, min, max, count) ride along in pass 1, and
-several value columns share both passes, so a market rollup is two scans and no
-value lists.
+Spark's ``percentile``/``median`` aggregates keep every distinct value of a group in
+one hash map and merge a group's partial maps in a single task.  ``exact_quantiles``
+gives the same exact, linearly interpolated answer (pandas ``quantile``, DuckDB
+``quantile_cont``) from plain counts:
+
+1. rows are counted per (group, bucket), where a bucket is an order-preserving number
+   of the value (``accuracy`` buckets for each doubling of its size); a running count
+   over the buckets names those that hold a wanted rank;
+2. a second pass counts the distinct values of these buckets; a running count over them
+   gives the values at ranks floor((n-1)p) and ceil((n-1)p).
+
+All counting is by hash aggregation with map-side combine, spread over (group, bucket,
+value), so a hot group and a hot value both collapse before the shuffle.  A running
+count sees the buckets of one group or the distinct values of one bucket (0.14 % wide by
+default), never the rows of a group, and streams over a sort that may spill.  Other
+aggregates (avg, min, max, count) ride along in pass 1 as one more grouping set, so the
+input is scanned twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.operators.joins import DEFAULT_SALT, join_groups
+DEFAULT_ACCURACY = 512
+#: Above the base-2 exponent of every finite double, and below minus that of the smallest.
+_EXPONENTS = 1100
 
-DEFAULT_ACCURACY = 50_000
-# Groups with at most this many values keep them all (bounded, and cheaper than
-# two more sketch queries); larger groups use a sketch window.
-SMALL_GROUP = 1000
+
+def value_bucket(v: Column, accuracy: int) -> Column:
+    """Bucket number of a double: never decreases as the value grows (0 is bucket 0, NaN
+    sorts last as in Spark, NULL has none)."""
+    size = F.floor(F.log2(F.abs(v)) * F.lit(float(accuracy))) + F.lit(_EXPONENTS * accuracy)
+    top = F.lit(3 * _EXPONENTS * accuracy).cast("long")
+    return (F.when(v.isNull(), F.lit(None).cast("long")).when(F.isnan(v), top + 1)
+            .when(v == float("inf"), top).when(v == float("-inf"), -top)
+            .when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size))
+
+
+def _by(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Inner equi-join on ``names`` where NULL equals NULL."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in right.columns])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in names])
+    return left.join(other, same).drop(*[f"_r_{c}" for c in names])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column | None = None,
                     probs: dict[str, float] | None = None, extra_aggs: Sequence[Column] = (),
                     accuracy: int = DEFAULT_ACCURACY,
                     specs: dict[str, tuple[str | Column, float]] | None = None,
-                    broadcast_groups: bool = False, salt: int = DEFAULT_SALT) -> DataFrame:
+                    broadcast_groups: bool = False) -> DataFrame:
     """Per group of ``keys``: exact quantiles as named columns.
 
     Either ``value`` + ``probs={name: p}`` or ``specs={name: (value_col, p)}``.
-    NULL values are ignored (pandas/SQL semantics).  ``extra_aggs`` are computed
-    over the group's rows of ``df`` in the first pass (they may reference any
-    column of ``df``).  A group whose values are all NULL gets NULL quantiles.
-    ``broadcast_groups``: the number of groups has a proven small bound, so the
-    per-group bounds are broadcast; otherwise the join is salted (see ``joins``).
+    NULL values are ignored (pandas/SQL semantics); NULL keys are a group.  ``extra_aggs``
+    are computed over the group's rows of ``df`` in the first pass.  A group whose values
+    are all NULL gets NULL quantiles; no rows and no keys give one row of NULLs.
+    ``accuracy``: buckets for each doubling of a value; any choice gives the same result.
+    ``broadcast_groups``: the number of groups has a proven small bound, so the wanted
+    buckets are broadcast and only their rows are shuffled; otherwise the distinct values
+    are counted first and joined by (group, bucket).
     """
     keys = list(keys)
     if specs is None:
         specs = {n: (value, p) for n, p in (probs or {}).items()}
-    names = list(specs)
     # Distinct value expressions -> _v0, _v1, ...
-    vexprs: list[Column] = []
-    vkey: list[str] = []
-    spec_v: list[int] = []
-    for n in names:
-        v, _ = specs[n]
+    tags: list[str] = []
+    exprs: list[Column] = []
+    wanted: list[tuple[str, int, float]] = []
+    for name, (v, p) in specs.items():
         tag = v if isinstance(v, str) else str(v)
-        if tag not in vkey:
-            vkey.append(tag)
-            vexprs.append(F.col(v) if isinstance(v, str) else v)
-        spec_v.append(vkey.index(tag))
-    # Two windows per quantile.  The sketch's rank error is at most n/accuracy, so a
-    # window of +-m ranks-fraction covers the two target ranks with 3 ranks to spare
-    # when (m - 1/accuracy) * n >= 3:
-    #   narrow, m = 4/accuracy:          valid for n >= accuracy (~8n/accuracy values kept)
-    #   wide,   m = 1/accuracy + 3/SMALL: valid for n > SMALL (<= ~2*m*accuracy values kept)
-    m_narrow = 4.0 / accuracy
-    m_wide = 1.0 / accuracy + 3.0 / SMALL_GROUP
-    spec_b: list[tuple[float, float, float, float]] = []
-    for n in names:
-        p = float(specs[n][1])
-        spec_b.append((max(p - m_narrow, 0.0), min(p + m_narrow, 1.0),
-                       max(p - m_wide, 0.0), min(p + m_wide, 1.0)))
-
-    # Row-content hash for the salted join: deterministic under task retries, and it
-    # separates rows of a hot group even when they share a value.
-    atomic = [f.name for f in df.schema.fields
-              if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
-    row_hash = F.xxhash64(*[F.col(c) for c in atomic]) if atomic else F.lit(0).cast("long")
-    base = df.select("*", *[e.cast("double").alias(f"_v{j}") for j, e in enumerate(vexprs)],
-                     row_hash.alias("_h"))
-    aggs = []
-    for j in range(len(vexprs)):
-        bl = [b for i, bb in enumerate(spec_b) if spec_v[i] == j for b in bb]
-        aggs += [F.count(f"_v{j}").alias(f"_n{j}"), F.min(f"_v{j}").alias(f"_min{j}"),
-                 F.max(f"_v{j}").alias(f"_max{j}"),
-                 F.expr(f"approx_percentile(_v{j}, array({', '.join(repr(b) for b in bl)}), "
-                        f"{int(accuracy)})").alias(f"_b{j}")]
-    grouped = base.groupBy(*keys) if keys else base.groupBy()
-    stats = grouped.agg(*aggs, *extra_aggs)
-
-    # Lower/upper value bound per spec (narrow for large groups, wide for mid-size
-    # ones); clamp to the exact min/max at the ends.
-    bound_cols = []
-    pos = {j: 0 for j in range(len(vexprs))}
-
-    def at(j, k, frac):
-        if frac <= 0.0:
-            return F.col(f"_min{j}")
-        if frac >= 1.0:
-            return F.col(f"_max{j}")
-        return F.col(f"_b{j}")[k]
-
-    for i in range(len(names)):
-        j = spec_v[i]
-        lo1, hi1, lo2, hi2 = spec_b[i]
-        k = pos[j]
-        pos[j] += 4
-        large = F.col(f"_n{j}") >= F.lit(int(accuracy))
-        lo = F.when(large, at(j, k, lo1)).otherwise(at(j, k + 2, lo2))
-        hi = F.when(large, at(j, k + 1, hi1)).otherwise(at(j, k + 3, hi2))
-        bound_cols += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    internal = {f"{p}{j}" for j in range(len(vexprs)) for p in ("_n", "_min", "_max", "_b")}
-    extra = [c for c in stats.columns if c not in internal and c not in keys]
-    ncols = [f"_n{j}" for j in range(len(vexprs))]
-    # ``stats`` has this single consumer, so pass 1 runs once; the extra aggregates
-    # and counts travel with the rows instead of being joined back at the end.
-    bnd = stats.select(*keys, *bound_cols, *ncols, *extra)
-
-    slim = base.select(*keys, *[f"_v{j}" for j in range(len(vexprs))], "_h")
-    joined = join_groups(slim, bnd, keys, "inner", broadcast=broadcast_groups, salt=salt,
-                         salt_cols=["_h"])
-
-    # Each row contributes to each quantile either a "below" marker (NULL value) or
-    # its own value when it lies between the bounds; NULL values contribute nothing.
-    # A group of at most SMALL_GROUP values keeps them all; a larger one has a window
-    # of >= 3 ranks on each side of the target beyond the sketch error.
-    # A group with no value at all emits one marker (pi = -1) so it is not lost.
-    def small(i):
-        return F.col(f"_n{spec_v[i]}") <= F.lit(SMALL_GROUP)
-
-    def v(i):
-        return F.col(f"_v{spec_v[i]}")
-
-    all_empty = None
-    for c in ncols:
-        e = F.col(c) == 0
-        all_empty = e if all_empty is None else all_empty & e
-    emit = F.array_compact(F.array(
-        *[F.when(~small(i) & (v(i) < F.col(f"_lo{i}")),
-                 F.struct(F.lit(i).alias("pi"), F.lit(None).cast("double").alias("v")))
-           .when(v(i).isNotNull() & (small(i) | (v(i) <= F.col(f"_hi{i}"))),
-                 F.struct(F.lit(i).alias("pi"), v(i).alias("v")))
-          for i in range(len(names))],
-        F.when(all_empty, F.struct(F.lit(-1).alias("pi"), F.lit(None).cast("double").alias("v")))))
-    n_of_pi = None
-    for i in range(len(names)):
-        n_of_pi = (F.when(F.col("_e.pi") == i, F.col(f"_n{spec_v[i]}")) if n_of_pi is None
-                   else n_of_pi.when(F.col("_e.pi") == i, F.col(f"_n{spec_v[i]}")))
-    p_of_pi = None
-    for i, n in enumerate(names):
-        p_of_pi = (F.when(F.col("_pi") == i, F.lit(float(specs[n][1]))) if p_of_pi is None
-                   else p_of_pi.when(F.col("_pi") == i, F.lit(float(specs[n][1]))))
-    carried = [F.any_value(c).alias(c) for c in extra]
-    cand = (joined.select(*keys, *extra, F.explode(emit).alias("_e"),
-                          n_of_pi.alias("_n"))
-            .select(*keys, *extra, "_n", F.col("_e.pi").alias("_pi"), F.col("_e.v").alias("_v"))
-            .groupBy(*keys, "_pi", "_v")
-            .agg(F.count(F.lit(1)).alias("_c"), F.any_value("_n").alias("_n"), *carried))
-    w = (Window.partitionBy(*keys, "_pi").orderBy(F.col("_v").asc_nulls_first())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    h = (F.col("_n") - 1).cast("double") * p_of_pi
-    cand = (cand.withColumn("_cum", F.sum("_c").over(w))
-            .withColumn("_prev", F.col("_cum") - F.col("_c"))
-            .withColumn("_rlo", F.floor(h)).withColumn("_rhi", F.ceil(h))
-            .withColumn("_frac", h - F.floor(h)))
-    at_lo = (F.col("_prev") <= F.col("_rlo")) & (F.col("_rlo") < F.col("_cum")) & F.col("_v").isNotNull()
-    at_hi = (F.col("_prev") <= F.col("_rhi")) & (F.col("_rhi") < F.col("_cum")) & F.col("_v").isNotNull()
-    picked = (cand.groupBy(*keys, "_pi")
-              .agg(F.max(F.when(at_lo, F.col("_v"))).alias("_vlo"),
-                   F.max(F.when(at_hi, F.col("_v"))).alias("_vhi"),
-                   F.max("_frac").alias("_frac"), *carried))
-    q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
-    outs = [*carried, *[F.max(F.when(F.col("_pi") == i, q)).alias(n) for i, n in enumerate(names)]]
-    return picked.groupBy(*keys).agg(*outs) if keys else picked.agg(*outs)
+        if tag not in tags:
+            tags.append(tag)
+            exprs.append((F.col(v) if isinstance(v, str) else v).cast("double"))
+        wanted.append((name, tags.index(tag), float(p)))
+    m = range(len(exprs))
+
+    def ranks(p: float, n: Column) -> tuple[Column, Column]:
+        h = (n - 1).cast("double") * F.lit(p)
+        return F.floor(h), F.ceil(h)
+
+    def holds_rank(before: Column, count: Column, n: Column) -> Column:
+        """One of the wanted ranks of value ``_j`` lies in [before, before + count)."""
+        return reduce(or_, [(F.col("_j") == j) & reduce(or_, [(r >= before) & (r < before + count)
+                                                             for r in ranks(p, n)])
+                            for _, j, p in wanted])
+
+    # Pass 1: counts per bucket of each value, and the group's own aggregates.
+    numbered = df.withColumns({f"_v{j}": e for j, e in enumerate(exprs)})
+    numbered = numbered.withColumns({f"_b{j}": value_bucket(F.col(f"_v{j}"), accuracy) for j in m})
+    buckets = [f"_b{j}" for j in m]
+    counts = numbered.groupingSets([[*keys, b] for b in buckets] + [keys], *keys, *buckets).agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("_c"), *extra_aggs)
+    made = {"_g", "_c", *keys, *buckets}
+    extras = [c for c in counts.columns if c not in made]
+    every = 2 ** len(exprs) - 1                       # grouping id of the group's own row
+
+    counts = counts.withColumn("_j", F.coalesce(*[
+        F.when(F.col("_g") == (every ^ (1 << (len(exprs) - 1 - j))), F.lit(j)) for j in m], F.lit(-1)))
+    counts = (counts.withColumn("_b", F.coalesce(*[F.when(F.col("_j") == j, F.col(f"_b{j}")) for j in m]))
+              .where((F.col("_j") == -1) | F.col("_b").isNotNull()))
+    # One sort by (keys, _j, _b) serves all three windows.
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    group = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_j", "_b").rowsBetween(*whole)
+    one = Window.partitionBy(*keys, "_j").orderBy("_b")
+    before = one.rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({
+        "_n": F.sum("_c").over(one.rowsBetween(*whole)), "_prev": F.coalesce(F.sum("_c").over(before), F.lit(0)),
+        **{c: F.max(F.when(F.col("_j") == -1, F.col(c))).over(group) for c in extras}})
+    # ``_j`` = -1 stands for the group itself.
+    info = ["_n", "_prev", *extras]
+    targets = (counts.where((F.col("_j") == -1) | holds_rank(F.col("_prev"), F.col("_c"), F.col("_n")))
+               .select(*keys, "_j", F.coalesce("_b", F.lit(0)).alias("_b"), *info))
+
+    # Pass 2: distinct values of the wanted buckets.  A missing value stands for its group,
+    # so a group without values keeps its row.
+    entries = [F.when(F.col(f"_v{j}").isNull(), F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("b"),
+                                                         F.lit(None).cast("double").alias("v")))
+               .otherwise(F.struct(F.lit(j).alias("j"), F.col(f"_b{j}").alias("b"), F.col(f"_v{j}").alias("v")))
+               for j in m]
+    entry = entries[0] if len(entries) == 1 else F.explode(F.array(*entries))
+    rows = (numbered.select(*keys, entry.alias("_e"))
+            .select(*keys, F.col("_e.j").alias("_j"), F.col("_e.b").alias("_b"), F.col("_e.v").alias("_v")))
+    place = [*keys, "_j", "_b"]
+    if broadcast_groups or not keys:
+        found = (_by(rows, F.broadcast(targets), place).groupBy(*place, *info, "_v")
+                 .agg(F.count(F.lit(1)).alias("_c")))
+    else:
+        found = _by(rows.groupBy(*place, "_v").agg(F.count(F.lit(1)).alias("_c")), targets, place)
+    before = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    values = found.withColumn("_from", F.col("_prev") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    picked = [F.any_value(c).alias(c) for c in extras]
+    for name, j, p in wanted:
+        lo, hi = ranks(p, F.col("_n"))
+        at_lo, at_hi = ((F.col("_j") == j) & (r >= F.col("_from")) & (r < F.col("_from") + F.col("_c"))
+                        for r in (lo, hi))
+        share = (F.col("_n") - 1).cast("double") * F.lit(p) - lo
+        v_lo, v_hi = F.max(F.when(at_lo, F.col("_v"))), F.max(F.when(at_hi, F.col("_v")))
+        picked.append((v_lo + (v_hi - v_lo) * F.max(F.when(F.col("_j") == j, share))).alias(name))
+    return values.groupBy(*keys).agg(*picked) if keys else values.agg(*picked)

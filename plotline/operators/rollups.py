@@ -32,12 +32,9 @@ def market_stats(df: DataFrame, key: str, value: str = "price", prefix: str = "p
     d = df.where(F.col(key).isNotNull())
     if materialize:
         # Expensive inputs (text parsing) are computed once: the narrow (key, value)
-        # projection, plus a row-content hash so the salted join can still spread
-        # tied values, is checkpointed to the shared checkpoint folder and both
+        # projection is checkpointed to the shared checkpoint folder and both
         # exact-quantile passes read it.  Runs a job when called.
-        atomic = [f.name for f in df.schema.fields
-                  if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
-        d = d.select(key, value, F.xxhash64(*[F.col(c) for c in atomic]).alias("_row"))
+        d = d.select(key, value)
         from plotline.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(d.sparkSession)
         d = d.checkpoint(eager=True)

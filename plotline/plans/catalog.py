@@ -44,8 +44,8 @@ def query(name: str, sql: str | None = None):
 # Parameters for the driver tables -------------------------------------------------
 # Rollups keyed by province (region, 5 rows) or district (nation, 25 rows; or a
 # fixed list of names) pass ``bounded_keys=True``: their per-key statistics are
-# broadcast.  City (supplier) and free-text keys grow with the data and use the
-# salted join.
+# broadcast.  City (supplier) and free-text keys grow with the data: their distinct
+# values are counted, then joined by (key, bucket).
 PROVINCES = V.REGIONS
 DISTRICTS = [f"NATION_{i}" for i in range(23)]          # NATION_23/24 are not valid districts
 # The comparison request as it arrives (a comma list with a repeat and an empty item).

@@ -50,9 +50,10 @@ def test_rollup_scan_is_pruned_and_exact_percentile_not_used(spark):
     scan = [ln for ln in p.splitlines() if "lineitem.parquet" in ln][0]
     for unused in ("l_discount", "l_tax", "l_returnflag", "l_linestatus"):
         assert unused not in scan
-    # the unbounded per-group value map of percentile/median is not in the plan
-    assert not re.search(r"(?<!approx_)percentile\(|\bmedian\(", p)
-    assert "approx_percentile" in p
+    # neither the unbounded value map of percentile/median nor a digest is in the plan
+    assert not re.search(r"percentile\(|\bmedian\(", p)
+    assert "SortAggregate" not in p
+    assert len(re.findall(r"FileScan parquet \[l_", p)) == 2
 
 
 def test_dimension_joins_are_broadcast(spark):
@@ -88,13 +89,13 @@ def test_no_unpartitioned_window(spark, name):
 
 
 def test_group_join_policy(spark):
-    """Unbounded keys (city) go through the salted join; bounded keys (province) broadcast
-    their per-key statistics instead of shuffling the facts."""
+    """Unbounded keys (city) count distinct values before they join the wanted buckets;
+    bounded keys (province) broadcast these buckets and shuffle only their rows."""
     city = plan_of(E.queries()["rollup_price_by_city"](spark, SF_SMALL))
     prov = plan_of(E.queries()["rollup_price_by_province"](spark, SF_SMALL))
-    assert "_salt" in city
-    assert "_salt" not in prov
-    assert re.search(r"BroadcastHashJoin \[province#\d+\], \[province#\d+\]", prov)
+    joined = r"BroadcastHashJoin \[coalesce\(province#\d+, \), isnull\(province#\d+\), coalesce\(_j#\d+, 0\)"
+    assert re.search(joined, prov)
+    assert re.search(r"Exchange hashpartitioning\(city#\d+, _j#\d+, _b#\d+L, _v#\d+", city)
 
 
 @pytest.mark.parametrize("name", ["kpi_cards", "agg_sum_global", "top1_max", "top1_min", "hot_areas", "city_circles",

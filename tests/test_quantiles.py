@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
-from plotline.operators.quantiles import exact_quantiles
+from plotline.operators.quantiles import exact_quantiles, value_bucket
 
 
 @pytest.mark.parametrize("accuracy", [50, 1000, 50_000])
@@ -59,6 +59,35 @@ def test_hot_key_third_of_rows(spark, broadcast):
     assert got.count() == want.count() == 201
 
 
+@pytest.mark.parametrize("broadcast", [False, True])
+def test_one_key_and_a_value_with_half_of_the_rows(spark, broadcast):
+    df = spark.range(60_000).select(
+        F.lit("all").alias("k"),
+        F.when(F.col("id") % 2 == 0, 100.0).otherwise((F.col("id") * 7919) % 30011 / 7.0).alias("v"))
+    probs = {"a": 0.1, "b": 0.5, "c": 0.987}
+    got = exact_quantiles(df, ["k"], "v", probs, broadcast_groups=broadcast).first()
+    want = df.agg(F.percentile("v", list(probs.values())).alias("p")).first().p
+    assert [got.a, got.b, got.c] == pytest.approx(want, rel=1e-12)
+
+
+def test_negative_tiny_and_huge_values_and_null_keys(spark):
+    vals = [-1e300, -7.5, -7.25, -1e-300, -0.0, 0.0, 5e-324, 1e-9, 0.5, 1.0, 2.0, 2.0, 3.0, 1.7e308]
+    df = spark.createDataFrame([(k, v) for k in (None, "x") for v in vals], "k string, v double")
+    b = [r.b for r in df.where("k = 'x'").orderBy("v").select(value_bucket(F.col("v"), 512).alias("b")).collect()]
+    assert b == sorted(b)
+    probs = {f"q{i}": i / 13 for i in range(14)}
+    rows = exact_quantiles(df, ["k"], "v", probs).collect()
+    assert {r.k for r in rows} == {None, "x"}
+    for r in rows:
+        assert [r[f"q{i}"] for i in range(14)] == pytest.approx(sorted(vals), rel=1e-9)
+    special = spark.createDataFrame([(v,) for v in (float("-inf"), -1.0, 4.0, float("inf"), float("nan"))], "v double")
+    r = exact_quantiles(special, [], "v", {"lo": 0.0, "mid": 0.5, "inf": 0.75, "nan": 1.0}).first()
+    assert (r.lo, r.mid, r.inf) == (float("-inf"), 4.0, float("inf")) or r.lo != r.lo
+    assert r.mid == 4.0 and r.nan != r.nan
+    empty = exact_quantiles(df.where("false"), [], "v", {"m": 0.5}).collect()
+    assert len(empty) == 1 and empty[0].m is None
+
+
 def test_join_groups_paths_agree(spark):
     from plotline.operators.joins import attach_row, join_groups
     fact = spark.range(5000).select((F.col("id") % 7).cast("string").alias("k"), F.col("id").alias("v"))
