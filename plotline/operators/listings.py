@@ -85,37 +85,46 @@ def night_provinces(df: DataFrame, names: Sequence[str], aliases: dict,
     return df.withColumn("province", extract_by_priority(address, names, aliases))
 
 
-def resolve_location(listings: DataFrame, dim: DataFrame,
-                     suffixes: Sequence[str] = (" Governorate", " district")) -> DataFrame:
+#: Word that the id source appends to names of a level.
+PROVINCE_SUFFIX = " Governorate"
+DISTRICT_SUFFIX = " district"
+
+
+def resolve_location(listings: DataFrame, dim: DataFrame) -> DataFrame:
     """JSON-source listings: look up ``p<ProvinceID>``, ``d<DistrictID>`` and
     ``c<CommunityID>`` names (a miss gives ``''``; for a duplicated id the entry with
-    the highest ``seq`` wins), strip suffix words, build ``community, district,
-    province`` and normalise room texts ``2.0`` -> ``2``.
+    the highest ``seq`` wins), strip the province's and the district's own suffix (a
+    community keeps its name), build ``community, district, province`` and turn room
+    texts into whole-number texts (``2.0`` -> ``2``; text that is no number is NULL).
+    ``Furnished`` is carried; the source has no property type.
 
     The dimension is reduced to one name per id with a grouped ``max_by``.  Every
     listing of a province shares one lookup key, so province and district names
     (fixed-size levels) are broadcast; community names grow with the data and use
     the salted join, so a hot community is spread over several tasks.
     """
-    names = (dim.groupBy("id").agg(F.max_by("name_en", "seq").alias("name"))
-             .select("id", strip_suffix_words("name", suffixes).alias("name")))
+    names = dim.groupBy("id").agg(F.max_by("name_en", "seq").alias("name"))
     out = listings
-    for prefix, col, alias, bounded in (("p", "ProvinceID", "province_name", True),
-                                        ("d", "DistrictID", "district_name", True),
-                                        ("c", "CommunityID", "community_name", False)):
+    for prefix, col, alias, suffixes, bounded in (
+            ("p", "ProvinceID", "province_name", [PROVINCE_SUFFIX], True),
+            ("d", "DistrictID", "district_name", [DISTRICT_SUFFIX], True),
+            ("c", "CommunityID", "community_name", [], False)):
         n = (names.where(F.col("id").startswith(prefix))
-             .select(F.col("id").alias(f"_{alias}_id"), F.col("name").alias(alias)))
+             .select(F.col("id").alias(f"_{alias}_id"), strip_suffix_words("name", suffixes).alias(alias)))
         out = out.withColumn(f"_{alias}_id", F.concat(F.lit(prefix), F.col(col).cast("string")))
         out = (join_groups(out, n, [f"_{alias}_id"], "left", broadcast=bounded)
                .drop(f"_{alias}_id")
                .withColumn(alias, F.coalesce(F.col(alias), F.lit(""))))
+
+    def rooms(c):
+        return strip_decimal_zero(coerce_numeric(F.col(c)).cast("string"))
+
     return out.select(
         *_keep_id(listings), F.col("Title").alias("title"),
         format_address("community_name", "district_name", "province_name").alias("address"),
-        F.col("Price").alias("price"), F.col("Type").alias("type"),
-        F.col("Area_sqm").alias("size_m2"),
-        strip_decimal_zero("Bedroom").alias("bedrooms"),
-        strip_decimal_zero("Bathroom").alias("bathrooms"))
+        F.col("Price").alias("price"), F.col("Area_sqm").alias("size_m2"),
+        rooms("Bedroom").alias("bedrooms"), rooms("Bathroom").alias("bathrooms"),
+        F.col("Furnished").alias("furnished"))
 
 
 def union_sources(a: DataFrame, b: DataFrame) -> DataFrame:

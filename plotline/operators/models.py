@@ -23,6 +23,7 @@ from plotline import constants as K
 from plotline.functions.dates import calendar_flags, cyclic_month
 from plotline.functions.numeric import money_avg, round_hundreds, safe_ratio, zero_to_null
 from plotline.operators.features import regression_metrics
+from plotline.operators.joins import attach_row
 from plotline.operators.quantiles import exact_quantiles
 from plotline.operators.series import future_spine, yearly_total, yearly_forecast_total, align_full_outer
 
@@ -42,13 +43,9 @@ def forecast_numeric_features(post_year: int) -> list[str]:
     return [c if c != "post_2013" else f"post_{post_year}" for c in K.FORECAST_NUMERIC_FEATURES]
 
 
-def forecast_pipeline(post_year: int, gbt_params: dict | None = None,
-                      validation_col: str | None = None) -> Pipeline:
+def forecast_pipeline(post_year: int, gbt_params: dict | None = None) -> Pipeline:
     """city -> one-hot (all levels kept, unseen city is an error) + 12 numeric
     features -> boosted trees on transaction_value."""
-    gbt = _gbt("transaction_value", gbt_params or {})
-    if validation_col:
-        gbt = gbt.setValidationIndicatorCol(validation_col)
     return Pipeline(stages=[
         StringIndexer(inputCol="city", outputCol="city_idx", stringOrderType="alphabetAsc",
                       handleInvalid="error"),
@@ -57,30 +54,45 @@ def forecast_pipeline(post_year: int, gbt_params: dict | None = None,
         # stays NaN (missing), as the source's booster received it.
         VectorAssembler(inputCols=forecast_numeric_features(post_year) + ["city_ohe"],
                         outputCol="features", handleInvalid="keep"),
-        gbt])
+        _gbt("transaction_value", gbt_params or {})])
+
+
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """Number of trees with the least error, looking no further than ``patience`` rounds
+    past the best one so far (ties: fewer trees)."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
 def fit_forecast(features: DataFrame, split_date: str, post_year: int = 2013,
-                 gbt_params: dict | None = None) -> tuple[PipelineModel, DataFrame]:
-    """Validate with early stopping on rows dated >= ``split_date``, then refit on all
-    rows with the validated number of trees.  Returns (model, test metrics).
+                 gbt_params: dict | None = None, patience: int = 50) -> tuple[PipelineModel, DataFrame]:
+    """Validate on rows dated >= ``split_date``, then refit on all rows.  Returns (model, test metrics).
+
+    The ensemble fitted on the earlier rows is scored on the later ones after each tree;
+    the metrics are those of its best round (``best_round``).  The model served is refitted
+    on all rows with the full number of trees.
 
-    The feature table (one row per series and month) is read by both fits and the
+    The feature table (one row per series and month) is read by the fits and the
     validation scoring, so it is checkpointed once to the shared checkpoint folder.
     """
     from plotline.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(features.sparkSession)
     features = features.checkpoint(eager=True)
-    f = features.withColumn("_is_val", F.col("date") >= F.lit(split_date).cast("date"))
-    val_model = forecast_pipeline(post_year, gbt_params, "_is_val").fit(f)
-    trees = len(val_model.stages[-1].trees)
-    pred = val_model.transform(f.where("_is_val"))
-    metrics = regression_metrics(pred.select(F.col("transaction_value").alias("y"),
-                                             F.col("prediction").alias("y_hat")))
-    params = dict(gbt_params or {})
-    params["maxIter"] = max(trees, 1)
-    model = forecast_pipeline(post_year, params).fit(features)
-    return model, metrics
+    later = F.col("date") >= F.lit(split_date).cast("date")
+    train, test = features.where(~later), features.where(later)
+    fitted = forecast_pipeline(post_year, gbt_params).fit(train)
+    encoded = fitted.transform(test).drop("prediction")
+    trees = best_round(fitted.stages[-1].evaluateEachIteration(encoded, "squared"), patience)
+    # trees are drawn from seed + round, so the shorter ensemble is the start of the longer one
+    best = forecast_pipeline(post_year, {**(gbt_params or {}), "maxIter": trees}).fit(train)
+    metrics = regression_metrics(best.transform(test).select(F.col("transaction_value").alias("y"),
+                                                             F.col("prediction").alias("y_hat")))
+    return forecast_pipeline(post_year, gbt_params).fit(features), metrics
 
 
 def forecast_cities(series: DataFrame, model: PipelineModel, months: int = K.FORECAST_HORIZON_MONTHS,
@@ -166,14 +178,15 @@ def price_pipeline(train: DataFrame, numeric: Sequence[str] = K.PRICE_NUMERIC_FE
 
 def fit_price(features: DataFrame, key: Sequence[str] = ("listing_id",), train_pct: int = 70,
               gbt_params: dict | None = None) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the hashed 70% split; return (model, test-split metrics on log price and
-    on dollars)."""
+    """Fit on the hashed 70% split; return (model, test-split metrics on log price and the
+    mean absolute error in dollars)."""
     flagged = features.withColumn("_train", random_split_flag(list(key), train_pct))
     train = flagged.where("_train")
     model = price_pipeline(train, gbt_params=gbt_params).fit(train)
     pred = model.transform(flagged.where(~F.col("_train")))
     m = regression_metrics(pred.select(F.col("log_price").alias("y"), F.col("prediction").alias("y_hat")))
-    return model, m
+    dollars = pred.agg(F.avg(F.abs(F.expm1("log_price") - F.expm1("prediction"))).alias("mae_dollars"))
+    return model, attach_row(m, dollars)
 
 
 def grid_search(features: DataFrame, grid: dict, folds: int = 5, parallelism: int = 4,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plotline import constants as K
 from plotline.functions.numeric import money_avg, price_per_m2, radius_bucket, round_to
-from plotline.functions.text import canonical_contains_ci, contains_arabic
+from plotline.functions.text import canonical_contains_ci, clean_room_count, contains_arabic
 from plotline.operators import features as FE
 from plotline.operators import listings as L
 from plotline.operators import rollups as R
@@ -384,48 +384,89 @@ def q_listing_build_properties(spark, d):
         "price", "latitude", "longitude")
 
 
-@query("listing_resolve_location", with_views("id_listing", "location_dim") + """
-, names AS (SELECT id, replace(replace(arg_max(name_en, seq), ' Governorate', ''), ' district', '') AS name
-            FROM location_dim GROUP BY id)
-SELECT i.listing_id, i.Title AS title,
-       COALESCE(c.name, '') || ', ' || COALESCE(dn.name, '') || ', ' || COALESCE(p.name, '') AS address,
-       i.Price AS price, i.Type AS type, i.Area_sqm AS size_m2,
-       regexp_replace(i.Bedroom, '\\.0$', '') AS bedrooms, regexp_replace(i.Bathroom, '\\.0$', '') AS bathrooms
-FROM id_listing i
-LEFT JOIN names p ON p.id = 'p' || CAST(i.ProvinceID AS VARCHAR)
-LEFT JOIN names dn ON dn.id = 'd' || CAST(i.DistrictID AS VARCHAR)
-LEFT JOIN names c ON c.id = 'c' || CAST(i.CommunityID AS VARCHAR)""")
+# Names lose the suffix of their own level only; room text counts when it is a number.
+_ID_SQL = """
+, names AS (SELECT id, arg_max(name_en, seq) AS name FROM location_dim GROUP BY id)
+, resolved AS (
+  SELECT i.listing_id, i.Title AS title,
+         COALESCE(c.name, '') || ', ' || COALESCE(replace(dn.name, ' district', ''), '') || ', '
+           || COALESCE(replace(p.name, ' Governorate', ''), '') AS address,
+         i.Price AS price, i.Area_sqm AS size_m2, TRY_CAST(i.Bedroom AS DOUBLE) AS bed,
+         TRY_CAST(i.Bathroom AS DOUBLE) AS bath, i.Furnished AS furnished
+  FROM id_listing i
+  LEFT JOIN names p ON p.id = 'p' || CAST(i.ProvinceID AS VARCHAR)
+  LEFT JOIN names dn ON dn.id = 'd' || CAST(i.DistrictID AS VARCHAR)
+  LEFT JOIN names c ON c.id = 'c' || CAST(i.CommunityID AS VARCHAR))
+"""
+
+
+@query("listing_resolve_location", with_views("id_listing", "location_dim") + _ID_SQL + """
+SELECT listing_id, title, address, price, size_m2,
+       regexp_replace(CAST(bed AS VARCHAR), '\\.0$', '') AS bedrooms,
+       regexp_replace(CAST(bath AS VARCHAR), '\\.0$', '') AS bathrooms, furnished FROM resolved""")
 def q_listing_resolve_location(spark, d):
     t = Tables(spark, d)
     return L.resolve_location(V.id_listing(t), V.location_dim(t))
 
 
-@query("union_sources", with_views("raw_buy", "id_listing", "location_dim") + _CLEAN_BUY_SQL + """
-, names AS (SELECT id, replace(replace(arg_max(name_en, seq), ' Governorate', ''), ' district', '') AS name
-            FROM location_dim GROUP BY id)
-, b AS (SELECT i.listing_id, i.Title AS title,
-               COALESCE(c.name, '') || ', ' || COALESCE(dn.name, '') || ', ' || COALESCE(p.name, '') AS address,
-               i.Price AS price, i.Type AS type, CAST(i.Area_sqm AS DOUBLE) AS size_m2,
-               CAST(regexp_replace(i.Bedroom, '\\.0$', '') AS INTEGER) AS bedrooms,
-               CAST(regexp_replace(i.Bathroom, '\\.0$', '') AS INTEGER) AS bathrooms, 'json' AS source
-        FROM id_listing i
-        LEFT JOIN names p ON p.id = 'p' || CAST(i.ProvinceID AS VARCHAR)
-        LEFT JOIN names dn ON dn.id = 'd' || CAST(i.DistrictID AS VARCHAR)
-        LEFT JOIN names c ON c.id = 'c' || CAST(i.CommunityID AS VARCHAR))
-SELECT listing_id, address, type, price, size_m2, bedrooms, bathrooms, 'html' AS source FROM buy_clean
-UNION ALL BY NAME SELECT * FROM b""")
-def q_union_sources(spark, d):
-    """Stack the two cleaned listing sources by column name; ``title`` exists only in
-    the JSON source and is NULL for the HTML rows."""
+_SOURCES_SQL = with_views("raw_buy", "id_listing", "location_dim", "coords") + _CLEAN_BUY_SQL + _ID_SQL + """
+, sources AS (
+  SELECT listing_id, address, type, price, size_m2, bedrooms, bathrooms, 'html' AS source FROM buy_clean
+  UNION ALL BY NAME
+  SELECT listing_id, title, address, price, CAST(size_m2 AS DOUBLE) AS size_m2, CAST(bed AS INTEGER) AS bedrooms,
+         CAST(bath AS INTEGER) AS bathrooms, furnished, 'json' AS source FROM resolved)
+"""
+
+
+def _sources(spark, d) -> DataFrame:
+    """Both cleaned listing sources, stacked by column name: ``title`` and ``furnished``
+    exist only in the JSON source, ``type`` only in the HTML one; elsewhere they are NULL."""
     t = Tables(spark, d)
     a = L.clean_buy(V.raw_listing(t, "buy")).withColumn("source", F.lit("html"))
     b = (L.resolve_location(V.id_listing(t), V.location_dim(t))
-         .withColumns({"size_m2": F.col("size_m2").cast("double"),
-                       "bedrooms": F.col("bedrooms").cast("int"),
-                       "bathrooms": F.col("bathrooms").cast("int"), "source": F.lit("json")}))
+         .withColumns({"size_m2": F.col("size_m2").cast("double"), "bedrooms": clean_room_count("bedrooms"),
+                       "bathrooms": clean_room_count("bathrooms"), "source": F.lit("json")}))
     return L.union_sources(a, b)
 
 
+@query("union_sources", _SOURCES_SQL + "SELECT * FROM sources")
+def q_union_sources(spark, d):
+    return _sources(spark, d)
+
+
+# Raw text of both sources to the three sale rollups: stack, parse, keep what has a province, roll up.
+_SALE_SQL = _SOURCES_SQL + f"""
+, sale AS (
+  SELECT *, NULLIF(regexp_extract(address, '{_PROV_RX}', 1), '') AS province,
+         CASE WHEN trim(split_part(address, ',', 2)) IN ({_in_list(DISTRICTS)})
+              THEN trim(split_part(address, ',', 2)) END AS district,
+         trim(split_part(address, ',', 1)) AS city
+  FROM sources)
+, sale_prov AS (SELECT * FROM sale WHERE province IS NOT NULL)
+"""
+
+
+def _sale_rollup(spark, d, key: str, bounded: bool) -> DataFrame:
+    sale = L.priced(_sources(spark, d), "price", PROVINCES, DISTRICTS)
+    return R.market_stats(sale, key, bounded_keys=bounded, materialize=True)
+
+
+@query("sale_rollup_by_province", _SALE_SQL + _stats_sql("sale_prov", "province"))
+def q_sale_rollup_by_province(spark, d):
+    return _sale_rollup(spark, d, "province", True)
+
+
+@query("sale_rollup_by_district", _SALE_SQL + f"SELECT * FROM ({_stats_sql('sale_prov', 'district')}) "
+       "JOIN coords USING (district)")
+def q_sale_rollup_by_district(spark, d):
+    return R.attach_coords(_sale_rollup(spark, d, "district", True), V.coords(Tables(spark, d)))
+
+
+@query("sale_rollup_by_city", _SALE_SQL + _stats_sql("sale_prov", "city"))
+def q_sale_rollup_by_city(spark, d):
+    return _sale_rollup(spark, d, "city", False)
+
+
 @query("province_extraction", with_views("night") +
        f"SELECT listing_id, NULLIF(regexp_extract(Address, '(AFRICA|AMERICA|ASIA|EUROPE|MIDDLE EAST|MIDEAST)', 1), '') AS leftmost, "
        f"{_night_case()} AS priority FROM night")

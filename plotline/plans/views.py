@@ -160,9 +160,11 @@ def coords(t: Tables) -> DataFrame:
 
 def location_dim(t: Tables) -> DataFrame:
     """Location dimension: id ``p<region>``, ``d<nation>``, ``c<supplier>``; seq orders
-    duplicates (nations with key % 5 == 0 are listed twice; the later name wins)."""
+    duplicates (nations with key % 5 == 0 are listed twice; the later name wins).  A
+    province and some communities bear words that are suffixes on another level."""
     p = t.region.select(F.concat(F.lit("p"), F.col("r_regionkey").cast("string")).alias("id"),
-                        F.concat(F.col("r_name"), F.lit(" Governorate")).alias("name_en"),
+                        F.concat(F.col("r_name"), F.when(F.col("r_name") == "ASIA", " district").otherwise(""),
+                                 F.lit(" Governorate")).alias("name_en"),
                         F.lit(0).alias("seq"))
     d = t.nation.select(F.concat(F.lit("d"), F.col("n_nationkey").cast("string")).alias("id"),
                         F.concat(F.col("n_name"), F.lit(" district")).alias("name_en"),
@@ -172,21 +174,26 @@ def location_dim(t: Tables) -> DataFrame:
                   F.concat(F.col("n_name"), F.lit("-new district")).alias("name_en"),
                   F.lit(1).alias("seq")))
     c = t.supplier.select(F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("id"),
-                          F.col("s_name").alias("name_en"), F.lit(0).alias("seq"))
+                          F.concat(F.col("s_name"), F.when(F.col("s_suppkey") % 7 == 0, " district")
+                                   .when(F.col("s_suppkey") % 7 == 1, " Governorate").otherwise("")).alias("name_en"),
+                          F.lit(0).alias("seq"))
     return p.unionByName(d).unionByName(d2).unionByName(c)
 
 
 def id_listing(t: Tables) -> DataFrame:
-    """JSON-source listings keyed by location ids (community missing on line 3)."""
+    """JSON-source listings keyed by location ids (community missing on line 3, room
+    text that is no number on line 5, no property type)."""
     lst = listing(t, with_part=True)
     return lst.select(
         "listing_id",
         F.concat(F.lit("Listing "), F.col("listing_id").cast("string")).alias("Title"),
         F.col("price").alias("Price"),
-        F.when(F.col("bedrooms") % 3 == 0, F.col("bedrooms").cast("double").cast("string"))
+        F.when(F.col("bedrooms") == 5, F.lit("studio"))
+         .when(F.col("bedrooms") % 3 == 0, F.col("bedrooms").cast("double").cast("string"))
          .otherwise(F.col("bedrooms").cast("string")).alias("Bedroom"),
         F.col("bathrooms").cast("double").cast("string").alias("Bathroom"),
-        F.col("size_m2").alias("Area_sqm"), F.col("type").alias("Type"),
+        F.col("size_m2").alias("Area_sqm"),
+        F.when(F.col("partkey") % 3 == 0, "Furnished").when(F.col("partkey") % 3 == 1, "Unfurnished").alias("Furnished"),
         F.col("nationkey").alias("DistrictID"), F.col("regionkey").alias("ProvinceID"),
         F.when(F.col("bedrooms") == 3, F.lit(None).cast("bigint"))
          .otherwise(F.col("suppkey")).alias("CommunityID"),
@@ -287,15 +294,19 @@ SQL = {
          CAST(35.0 AS DOUBLE) + n_nationkey * CAST(0.125 AS DOUBLE) AS longitude
   FROM nation WHERE n_nationkey < 20)""",
     "location_dim": """location_dim AS (
-  SELECT 'p' || CAST(r_regionkey AS VARCHAR) AS id, r_name || ' Governorate' AS name_en, 0 AS seq FROM region
+  SELECT 'p' || CAST(r_regionkey AS VARCHAR) AS id,
+         r_name || CASE WHEN r_name = 'ASIA' THEN ' district' ELSE '' END || ' Governorate' AS name_en, 0 AS seq FROM region
   UNION ALL SELECT 'd' || CAST(n_nationkey AS VARCHAR), n_name || ' district', 0 FROM nation
   UNION ALL SELECT 'd' || CAST(n_nationkey AS VARCHAR), n_name || '-new district', 1 FROM nation WHERE n_nationkey % 5 = 0
-  UNION ALL SELECT 'c' || CAST(s_suppkey AS VARCHAR), s_name, 0 FROM supplier)""",
+  UNION ALL SELECT 'c' || CAST(s_suppkey AS VARCHAR),
+         s_name || CASE s_suppkey % 7 WHEN 0 THEN ' district' WHEN 1 THEN ' Governorate' ELSE '' END, 0 FROM supplier)""",
     "id_listing": """id_listing AS (
   SELECT listing_id, 'Listing ' || CAST(listing_id AS VARCHAR) AS Title, price AS Price,
-         CASE WHEN bedrooms % 3 = 0 THEN CAST(CAST(bedrooms AS DOUBLE) AS VARCHAR)
+         CASE WHEN bedrooms = 5 THEN 'studio'
+              WHEN bedrooms % 3 = 0 THEN CAST(CAST(bedrooms AS DOUBLE) AS VARCHAR)
               ELSE CAST(bedrooms AS VARCHAR) END AS Bedroom,
-         CAST(CAST(bathrooms AS DOUBLE) AS VARCHAR) AS Bathroom, size_m2 AS Area_sqm, type AS Type,
+         CAST(CAST(bathrooms AS DOUBLE) AS VARCHAR) AS Bathroom, size_m2 AS Area_sqm,
+         CASE partkey % 3 WHEN 0 THEN 'Furnished' WHEN 1 THEN 'Unfurnished' END AS Furnished,
          nationkey AS DistrictID, regionkey AS ProvinceID,
          CASE WHEN bedrooms = 3 THEN NULL ELSE suppkey END AS CommunityID
   FROM listing)""",

@@ -64,18 +64,23 @@ def test_f3_night_priority_and_alias(spark):
 
 def test_f4_resolve_location(spark):
     lst = spark.createDataFrame([
-        ("t1", 100.0, "10", "2.0", 50, "Apartment", 7, 1, 42),
-        ("t2", 200.0, "10.0", None, 60, "Villa", 7, 1, None),
-    ], "Title string, Price double, Bedroom string, Bathroom string, Area_sqm int, Type string, "
+        ("t1", 100.0, "10", "2.0", 50, "Yes", 7, 1, 42),
+        ("t2", 200.0, "10.0", None, 60, None, 7, 1, None),
+        ("t3", 300.0, "studio", "1.5", 70, "No", 8, 2, 43),
+    ], "Title string, Price double, Bedroom string, Bathroom string, Area_sqm int, Furnished string, "
        "DistrictID int, ProvinceID int, CommunityID int")
     dim = spark.createDataFrame([
         ("p1", "Beirut Governorate", 0), ("d7", "Old district", 0), ("d7", "Metn district", 1),
-        ("c42", "Dbayeh", 0)], "id string, name_en string, seq int")
+        ("c42", "Dbayeh", 0), ("p2", "North district Governorate", 0), ("c43", "Old district", 0),
+        ("d8", "Zgharta Governorate district", 0)], "id string, name_en string, seq int")
     r = {x.title: x for x in L.resolve_location(lst, dim).collect()}
     assert r["t1"].address == "Dbayeh, Metn, Beirut"      # last entry wins, suffixes stripped
     assert r["t2"].address == ", Metn, Beirut"            # missing community -> ''
+    assert r["t3"].address == "Old district, Zgharta Governorate, North district"   # own level's suffix only
     assert r["t1"].bedrooms == "10" and r["t2"].bedrooms == "10" and r["t1"].bathrooms == "2"
     assert r["t2"].bathrooms is None
+    assert r["t3"].bedrooms is None and r["t3"].bathrooms == "1.5"
+    assert [r[t].furnished for t in ("t1", "t2", "t3")] == ["Yes", None, "No"]
 
 
 def test_f5_json_listings(spark):

@@ -19,6 +19,7 @@ def test_forecast_48_months_per_city_and_beats_nothing(spark):
     tr = V.transactions(Tables(spark, SF_SMALL))
     feats = FE.forecast_features(tr, post_year=1998)
     model, metrics = M.fit_forecast(feats, "1999-01-01", 1998, SMALL)
+    assert len(model.stages[-1].trees) == SMALL["maxIter"]      # the refit keeps the full count
     pred = M.forecast_cities(tr, model, post_year=1998)
     per_city = {r.city: r.n for r in pred.groupBy("city").agg(F.count("*").alias("n")).collect()}
     assert set(per_city.values()) == {48}
@@ -50,7 +51,13 @@ def test_price_model_save_load_and_unseen_levels(spark, tmp_dir):
     for r in a:                      # unseen levels encode as zeros and still score
         assert r.estimated_price % 100 == 0
         assert r.price_range_low <= r.estimated_price <= r.price_range_high
-    assert metrics.first().r2 is not None
+    assert metrics.first().r2 is not None and metrics.first().mae_dollars > 0
+
+
+def test_best_round():
+    assert M.best_round([5.0, 4.0, 6.0, 3.0], patience=50) == 4
+    assert M.best_round([5.0, 4.0, 6.0, 7.0, 3.0], patience=2) == 2     # stops before the later dip
+    assert M.best_round([5.0, 5.0, 5.0], patience=50) == 1
 
 
 def test_grid_search_small(spark):
