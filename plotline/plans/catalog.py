@@ -296,6 +296,15 @@ def q_page_range(spark, d):
                     price_per_m2("price", "size_m2").alias("price_per_m2"))
 
 
+@query("sort_price_asc", with_views("raw_buy") + _CLEAN_BUY_SQL +
+       "SELECT listing_id, address, price FROM buy_clean ORDER BY price ASC NULLS LAST, listing_id, address")
+def q_sort_price_asc(spark, d):
+    """Listings from the cheapest up; those without a price last."""
+    clean = L.clean_buy(V.raw_listing(Tables(spark, d), "buy"))
+    return clean.select("listing_id", "address", "price").orderBy(
+        F.col("price").asc_nulls_last(), "listing_id", "address")
+
+
 @query("hot_areas", with_views("listing", "coords") + _DSTATS +
        f"SELECT district, listings_count, latitude, longitude FROM d JOIN coords USING (district) "
        f"WHERE listings_count > {HOT_MIN}")
@@ -839,18 +848,22 @@ def q_rare_districts(spark, d):
     return FE.rare_categories(f, "district", RARE_MIN)
 
 
-_CORR_COLS = ["price", "size_m2", "bedrooms", "bathrooms"]
+_CORR_COLS = ["price", "size_m2", "bedrooms", "bathrooms", "latitude", "longitude", "avg_size_in_district",
+              "avg_price_in_district", "price_per_m2", "size_per_bedroom", "bed_bath_ratio"]
 
 
-@query("correlation_matrix", with_views("listing") + ", " + "x AS (SELECT CAST(price AS DOUBLE) AS price, "
-       "CAST(size_m2 AS DOUBLE) AS size_m2, CAST(bedrooms AS DOUBLE) AS bedrooms, CAST(bathrooms AS DOUBLE) AS bathrooms "
-       "FROM listing)\n" + " UNION ALL ".join(
-           [f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS r FROM x"
-            for a in _CORR_COLS for b in _CORR_COLS if a != b] +
-           [f"SELECT '{a}', '{a}', 1.0" for a in _CORR_COLS]))
+@query("correlation_matrix", _PRICE_FEAT_SQL + """
+, x AS (SELECT size_m2, bedrooms, bathrooms, latitude, longitude, bed_bath_ratio,
+               size_per_bedroom, price, ppm AS price_per_m2,
+               apd AS avg_price_in_district, asd AS avg_size_in_district FROM b JOIN g USING (district))
+, c AS (""" + " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS r FROM x"
+                                for a in _CORR_COLS for b in _CORR_COLS) + """)
+SELECT col_a, col_b, CASE WHEN NOT isnan(r) THEN round(r, 6) END AS r FROM c""")
 def q_correlation_matrix(spark, d):
-    lst = _listing(spark, d).select(*[F.col(c).cast("double").alias(c) for c in _CORR_COLS])
-    return FE.correlation_matrix(lst, _CORR_COLS)
+    """Every pair of the numeric columns of the price-feature table (price and size unlogged)."""
+    feats = FE.price_features(_props(spark, d), PRICE_TYPE, RARE_MIN)
+    return FE.correlation_matrix(feats.withColumns({"price": F.expm1("log_price"), "size_m2": F.expm1("log_size_m2")}),
+                                 _CORR_COLS)
 
 
 # ============================ sessions ============================================
