@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later repeated runs of lines."""
-    return line_winnowing.deduplicate_lines(docs)
+    """All documents, without later repeated runs of lines, whole to their ends."""
+    return line_winnowing.deduplicate_lines(docs, whole_runs=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

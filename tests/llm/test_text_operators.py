@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from plotline.llm import best_fit_packing as bf
 from plotline.llm import common
 from plotline.llm import dart_minhash as dm
@@ -180,6 +181,40 @@ def test_line_deduplication_matches_force(docs_of, seed):
     assert got == dedup_by_force(rows, 8)
 
 
+def whole_runs_by_force(rows: list[tuple[int, str]], n: int) -> dict[int, str]:
+    """Every run of lines, of any length, from a line with words to one, of at least n words."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        count = [len(re.findall(r"[^\t\n\x0b\f\r ]+", x)) for x in lines]
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if count[a] and count[b] and sum(count[a:b + 1]) >= n:
+                    run = tuple(lines[a:b + 1])
+                    gone |= set(range(a, b + 1)) if run in seen else set()
+                    seen.add(run)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_repeated_runs_match_force(docs_of, seed):
+    rng = random.Random(seed)
+    pool = ["", " "] + [" ".join(rng.choices("abcdefgh", k=k)) for k in (1, 2, 3, 4, 5, 9, 12, 15)]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 14)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in lw.deduplicate_lines(docs_of(rows), 8, whole_runs=True).collect()}
+    assert got == whole_runs_by_force(rows, 8)
+
+
+def test_a_short_line_after_a_long_one_goes_with_its_run(docs_of, spark):
+    long, other, short = (" ".join(f"{c}{i}" for i in range(k)) for c, k in (("l", 200), ("o", 60), ("s", 30)))
+    run = f"{long}\n\n{other}\n{short}"
+    df = docs_of([(1, run + "\none end"), (2, "start\n" + run + "\nanother end"), (3, run)])
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, "").collect()}
+    assert got == {1: run + "\none end", 2: "start\nanother end", 3: ""}
+
+
 def test_winnowing_selects_a_shared_line_of_every_shared_run():
     h, w, ptr = lw.lines_of(pa.array(["p\nq r\ns t u\nv", "x y z\nq r\ns t u\nw"]))
     first, last, content, at = lw.winnow(h, w, ptr, 5)
