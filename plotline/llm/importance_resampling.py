@@ -6,9 +6,12 @@ counts every document; the target model counts documents labelled good (every la
 of the id says quality 1 and none says toxic), a bounded sample of them, picked by a hash.
 A document's log weight is the sum over its n-grams of log(target / raw), its own counts
 left out of both, lest labelled documents be favoured and rare words counted against,
-and less what an n-gram of target text adds on average (both models given the length).  With Gumbel
-noise from a hash of the document, the k highest keys are an exact sample without
-replacement in proportion to the weights; k is the share of documents of quality 1 among
+and less what an n-gram of target text adds on average (both models given the length).  As
+such a sum grows with the length, for good text that is a hair below the average too, it is
+sampled at one scale for all lengths: the mean over the n-grams (and ``PRIOR`` n-grams of
+average target text, as few tell little) times ``SCALE``.  With Gumbel noise from a hash of
+the document, the k highest keys are an exact sample without replacement in proportion to
+the exponentials of that; k is the share of documents of quality 1 among
 the labelled times the number of documents.
 
 Defined results: a text that is null or has no word has weight 0 and is never taken; if
@@ -29,6 +32,7 @@ from . import common
 BUCKETS = 1 << 17
 TARGET_ROWS = 50_000
 SMOOTHING = 2.0
+SCALE, PRIOR = 100.0, 40.0
 
 
 def ngram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,18 +82,19 @@ def bucket_counts(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.nd
 
 
 def score(docs: DataFrame, models: tuple[np.ndarray, np.ndarray] | None, target: DataFrame, seed: int) -> DataFrame:
-    """``doc_id``, ``h`` (hash of the text), ``log_weight``, ``key`` of each document that has a word."""
+    """``doc_id``, ``h`` (hash of the text), ``log_weight`` (the sum), ``key`` (the mean at
+    ``SCALE``, with noise) of each document that has a word."""
     if models is not None:
-        # what an n-gram of target text adds on average: taking it off compares documents
-        # with others of their length, else long ones would always outweigh short ones
+        # what an n-gram of target text adds on average: taking it off makes 0 the weight of
+        # average target text, to which PRIOR draws the short ones
         p, q = ((x + SMOOTHING) / (x + SMOOTHING).sum() for x in (models[1], models[0]))
         usual = float((p * np.log(p / q)).sum())
 
     def weigh(texts: pa.Array, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log weight and number of n-grams."""
         bucket, row = ngram_buckets(texts)
-        has = np.bincount(row, minlength=len(texts)) > 0
         if models is None:
-            return np.zeros(len(texts)), has
+            return np.zeros(len(texts)), np.bincount(row, minlength=len(texts))
         raw, tgt = models
         key, own = np.unique(row * BUCKETS + bucket, return_counts=True)
         row, bucket = key // BUCKETS, key % BUCKETS
@@ -99,21 +104,23 @@ def score(docs: DataFrame, models: tuple[np.ndarray, np.ndarray] | None, target:
         share = np.maximum(t_all, 1) / np.maximum(r_all, 1)
         ratio = np.log(tgt[bucket] - own * good[row] + SMOOTHING * share[row]) \
             - np.log(raw[bucket] - own + SMOOTHING) - np.log(share[row])
-        return np.bincount(row, own * (ratio - usual), minlength=len(texts)), has
+        return np.bincount(row, own * (ratio - usual), minlength=len(texts)), size.astype(np.int64)
 
     def run(batches):
         for batch in batches:
             texts, good = batch.column("text"), batch.column("good").to_numpy(zero_copy_only=False)
             got = [weigh(texts.slice(a, b - a), good[a:b]) for a, b in common.chunks(texts)]
+            weight = np.concatenate([np.zeros(0), *(w for w, _ in got)])
+            size = np.concatenate([np.zeros(0, np.int64), *(n for _, n in got)])
             out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"),
-                 pa.array(np.concatenate([np.zeros(0), *(w for w, _ in got)])), batch.column("gumbel")],
-                names=["doc_id", "h", "log_weight", "gumbel"])
-            yield out.filter(pa.array(np.concatenate([np.zeros(0, bool), *(h for _, h in got)])))
+                [batch.column("doc_id"), batch.column("h"), pa.array(weight),
+                 pa.array(SCALE * weight / (size + PRIOR)), batch.column("gumbel")],
+                names=["doc_id", "h", "log_weight", "level", "gumbel"])
+            yield out.filter(pa.array(size > 0))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return flagged(docs, target).select("doc_id", "text", "good", F.xxhash64("text").alias("h"), (-F.log(-F.log(uniform))).alias("gumbel")) \
-        .mapInArrow(run, "doc_id long, h long, log_weight double, gumbel double") \
-        .select("doc_id", "h", "log_weight", (F.col("log_weight") + F.col("gumbel")).alias("key"))
+        .mapInArrow(run, "doc_id long, h long, log_weight double, level double, gumbel double") \
+        .select("doc_id", "h", "log_weight", (F.col("level") + F.col("gumbel")).alias("key"))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 2048, few: int = 10_000) -> float | None:

@@ -118,6 +118,23 @@ def test_weights_and_selection_match_force(docs_of, spark):
     assert all(abs(r.log_weight - want[i]) < 1e-6 for i, r in got.items())
 
 
+def test_clean_documents_are_kept_alike_in_every_length_class(docs_of, spark):
+    rng = random.Random(5)
+    common_words, junk = [f"w{i}" for i in range(400)], [f"j{i}" for i in range(400)]
+    rows, size, clean = [], {}, {}
+    for i in range(400):
+        size[i], clean[i] = (10, 40, 160, 640, 8000)[i % 20 // 4], i % 4 != 0
+        # clean text differs a little from document to document, junk is mostly of other words
+        odd = rng.uniform(0, 0.06) if clean[i] else 0.8
+        rows.append((i, " ".join(rng.choice(junk if rng.random() < odd else common_words) for _ in range(size[i]))))
+    labels = spark.createDataFrame([(i, int(clean[i]), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id for r in ir.resample(docs_of(rows), labels).collect()}
+    for n in sorted(set(size.values())):
+        ids = [i for i in size if size[i] == n and clean[i]]
+        assert sum(i in got for i in ids) >= 0.93 * len(ids), n
+        assert not any(i in got for i in size if size[i] == n and not clean[i] and n > 100), n
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_kth_largest(spark, seed):
     rng = random.Random(seed)
