@@ -264,6 +264,21 @@ def test_slots_must_be_consistent(docs_of, spark):
     assert (1, 1) in got and got[1, 1] == "reparameterised" and (2, 1) not in got
 
 
+def test_slots_of_several_words_are_one(docs_of, spark):
+    item = "when the shop sells 950 red hats to Alice for some coins then how many of the hats are left"
+    others = [("950", "1,250"), ("950", "3.5"), ("950", "-4"), ("950", "1,250.75"), ("Alice", "Mary Ann"), ("Alice", "Mary-Ann O'Neill")]
+    rows = [(i, "so it goes: " + item.replace(a, b)) for i, (a, b) in enumerate(others)]
+    rows += [(10, "so it goes: " + item), (11, "lead " + item.upper()), (12, item.replace("coins", "fish").replace("shop", "man").replace("hats", "cows"))]
+    got = leaks_of(docs_of, spark, rows, [(1, item), (2, item.replace("950", "7,5").replace("Alice", "Bo Li"))])
+    want = {(i, 1): "reparameterised" for i in range(len(others))} | {(10, 1): "exact", (11, 1): "exact"}
+    assert {k: v for k, v in got.items() if k[1] == 1} == want
+    assert {k[0] for k in got if k[1] == 2} >= {*range(len(others)), 10}
+    capitals = [(1, "A " * 100_000), (2, "1,000 " * 100_000 + item)]  # long runs, in linear time
+    assert leaks_of(docs_of, spark, capitals, [(1, item)]) == {(2, 1): "exact"}
+    span = td.leaks(docs_of(rows[:1]), spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert (span.first_token, span.last_token) == (3, 3 + len(words(rows[0][1])) - 4)  # words of the document
+
+
 def test_short_items_and_removal(docs_of, spark):
     item = "what colour is the sky over there today"
     bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
