@@ -26,8 +26,11 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column
     """Add per-group aggregates to every row (pandas ``groupby().transform``): a
     partial-aggregated ``groupBy`` joined back skew-safely (see ``joins``)."""
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    return join_groups(df, stats, keys, "left", broadcast=broadcast_groups)
+    if not keys:
+        return join_groups(df, df.agg(*aggs), keys, "left")
+    stats = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_rows"))
+    return join_groups(df, stats.drop("_rows"), keys, "left", broadcast=broadcast_groups,
+                       counts=stats.select(*keys, "_rows"))
 
 
 def forecast_features(series: DataFrame, city: str = "city", date: str = "month",

@@ -100,8 +100,8 @@ def resolve_location(listings: DataFrame, dim: DataFrame) -> DataFrame:
 
     The dimension is reduced to one name per id with a grouped ``max_by``.  Every
     listing of a province shares one lookup key, so province and district names
-    (fixed-size levels) are broadcast; community names grow with the data and use
-    the salted join, so a hot community is spread over several tasks.
+    (fixed-size levels) are broadcast; community names grow with the data, so a community
+    with many listings is spread over several tasks (``spread_join``).
     """
     names = dim.groupBy("id").agg(F.max_by("name_en", "seq").alias("name"))
     out = listings

@@ -94,8 +94,30 @@ def test_join_groups_paths_agree(spark):
     fact = fact.unionByName(spark.createDataFrame([(None, 1)], "k string, v long"))
     groups = fact.groupBy("k").agg(F.sum("v").alias("s"))
     plain = sorted(map(tuple, fact.join(groups, "k", "left").collect()), key=repr)
-    for kw in ({"broadcast": True}, {"salt": 16}, {"salt": 3, "salt_cols": ["v"]}):
+    for kw in ({"broadcast": True}, {}, {"salt_cols": ["v"]}):
         got = sorted(map(tuple, join_groups(fact, groups, ["k"], "left", **kw).collect()), key=repr)
         assert got == plain, kw
     one = spark.createDataFrame([(1.5,)], "x double")
     assert attach_row(fact, one).where("x = 1.5").count() == fact.count()
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_heavy_keys_are_spread_in_proportion(spark, how):
+    """A key with half of the rows (and the null key with an eighth) is dealt to salts in
+    proportion; no (key, salt) keeps more than a part; keys below that are copied nowhere."""
+    from plotline.operators.joins import heavy_keys, spread_join
+    n, parts = 40_000, 50
+    fact = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 8 == 1, F.lit(None))
+        .otherwise((F.col("id") % 1999).cast("string")).alias("k"), F.col("id").alias("v"))
+    counts = fact.groupBy("k").agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = {r.k: r._copies for r in heavy_keys(counts, ["k"], parts).collect()}
+    assert heavy == {"hot": 25, None: 7}
+    groups = counts.where("k <> '77'").withColumnRenamed("_rows", "n")
+    got = spread_join(fact, groups, ["k"], how, parts=parts)
+    want = fact.join(groups, "k", how)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    salted = fact.where("k = 'hot'").select(F.pmod(F.xxhash64("k", "v"), F.lit(25)).alias("s")).groupBy("s").count()
+    assert salted.count() == 25 and salted.agg(F.max("count")).first()[0] < 1.3 * n / parts
+    empty = spread_join(fact.where("false"), groups, ["k"], how)
+    assert empty.isEmpty() and empty.columns == got.columns
