@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +33,7 @@ from . import common
 
 #: Rank file by default; it must lie at this place on the executors too.
 RANKS = "byte_bpe_multi_50k.tiktoken"
-HELD_PIECES = 250_000
+HELD_PIECES = 500_000
 #: Pieces that one recursive query contracts.
 STEP_PIECES = 60_000
 DECODE_ROWS = 1_000_000
@@ -54,7 +55,8 @@ SELECT piece, ids FROM step WHERE done
 """
 
 DECODE = """
-SELECT doc, string_agg(chars, '' ORDER BY pos) AS chars, count(chars) AS known FROM ids LEFT JOIN vocabulary USING (id) GROUP BY doc
+SELECT doc, array_to_string(list(chars ORDER BY pos), '') AS chars, count(chars) AS known
+FROM ids LEFT JOIN vocabulary USING (id) GROUP BY doc
 """
 
 
@@ -83,7 +85,7 @@ class Bpe:
                     merged.append(rank)
         self._table("merges", {"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int64())})
         # bytes as characters of the same number, since tokens may be parts of a UTF-8 character
-        self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int64()),
+        self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()),
                                    "chars": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())})
         self.byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         self.forget()
@@ -133,16 +135,16 @@ class Bpe:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and each text's pointer to them."""
-        pieces = [self.pattern.findall(t) if t else [] for t in texts]
         if len(self.number) > HELD_PIECES:
             self.forget()
-        new = set()
-        for p in pieces:
-            new.update(p)
-        self.learn([p for p in new if p not in self.number])
+        pieces = [self.pattern.findall(t) if t else [] for t in texts]
         count = np.array([len(p) for p in pieces], dtype=np.int64)
-        number = self.number
-        code = np.fromiter((number[w] for p in pieces for w in p), dtype=np.int64, count=int(count.sum()))
+        flat = list(chain.from_iterable(pieces))
+        code = np.fromiter(map(self.number.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            self.learn(list(dict.fromkeys(flat[i] for i in new.tolist())))
+            code[new] = [self.number[flat[i]] for i in new.tolist()]
         begin, size = self.ptr[code], self.ptr[code + 1] - self.ptr[code]
         end = np.cumsum(size)
         at = np.repeat(begin - (end - size), size) + np.arange(end[-1] if len(end) else 0)
@@ -155,7 +157,8 @@ class Bpe:
         for a in range(0, len(ids), DECODE_ROWS):
             b = min(len(ids), a + DECODE_ROWS)
             row = np.searchsorted(ptr, np.arange(a, b), side="right") - 1
-            self.db.register("ids", pa.table({"doc": row, "pos": np.arange(a, b), "id": ids[a:b].astype(np.int64)}))
+            self.db.register("ids", pa.table({"doc": row.astype(np.int32), "pos": np.arange(b - a, dtype=np.int32),
+                                             "id": ids[a:b].astype(np.int32)}))
             doc, chars, known = self.db.sql(DECODE).to_arrow_table().columns
             self.db.unregister("ids")
             if sum(known.to_pylist()) < b - a:
