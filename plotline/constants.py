@@ -77,6 +77,10 @@ FORECAST_CITY_NEEDLES = [("tripoli", "tripoli"), ("baabda", "baabda"), ("kesroua
 FORECAST_NUMERIC_FEATURES = ["time_index", "year", "month", "quarter", "month_sin", "month_cos",
                              "is_december", "is_summer", "is_quarter_end", "monthly_avg",
                              "city_avg", "post_2013"]
+# FIXED VALUES: forecast booster.
+FORECAST_BOOST = dict(rounds=500, depth=4, rate=0.05, subsample=0.8, colsample=0.8, gamma=1.0, alpha=0.5, lam=1.0,
+                      min_child=3.0, seed=42)
+FORECAST_PATIENCE = 50
 FORECAST_SPLIT_DATE = "2016-01-01"
 FORECAST_HORIZON_MONTHS = 48
 
@@ -84,6 +88,12 @@ FORECAST_HORIZON_MONTHS = 48
 PRICE_NUMERIC_FEATURES = ["log_size_m2", "bedrooms", "bathrooms", "latitude", "longitude",
                           "bed_bath_ratio", "size_per_bedroom"]
 PRICE_CATEGORICAL_FEATURES = ["province", "district", "city"]
+# FIXED VALUES: price booster grid (32 settings) and folds.
+PRICE_GRID = {"rounds": [1000, 1500], "rate": [0.01, 0.02], "depth": [6, 8], "subsample": [0.7, 0.8],
+              "colsample": [0.7, 0.8]}
+PRICE_FOLDS = 5
+# FIXED VALUES: fields that a price request must have.
+ESTIMATE_REQUIRED = ["province", "district", "city", "size_m2", "bedrooms", "bathrooms", "latitude", "longitude"]
 
 # FIXED VALUES: thresholds.
 HOT_AREA_MIN_LISTINGS = 400

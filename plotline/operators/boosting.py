@@ -238,14 +238,19 @@ class BoostedTrees:
             total += tree.weight[tree.leaves(codes, len(self.numeric))]
         return total
 
-    def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+    def predict(self, df: DataFrame, output: str = "prediction", known: bool = False) -> DataFrame:
+        """``df`` with its prediction.  ``known``: a category without a code raises."""
         me = replace(self, errors=[])
 
         @F.pandas_udf("double")
         def score(x: pd.Series, c: pd.Series) -> pd.Series:
             return pd.Series(me.base + me._score(me._codes(x, c), me.trees))
 
-        return self._coded(df).withColumn(output, score("_x", "_c")).drop("_x", "_c")
+        coded = self._coded(df)
+        if known:
+            coded = coded.withColumn("_c", F.when(F.array_contains("_c", 0), F.raise_error(F.lit(
+                "a category has a level that the model was not fitted on")).cast("array<int>")).otherwise(F.col("_c")))
+        return coded.withColumn(output, score("_x", "_c")).drop("_x", "_c")
 
     def importance(self, kind: str = "gain") -> list[tuple[str, float]]:
         """(column, value), largest first (ties by name), columns never used left out.

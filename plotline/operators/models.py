@@ -1,40 +1,39 @@
-"""Forecasting and price models on Spark ML (distributed fitting and scoring).
+"""Forecasting and price models: regularised boosted trees (``boosting``) on the feature tables.
 
-Fit-time statistics that must be exact (median imputation, population standard
-deviation, most frequent category) are computed with aggregates and frozen into
-``SQLTransformer`` stages, so the saved ``PipelineModel`` carries them and
-serving applies exactly the same numbers.  Boosted trees are ``GBTRegressor``;
-parameter names map as documented in README (no L1/L2 leaf penalties exist).
+Fit-time statistics (median imputation, population standard deviation, most frequent
+category) are exact aggregates of the rows a model is fitted on -- of the training part of
+each fold in a grid search -- and are saved with the model, so serving applies the same
+numbers.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline import constants as K
 from plotline.functions.dates import calendar_flags, cyclic_month
 from plotline.functions.numeric import money_avg, round_hundreds, safe_ratio, zero_to_null
+from plotline.operators import boosting
+from plotline.operators.boosting import BoostedTrees, BoostParams
 from plotline.operators.features import regression_metrics
 from plotline.operators.joins import attach_row
+from plotline.operators.ordering import dense_codes, label_encode
 from plotline.operators.quantiles import exact_quantiles
-from plotline.operators.series import future_spine, yearly_total, yearly_forecast_total, align_full_outer
+from plotline.operators.series import align_full_outer, future_spine, yearly_forecast_total, yearly_total
+from plotline.session import ensure_checkpoint_dir
 
-FORECAST_GBT = dict(maxDepth=4, stepSize=0.05, maxIter=500, subsamplingRate=0.8,
-                    featureSubsetStrategy="0.8", minInstancesPerNode=3, seed=42)
-
-
-def _gbt(label: str, params: dict) -> GBTRegressor:
-    p = dict(FORECAST_GBT)
-    p.update(params)
-    return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", **p)
+FORECAST_PARAMS = BoostParams(**K.FORECAST_BOOST)
+#: One setting of the source's grid (``grid_search`` picks among all).
+PRICE_PARAMS = BoostParams(**{name: values[-1] if name in ("rate", "subsample", "colsample") else values[0]
+                              for name, values in K.PRICE_GRID.items()})
+#: The source ships its predictors fitted; these are the booster's usual values.
+PREDICTOR_PARAMS = BoostParams(rounds=100)
 
 
 # ------------------------------ forecasting --------------------------------------
@@ -43,64 +42,34 @@ def forecast_numeric_features(post_year: int) -> list[str]:
     return [c if c != "post_2013" else f"post_{post_year}" for c in K.FORECAST_NUMERIC_FEATURES]
 
 
-def forecast_pipeline(post_year: int, gbt_params: dict | None = None) -> Pipeline:
-    """city -> one-hot (all levels kept, unseen city is an error) + 12 numeric
-    features -> boosted trees on transaction_value."""
-    return Pipeline(stages=[
-        StringIndexer(inputCol="city", outputCol="city_idx", stringOrderType="alphabetAsc",
-                      handleInvalid="error"),
-        OneHotEncoder(inputCols=["city_idx"], outputCols=["city_ohe"], dropLast=False),
-        # A future month the city never had in its history has no monthly mean: it
-        # stays NaN (missing), as the source's booster received it.
-        VectorAssembler(inputCols=forecast_numeric_features(post_year) + ["city_ohe"],
-                        outputCol="features", handleInvalid="keep"),
-        _gbt("transaction_value", gbt_params or {})])
-
-
-def best_round(errors: Sequence[float], patience: int) -> int:
-    """Number of trees with the least error, looking no further than ``patience`` rounds
-    past the best one so far (ties: fewer trees)."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def fit_forecast(features: DataFrame, split_date: str, post_year: int = 2013,
-                 gbt_params: dict | None = None, patience: int = 50) -> tuple[PipelineModel, DataFrame]:
-    """Validate on rows dated >= ``split_date``, then refit on all rows.  Returns (model, test metrics).
-
-    The ensemble fitted on the earlier rows is scored on the later ones after each tree;
-    the metrics are those of its best round (``best_round``).  The model served is refitted
-    on all rows with the full number of trees.
-
-    The feature table (one row per series and month) is read by the fits and the
-    validation scoring, so it is checkpointed once to the shared checkpoint folder.
+def fit_forecast(features: DataFrame, split_date: str, post_year: int = 2013, params: BoostParams = FORECAST_PARAMS,
+                 patience: int = K.FORECAST_PATIENCE) -> tuple[BoostedTrees, DataFrame]:
+    """Validate on rows dated >= ``split_date``, then refit on all rows with the full
+    number of rounds and no early stop.  Returns (model, metrics on the later rows).
+
+    Every city has its own column.  The validation fit stops ``patience`` rounds after the
+    round of the least error on the later rows, and its metrics are those of that round.
+    The feature table is checkpointed once for both fits and the metrics.
     """
-    from plotline.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(features.sparkSession)
     features = features.checkpoint(eager=True)
+    numeric = forecast_numeric_features(post_year)
     later = F.col("date") >= F.lit(split_date).cast("date")
-    train, test = features.where(~later), features.where(later)
-    fitted = forecast_pipeline(post_year, gbt_params).fit(train)
-    encoded = fitted.transform(test).drop("prediction")
-    trees = best_round(fitted.stages[-1].evaluateEachIteration(encoded, "squared"), patience)
-    # trees are drawn from seed + round, so the shorter ensemble is the start of the longer one
-    best = forecast_pipeline(post_year, {**(gbt_params or {}), "maxIter": trees}).fit(train)
-    metrics = regression_metrics(best.transform(test).select(F.col("transaction_value").alias("y"),
-                                                             F.col("prediction").alias("y_hat")))
-    return forecast_pipeline(post_year, gbt_params).fit(features), metrics
-
-
-def forecast_cities(series: DataFrame, model: PipelineModel, months: int = K.FORECAST_HORIZON_MONTHS,
+    checked = boosting.fit(features, "transaction_value", numeric, ["city"], params, key=["city", "date"],
+                           valid=later, patience=patience)
+    scored = checked.predict(features.where(later))
+    metrics = regression_metrics(scored.select(F.col("transaction_value").alias("y"), F.col("prediction").alias("y_hat")))
+    return boosting.fit(features, "transaction_value", numeric, ["city"], params, key=["city", "date"]), metrics
+
+
+def forecast_cities(series: DataFrame, model: BoostedTrees, months: int = K.FORECAST_HORIZON_MONTHS,
                     city: str = "city", date: str = "month", value: str = "transaction_value",
                     post_year: int = 2013) -> DataFrame:
     """Every city at once: 48-month spine after its history, serving-time features
     (index continues per city, monthly and overall means of that city's history),
-    prediction.  Columns: city, date, predicted_value."""
+    prediction.  Columns: city, date, predicted_value.  A future month that a city never had
+    has no monthly mean: it stays missing, as the source's booster received it.  A city the
+    model was not fitted on raises."""
     hist = series.select(F.lower(F.col(city)).alias("city"), F.col(date).alias("month"),
                          F.col(value).alias("transaction_value"))
     spine = future_spine(hist, months, "city", "month")
@@ -113,10 +82,10 @@ def forecast_cities(series: DataFrame, model: PipelineModel, months: int = K.FOR
              .select("city", "date", "time_index", F.year("date").alias("year"),
                      F.month("date").alias("month"), F.quarter("date").alias("quarter"),
                      *cyclic_month("date"), *flags[:3], "monthly_avg", "city_avg", flags[3]))
-    return model.transform(feats).select("city", "date", F.col("prediction").alias("predicted_value"))
+    return model.predict(feats, known=True).select("city", "date", F.col("prediction").alias("predicted_value"))
 
 
-def forecast_report(series: DataFrame, model: PipelineModel, post_year: int = 2013,
+def forecast_report(series: DataFrame, model: BoostedTrees, post_year: int = 2013,
                     months: int = K.FORECAST_HORIZON_MONTHS) -> DataFrame:
     """Yearly history and forecast totals side by side per city (full outer by year)."""
     pred = forecast_cities(series, model, months, post_year=post_year)
@@ -133,74 +102,112 @@ def random_split_flag(key_cols: Sequence[str], train_pct: int = 70, seed: int =
     return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]), F.lit(100)) < train_pct
 
 
-def _prep_stage(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> SQLTransformer:
-    """Median-impute + population-standardise numerics, mode-impute categoricals, with
-    the statistics of ``train`` frozen into SQL text."""
-    med = exact_quantiles(train, [], specs={f"m_{c}": (c, 0.5) for c in numeric}).first()
-    mom = train.agg(*[F.avg(c).alias(f"a_{c}") for c in numeric],
-                    *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric]).first()
-    modes = {}
-    for c in categorical:
-        top = (train.where(F.col(c).isNotNull()).groupBy(c).count()
-               .orderBy(F.desc("count"), F.asc(c)).limit(1).collect())
-        modes[c] = top[0][0] if top else ""
-    exprs = []
-    for c in numeric:
-        m, a, s = med[f"m_{c}"], mom[f"a_{c}"], mom[f"s_{c}"]
-        m = 0.0 if m is None else float(m)
-        a = 0.0 if a is None else float(a)
-        s = 1.0 if not s else float(s)
-        exprs.append(f"(coalesce(CAST({c} AS DOUBLE), {m!r}) - {a!r}) / {s!r} AS n_{c}")
-    for c in categorical:
-        lit = modes[c].replace("'", "''")
-        exprs.append(f"coalesce({c}, '{lit}') AS c_{c}")
-    return SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")
-
-
-def price_pipeline(train: DataFrame, numeric: Sequence[str] = K.PRICE_NUMERIC_FEATURES,
-                   categorical: Sequence[str] = K.PRICE_CATEGORICAL_FEATURES,
-                   gbt_params: dict | None = None) -> Pipeline:
-    cats = list(categorical)
-    return Pipeline(stages=[
-        _prep_stage(train, numeric, cats),
-        StringIndexer(inputCols=[f"c_{c}" for c in cats], outputCols=[f"i_{c}" for c in cats],
-                      handleInvalid="keep"),
-        # dropLast drops the "unseen" slot StringIndexer(keep) adds: known levels all stay,
-        # an unseen level encodes as all zeros.
-        OneHotEncoder(inputCols=[f"i_{c}" for c in cats], outputCols=[f"o_{c}" for c in cats],
-                      dropLast=True),
-        VectorAssembler(inputCols=[f"n_{c}" for c in numeric] + [f"o_{c}" for c in cats],
-                        outputCol="features"),
-        _gbt("log_price", {"maxDepth": 6, "stepSize": 0.1, "maxIter": 100,
-                           "subsamplingRate": 1.0, "featureSubsetStrategy": "all",
-                           "minInstancesPerNode": 1, **(gbt_params or {})})])
+def fold_number(key_cols: Sequence[str], folds: int, seed: int = 43):
+    """Fold of a row, from a hash of its key."""
+    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]), F.lit(folds)).cast("int")
+
+
+@dataclass(frozen=True)
+class Preparation:
+    """Imputation and scaling with the statistics of the rows it was fitted on: a missing
+    number becomes the median, numbers are centred and divided by their population standard
+    deviation (1 where that is 0), a missing category becomes the most frequent (ties: the
+    first by name)."""
+
+    numeric: dict[str, tuple[float, float, float]]
+    categorical: dict[str, str]
+
+    @staticmethod
+    def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Preparation:
+        medians = exact_quantiles(train, [], specs={f"m_{c}": (c, 0.5) for c in numeric}).first()
+        filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(medians[f"m_{c}"] or 0.0))).alias(c)
+                                for c in numeric])
+        moments = filled.agg(*[F.avg(c).alias(f"a_{c}") for c in numeric],
+                             *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric]).first()
+        modes = {}
+        for c in categorical:
+            top = (train.where(F.col(c).isNotNull()).groupBy(c).count()
+                   .orderBy(F.desc("count"), F.asc(c)).limit(1).collect())
+            modes[c] = str(top[0][0]) if top else ""
+        return Preparation({c: (float(medians[f"m_{c}"] or 0.0), float(moments[f"a_{c}"] or 0.0),
+                                float(moments[f"s_{c}"] or 1.0)) for c in numeric}, modes)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``n_<number>`` and ``c_<category>`` columns."""
+        return df.withColumns({f"n_{c}": (F.coalesce(F.col(c).cast("double"), F.lit(m)) - F.lit(a)) / F.lit(s)
+                               for c, (m, a, s) in self.numeric.items()}
+                              | {f"c_{c}": F.coalesce(F.col(c), F.lit(v)) for c, v in self.categorical.items()})
+
+
+@dataclass
+class PriceModel:
+    """A preparation and the trees fitted on what it makes."""
+
+    preparation: Preparation
+    trees: BoostedTrees
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        made = [f"n_{c}" for c in self.preparation.numeric] + [f"c_{c}" for c in self.preparation.categorical]
+        return self.trees.predict(self.preparation.apply(df)).drop(*made)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        p = self.preparation
+        spark.createDataFrame([(json.dumps({"numeric": p.numeric, "categorical": p.categorical}),)], "value string") \
+            .coalesce(1).write.text(f"{path}/preparation")
+        self.trees.save(spark, f"{path}/trees")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> PriceModel:
+        p = json.loads(spark.read.text(f"{path}/preparation", wholetext=True).first().value)
+        return PriceModel(Preparation({c: tuple(v) for c, v in p["numeric"].items()}, p["categorical"]),
+                          BoostedTrees.load(spark, f"{path}/trees"))
+
+
+def fit_price_model(train: DataFrame, params: BoostParams = PRICE_PARAMS, key: Sequence[str] = ("listing_id",),
+                    numeric: Sequence[str] = K.PRICE_NUMERIC_FEATURES,
+                    categorical: Sequence[str] = K.PRICE_CATEGORICAL_FEATURES) -> PriceModel:
+    """Trees on log price.  A category keeps columns for its ``boosting.MAX_LEVELS`` most
+    frequent levels; rarer and unseen ones are all zeros."""
+    preparation = Preparation.fit(train, numeric, categorical)
+    return PriceModel(preparation, boosting.fit(preparation.apply(train), "log_price", [f"n_{c}" for c in numeric],
+                                                [f"c_{c}" for c in categorical], params, key=list(key)))
 
 
 def fit_price(features: DataFrame, key: Sequence[str] = ("listing_id",), train_pct: int = 70,
-              gbt_params: dict | None = None) -> tuple[PipelineModel, DataFrame]:
+              params: BoostParams = PRICE_PARAMS) -> tuple[PriceModel, DataFrame]:
     """Fit on the hashed 70% split; return (model, test-split metrics on log price and the
     mean absolute error in dollars)."""
-    flagged = features.withColumn("_train", random_split_flag(list(key), train_pct))
-    train = flagged.where("_train")
-    model = price_pipeline(train, gbt_params=gbt_params).fit(train)
-    pred = model.transform(flagged.where(~F.col("_train")))
+    ensure_checkpoint_dir(features.sparkSession)
+    flagged = features.withColumn("_train", random_split_flag(list(key), train_pct)).checkpoint(eager=True)
+    model = fit_price_model(flagged.where("_train"), params, key)
+    pred = model.predict(flagged.where(~F.col("_train")))
     m = regression_metrics(pred.select(F.col("log_price").alias("y"), F.col("prediction").alias("y_hat")))
     dollars = pred.agg(F.avg(F.abs(F.expm1("log_price") - F.expm1("prediction"))).alias("mae_dollars"))
     return model, attach_row(m, dollars)
 
 
-def grid_search(features: DataFrame, grid: dict, folds: int = 5, parallelism: int = 4,
-                gbt_params: dict | None = None):
-    """Cross-validated grid over GBT parameters (R², ``folds`` folds)."""
-    pipe = price_pipeline(features, gbt_params=gbt_params)
-    gbt = pipe.getStages()[-1]
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(gbt.getParam(name), list(values))
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=builder.build(),
-                        evaluator=RegressionEvaluator(labelCol="log_price", metricName="r2"),
-                        numFolds=folds, parallelism=parallelism, seed=42)
-    return cv.fit(features)
+def grid_settings(grid: dict[str, Sequence] = K.PRICE_GRID, base: BoostParams = PRICE_PARAMS) -> list[BoostParams]:
+    return [replace(base, **dict(zip(grid, values))) for values in itertools.product(*grid.values())]
+
+
+def grid_search(features: DataFrame, settings: Sequence[BoostParams] | None = None, folds: int = K.PRICE_FOLDS,
+                key: Sequence[str] = ("listing_id",)) -> tuple[PriceModel, list[tuple[BoostParams, float]]]:
+    """Mean R² over ``folds`` hashed folds of each setting (default: the source's 32), and
+    the best setting (ties: the first) refitted on all rows.  Imputation, scaling and levels
+    come from each fold's training rows alone."""
+    ensure_checkpoint_dir(features.sparkSession)
+    rows = features.withColumn("_fold", fold_number(list(key), folds)).checkpoint(eager=True)
+    settings = list(settings or grid_settings())
+    scores = []
+    for params in settings:
+        r2 = []
+        for k in range(folds):
+            model = fit_price_model(rows.where(F.col("_fold") != k), params, key)
+            pred = model.predict(rows.where(F.col("_fold") == k))
+            r2.append(regression_metrics(pred.select(F.col("log_price").alias("y"), F.col("prediction").alias("y_hat"))).first().r2)
+        scores.append(sum(r2) / folds)
+    best = settings[max(range(len(settings)), key=lambda i: (scores[i], -i))]
+    return fit_price_model(rows, best, key), list(zip(settings, scores))
 
 
 def request_features(requests: DataFrame) -> DataFrame:
@@ -213,55 +220,46 @@ def request_features(requests: DataFrame) -> DataFrame:
                           "size_per_bedroom": safe_ratio("size_m2", "bedrooms")})
 
 
-ESTIMATE_REQUIRED = ["province", "district", "city", "size_m2", "bedrooms", "bathrooms",
-                     "latitude", "longitude"]
-
-
-def estimate_price(model: PipelineModel, requests: DataFrame, spread: float = K.ESTIMATE_RANGE) -> DataFrame:
+def estimate_price(model: PriceModel, requests: DataFrame, spread: float = K.ESTIMATE_RANGE) -> DataFrame:
     """Batch fair-price estimates: dollars rounded to hundreds (ties to even) with a
     ±``spread`` range.  A request table without every required field is rejected."""
-    missing = [c for c in ESTIMATE_REQUIRED if c not in requests.columns]
+    missing = [c for c in K.ESTIMATE_REQUIRED if c not in requests.columns]
     if missing:
         raise ValueError(f"missing required fields: {missing}")
-    p = model.transform(request_features(requests)).withColumn("_usd", F.expm1("prediction"))
+    p = model.predict(request_features(requests)).withColumn("_usd", F.expm1("prediction"))
     keep = [c for c in requests.columns]
     return p.select(*keep, round_hundreds("_usd").alias("estimated_price"),
                     round_hundreds(F.col("_usd") * (1 - spread)).alias("price_range_low"),
                     round_hundreds(F.col("_usd") * (1 + spread)).alias("price_range_high"))
 
 
-def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 20) -> DataFrame:
-    """Importance per assembled feature name, largest first.  The list is bounded by
-    the feature count, so it is assembled on the driver."""
-    meta = model.transform(sample.limit(1)).schema["features"].metadata
-    names = {}
-    for group in meta.get("ml_attr", {}).get("attrs", {}).values():
-        for a in group:
-            names[a["idx"]] = a["name"]
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    rows = sorted(((names.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)),
-                  key=lambda x: (-x[1], x[0]))[:top]
-    return sample.sparkSession.createDataFrame(rows, "feature string, importance double")
+def feature_importance(spark: SparkSession, trees: BoostedTrees, top: int = 20) -> DataFrame:
+    """The ``top`` columns by their share of the mean gain."""
+    return spark.createDataFrame(trees.importance()[:top], "feature string, importance double")
 
 
 # ------------------------------ label-encoded predictors -------------------------
 
-def label_encoded_pipeline(categorical: Sequence[str], numeric: Sequence[str], label: str,
-                           gbt_params: dict | None = None) -> Pipeline:
-    """Sorted-label encoding (unseen label -> error) + numerics -> boosted trees.
-
-    The codes enter the trees as ordinal numbers (as integer label codes do in the
-    source's booster), not as categorical features: ``+ 0.0`` drops the nominal
-    metadata, so the number of levels (cities grow with the data) never has to fit
-    in ``maxBins``.
-    """
-    cats = list(categorical)
-    ordinal = ", ".join(f"e_{c} + 0.0 AS o_{c}" for c in cats)
-    return Pipeline(stages=[
-        StringIndexer(inputCols=cats, outputCols=[f"e_{c}" for c in cats],
-                      stringOrderType="alphabetAsc", handleInvalid="error"),
-        SQLTransformer(statement=f"SELECT *, {ordinal} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"o_{c}" for c in cats] + list(numeric), outputCol="features",
-                        handleInvalid="keep"),
-        _gbt(label, {"maxIter": 50, "subsamplingRate": 1.0, "featureSubsetStrategy": "all",
-                     "minInstancesPerNode": 1, **(gbt_params or {})})])
+@dataclass
+class LabelEncodedModel:
+    """Sorted-label codes as ordinary numbers, other numbers, and trees on both."""
+
+    codes: dict[str, DataFrame]
+    trees: BoostedTrees
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``df`` with its prediction; a label without a code raises."""
+        made = [f"{c}_code" for c in self.codes]
+        return self.trees.predict(label_encode(df, self.codes)).drop(*made)
+
+
+def fit_label_encoded(labels: DataFrame, train: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
+                      target: str, params: BoostParams = PREDICTOR_PARAMS,
+                      key: Sequence[str] | None = None) -> LabelEncodedModel:
+    """``labels``: the table whose values get codes.  The codes enter as numbers, so the
+    number of levels has no bound."""
+    ensure_checkpoint_dir(labels.sparkSession)
+    codes = {c: dense_codes(labels, c).checkpoint(eager=True) for c in categorical}
+    coded = label_encode(train, codes)
+    return LabelEncodedModel(codes, boosting.fit(coded, target, [f"{c}_code" for c in categorical] + list(numeric), [],
+                                                 params, key=key))

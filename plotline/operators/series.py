@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from plotline.functions.dates import month_spine
 from plotline.functions.numeric import (EXACT, annual_to_monthly_rate, exact_sum, money_avg, pct_change,
                                         round_to, trend_direction, uniform_noise)
+from plotline.operators.ordering import offsets
 from plotline.operators.quantiles import exact_quantiles
 
 
@@ -124,17 +125,9 @@ def time_index_series(series: DataFrame, city: str = "city", date: str = "month"
 
 
 def time_index_global(series: DataFrame, city: str = "city", date: str = "month") -> DataFrame:
-    """0-based position over the whole (date, city)-sorted table, computed without a
-    single-partition window: rows per date -> running offset over the (small) per-date
-    table -> broadcast back -> position within the date."""
-    per_date = series.groupBy(date).agg(F.count(F.lit(1)).alias("_cnt"))
-    off = per_date.withColumn(
-        "_off", F.sum("_cnt").over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)))
-    off = off.select(date, F.coalesce("_off", F.lit(0)).alias("_off"))
-    w = Window.partitionBy(date).orderBy(city)
-    return (series.join(F.broadcast(off), date)
-            .withColumn("time_index", (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-            .drop("_off"))
+    """0-based position over the whole (date, city)-sorted table, by ranges
+    (``ordering.offsets``): a date with many rows may span several."""
+    return offsets(series, [date, city], "time_index")
 
 
 def future_spine(series: DataFrame, months: int, city: str = "city", date: str = "month") -> DataFrame:

@@ -665,6 +665,45 @@ def q_time_index_global(spark, d):
     return S.time_index_global(V.transactions(Tables(spark, d))).select("city", "month", "time_index")
 
 
+@query("time_index_by_day", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) "
+       "AS time_index FROM orders")
+def q_time_index_by_day(spark, d):
+    """The global index over a table that grows with the data."""
+    orders = Tables(spark, d).orders.select("o_orderkey", "o_orderdate")
+    return S.time_index_global(orders, "o_orderkey", "o_orderdate").select("o_orderkey", "time_index")
+
+
+@query("label_encode", with_views("listing") + """
+SELECT listing_id, city, CAST(dense_rank() OVER (ORDER BY city) - 1 AS BIGINT) AS city_code,
+       CAST(dense_rank() OVER (ORDER BY district) - 1 AS BIGINT) AS district_code FROM listing""")
+def q_label_encode(spark, d):
+    from plotline.operators import ordering as O
+    rows = _listing(spark, d).select("listing_id", "city", "district")
+    return O.label_encode(rows, {c: O.dense_codes(rows, c) for c in ("city", "district")}).select(
+        "listing_id", "city", "city_code", "district_code")
+
+
+#: Levels that get a column each; small enough that the test tables hold rarer ones too.
+ONE_HOT_WIDTH = 8
+
+
+@query("one_hot_indices", with_views("listing") + f"""
+, fit AS (SELECT * FROM listing WHERE province <> 'ASIA'),
+c AS (SELECT city, CAST(row_number() OVER (ORDER BY city) - 1 AS BIGINT) AS i FROM (
+    SELECT city FROM fit GROUP BY city ORDER BY count(*) DESC, city LIMIT {ONE_HOT_WIDTH})),
+p AS (SELECT province, CAST(row_number() OVER (ORDER BY province) - 1 AS BIGINT) AS i FROM (
+    SELECT province FROM fit GROUP BY province ORDER BY count(*) DESC, province LIMIT {ONE_HOT_WIDTH}))
+SELECT listing_id, i AS "index" FROM listing JOIN c USING (city)
+UNION ALL SELECT listing_id, {ONE_HOT_WIDTH} + i AS "index" FROM listing JOIN p USING (province)""")
+def q_one_hot_indices(spark, d):
+    """Levels of all provinces but one, whose rows have none set."""
+    from plotline.operators import ordering as O
+    rows = _listing(spark, d).select("listing_id", "city", "province")
+    fit = rows.where("province <> 'ASIA'")
+    levels = {c: O.frequent_levels(fit, c, ONE_HOT_WIDTH) for c in ("city", "province")}
+    return O.one_hot_indices(rows, ["listing_id"], levels, ONE_HOT_WIDTH)
+
+
 @query("mean_by_month", with_views("transactions") +
        "SELECT CAST(month(month) AS INTEGER) AS month, round(CAST(sum(CAST(transaction_value AS DECIMAL(38,3))) AS DOUBLE) / CAST(count(transaction_value) AS DOUBLE), 4) AS monthly_avg "
        "FROM transactions GROUP BY 1")
@@ -950,17 +989,29 @@ def q_scan_json_props(spark, d):
 
 
 # ============================ models (rows-only checks) ===========================
-# Model outputs depend on the tree learner, so these have no oracle SQL; the
-# features and metrics feeding them are oracle-checked above.
+# Fitted trees have no SQL; tests/test_boosting.py holds them against a written-out brute
+# force.  The features and metrics feeding them are oracle-checked above.
+
+#: Rounds of the registered price model; the source's grid starts at 1,000 (README).
+PRICE_ROUNDS = 300
+_FITS: dict = {}
+
 
-SMALL_GBT = {"maxIter": 20}
+def _fitted(spark, d, name: str, fit):
+    """A model is fitted once a session and folder."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _FITS:
+        _FITS[at] = fit()
+    return _FITS[at]
 
 
 def _forecast_model(spark, d):
     from plotline.operators import models as M
     tr = V.transactions(Tables(spark, d))
-    feats = FE.forecast_features(tr, post_year=POST_YEAR)
-    return tr, M.fit_forecast(feats, SPLIT_DATE, POST_YEAR, SMALL_GBT)
+
+    def fit():
+        return M.fit_forecast(FE.forecast_features(tr, post_year=POST_YEAR), SPLIT_DATE, POST_YEAR)
+    return tr, _fitted(spark, d, "forecast", fit)
 
 
 @query("forecast_city")
@@ -984,41 +1035,40 @@ def q_forecast_validation_metrics(spark, d):
 
 
 def _price_model(spark, d):
+    from dataclasses import replace
+
     from plotline.operators import models as M
-    feats = FE.price_features(_props(spark, d), PRICE_TYPE, RARE_MIN)
-    return feats, M.fit_price(feats, gbt_params=SMALL_GBT)
+    return _fitted(spark, d, "price", lambda: M.fit_price(
+        FE.price_features(_props(spark, d), PRICE_TYPE, RARE_MIN), params=replace(M.PRICE_PARAMS, rounds=PRICE_ROUNDS)))
 
 
 @query("price_model_metrics")
 def q_price_model_metrics(spark, d):
-    _, (_, metrics) = _price_model(spark, d)
-    return metrics
+    return _price_model(spark, d)[1]
 
 
 @query("estimate_price")
 def q_estimate_price(spark, d):
     from plotline.operators import models as M
-    _, (model, _) = _price_model(spark, d)
     req = _props(spark, d).where(F.col("type") == PRICE_TYPE).select(
         "listing_id", "province", "district", "city", "size_m2", "bedrooms", "bathrooms", "latitude", "longitude")
-    return M.estimate_price(model, req)
+    return M.estimate_price(_price_model(spark, d)[0], req)
 
 
 @query("feature_importance")
 def q_feature_importance(spark, d):
     from plotline.operators import models as M
-    feats, (model, _) = _price_model(spark, d)
-    return M.feature_importance(model, feats)
+    return M.feature_importance(spark, _price_model(spark, d)[0].trees)
 
 
 @query("predict_property")
 def q_predict_property(spark, d):
     from plotline.operators import models as M
     props = _props(spark, d)
-    pipe = M.label_encoded_pipeline(["city", "district", "province", "type"],
-                                    ["size_m2", "bedrooms", "bathrooms"], "price", SMALL_GBT)
-    train = props.where(F.col("price").isNotNull())
-    return pipe.fit(train).transform(props).select(
+    model = _fitted(spark, d, "property", lambda: M.fit_label_encoded(
+        props, props.where(F.col("price").isNotNull()), ["city", "district", "province", "type"],
+        ["size_m2", "bedrooms", "bathrooms"], "price", key=["listing_id"]))
+    return model.predict(props).select(
         "listing_id", "city", "district", "type", F.col("prediction").alias("predicted_price"))
 
 
@@ -1028,7 +1078,6 @@ def q_predict_transaction(spark, d):
     tr = V.transactions(Tables(spark, d)).select(
         "city", F.year("month").alias("year"), F.month("month").alias("month"),
         F.col("transaction_number").cast("double").alias("transaction_number"), "transaction_value")
-    pipe = M.label_encoded_pipeline(["city"], ["year", "month", "transaction_number"],
-                                    "transaction_value", SMALL_GBT)
-    return pipe.fit(tr).transform(tr).select(
-        "city", "year", "month", F.col("prediction").alias("predicted_value"))
+    model = _fitted(spark, d, "transaction", lambda: M.fit_label_encoded(
+        tr, tr, ["city"], ["year", "month", "transaction_number"], "transaction_value", key=["city", "year", "month"]))
+    return model.predict(tr).select("city", "year", "month", F.col("prediction").alias("predicted_value"))

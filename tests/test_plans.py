@@ -77,15 +77,17 @@ def _bracket_groups(text: str) -> int:
 
 @pytest.mark.parametrize("name", NAMES)
 def test_no_unpartitioned_window(spark, name):
-    """Every Window node has a partition spec; the one exception is the running offset
-    of time_index_global, computed over the per-date table (one row per month)."""
+    """Every Window node has a partition spec."""
     p = plan_of(E.queries()[name](spark, SF_SMALL))
     unpartitioned = [ln for ln in p.splitlines()
                      if re.search(r"\bWindow \[", ln) and _bracket_groups(ln.split("Window ", 1)[1]) < 3]
-    if name == "time_index_global":
-        assert len(unpartitioned) == 1          # the detector sees the one it should
-    else:
-        assert not unpartitioned, unpartitioned
+    assert not unpartitioned, unpartitioned
+
+
+def test_unpartitioned_window_is_seen(spark):
+    """The detector sees one where there is one."""
+    p = plan_of(spark.range(5).selectExpr("sum(id) OVER (ORDER BY id) AS s"))
+    assert [ln for ln in p.splitlines() if re.search(r"\bWindow \[", ln) and _bracket_groups(ln.split("Window ", 1)[1]) < 3]
 
 
 def test_group_join_policy(spark):
