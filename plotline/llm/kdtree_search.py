@@ -11,7 +11,8 @@ Ties go to the smaller id: a box whose bound equals the kth score is visited onl
 holds a smaller id than the kth's.
 
 Defined results: vectors that are null or hold null or non-finite components take no
-part, nor do rows without an id; vectors of different lengths do not meet; rows of one id
+part, nor do rows without an id; components so large that a score could leave the range of
+a long raise an error; vectors of different lengths do not meet; rows of one id
 count once (the smallest vector in array order); an empty table gives no rows.
 """
 
@@ -28,7 +29,7 @@ from . import common
 
 SHARD_ROWS = 8192
 QUERY_ROWS = 1024
-LEAF_ROWS = 64
+LEAF_ROWS = 256
 TOP = 20
 
 INDEX = "dim int, shard int, ids binary, vectors binary, left binary, right binary, leaf binary, low binary, high binary, least binary"
@@ -65,10 +66,14 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, leaf_rows: int = LEAF_ROWS)
 
 
 def search_tree(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, kth: np.ndarray,
-                kth_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+                kth_id: np.ndarray, k: int, products: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores (-1 id: none) of the k best rows of each query that beat its given
-    (kth, kth_id); float64 holds the integer scores exactly up to 2**53, else int64."""
-    limit = max([1.0, *(float(np.abs(x).max()) for x in (q, tree["vectors"]) if x.size)])
+    (kth, kth_id); float64 holds the integer scores exactly up to 2**53, else int64.
+    ``products[0]`` is raised by the number of inner products computed."""
+    products = [0] if products is None else products
+    limit = max([1.0, *(float(np.abs(x.astype(np.float64)).max()) for x in (q, tree["vectors"]) if x.size)])
+    if limit * limit * max(1, q.shape[1]) >= 2.0 ** 63:
+        raise ValueError("components are so large that scores may leave the range of a long")
     exact = limit * limit * max(1, q.shape[1]) < 2 ** 53
     kind = np.float64 if exact else np.int64
     vec, q = tree["vectors"].astype(kind), q.astype(kind)
@@ -88,6 +93,36 @@ def search_tree(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, k
     def alive(qi: np.ndarray, b: np.ndarray, node: int) -> np.ndarray:
         return (b > kth[qi]) | ((b == kth[qi]) & (tree["least"][node] < kth_id[qi]))
 
+    def merge(qi: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Put candidates (``row`` ascending, into ``qi``) to their queries' best ones."""
+        touched, first, count = np.unique(row, return_index=True, return_counts=True)
+        who = qi[touched]
+        all_s = np.full((len(who), k + int(count.max())), none, dtype=kind)
+        all_i = np.full(all_s.shape, last, dtype=np.int64)
+        all_s[:, :k], all_i[:, :k] = top_s[who], top_i[who]
+        at = (np.repeat(np.arange(len(who)), count), k + np.arange(len(row)) - np.repeat(first, count))
+        all_s[at], all_i[at] = score, ids
+        pick = np.lexsort((all_i, -all_s if exact else ~all_s), axis=-1)[:, :k]
+        top_s[who] = np.take_along_axis(all_s, pick, 1)
+        top_i[who] = np.take_along_axis(all_i, pick, 1)
+        worst, worst_id = top_s[who, -1].astype(np.float64), top_i[who, -1]
+        up_now = (worst_id != last) & ((worst > kth[who]) | ((worst == kth[who]) & (worst_id < kth_id[who])))
+        kth[who[up_now]], kth_id[who[up_now]] = worst[up_now], worst_id[up_now]
+
+    def visit(node: int, qi: np.ndarray) -> None:
+        """Score a leaf for its queries; only rows that beat a query's kth are sorted."""
+        s, e = tree["leaf"][node]
+        score, ids = q[qi] @ vec[s:e].T, tree["ids"][s:e]
+        floor = kth[qi]
+        if e - s > k:   # k rows of the leaf itself are a bound, too (one more, as one may be the query's own)
+            floor = np.maximum(floor, np.partition(score, e - s - k - 1, axis=1)[:, e - s - k - 1].astype(np.float64))
+        row, col = np.nonzero(score >= floor[:, None])
+        value, found = score[row, col], ids[col]
+        better = (found != q_ids[qi[row]]) & ((value > kth[qi[row]]) | ((value == kth[qi[row]]) & (found < kth_id[qi[row]])))
+        if better.any():
+            merge(qi, row[better], value[better], found[better])
+        products[0] += score.size
+
     leaves: list[tuple[np.ndarray, np.ndarray, int]] = []
     stack = [(0, np.arange(len(q)))]
     while stack:  # downwards, one node for all queries that it may still serve
@@ -114,24 +149,11 @@ def search_tree(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, k
             b, node = bnd[at[active]], where[at[active]]
             better = (b > kth[active]) | (b == kth[active])
             active, node, b = active[better], node[better], b[better]
-            visit = (b > kth[active]) | (tree["least"][node] < kth_id[active])
-            for n in np.unique(node[visit]):
-                qi = active[visit & (node == n)]
-                s, e = tree["leaf"][n]
-                score = q[qi] @ vec[s:e].T
-                ids = np.broadcast_to(tree["ids"][s:e], score.shape)
-                own = ids == q_ids[qi][:, None]
-                score = np.where(own, none, score)
-                ids = np.where(own, last, ids)
-                all_s = np.concatenate([top_s[qi], score], 1)
-                all_i = np.concatenate([top_i[qi], ids], 1)
-                pick = np.lexsort((all_i, -all_s if exact else ~all_s), axis=-1)[:, :k]
-                top_s[qi] = np.take_along_axis(all_s, pick, 1)
-                top_i[qi] = np.take_along_axis(all_i, pick, 1)
-                full = top_i[qi, -1] != last
-                worst, worst_id = top_s[qi, -1].astype(np.float64), top_i[qi, -1]
-                up_now = full & ((worst > kth[qi]) | ((worst == kth[qi]) & (worst_id < kth_id[qi])))
-                kth[qi[up_now]], kth_id[qi[up_now]] = worst[up_now], worst_id[up_now]
+            now = np.flatnonzero((b > kth[active]) | (tree["least"][node] < kth_id[active]))
+            now = now[np.argsort(node[now], kind="stable")]
+            for part in np.split(now, np.flatnonzero(np.diff(node[now])) + 1):
+                if len(part):
+                    visit(int(node[part[0]]), active[part])
             at[active] += 1
             active = active[at[active] < start[active + 1]]
     top_i[top_i == last] = -1

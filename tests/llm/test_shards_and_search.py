@@ -103,6 +103,33 @@ def test_tree_prunes():
         assert (tree["vectors"][a:b].min(0) == low).all() and (tree["vectors"][a:b].max(0) == high).all()
 
 
+def test_boxes_rule_out_products_of_clustered_vectors():
+    rng = np.random.default_rng(2)
+    centres = rng.integers(-600, 600, (40, 64))
+    v = centres[rng.integers(0, 40, 6000)] + rng.integers(-6, 7, (6000, 64))
+    v[100:160] = v[100]                                  # equal vectors: ties beyond k
+    ids = rng.permutation(50_000)[:6000].astype(np.int64)
+    tree = kd.build_tree(ids, v)
+    q, q_ids, computed = v[:300], ids[:300], [0]
+    got, score = kd.search_tree(tree, q_ids, q, np.full(300, -np.inf), np.full(300, np.iinfo(np.int64).max), 20, computed)
+    want = q @ v.T
+    want[np.arange(300), np.arange(300)] = np.iinfo(np.int64).min
+    order = np.array([sorted(range(6000), key=lambda j, r=r: (-int(r[j]), ids[j]))[:20] for r in want])
+    assert (got == ids[order]).all() and (score == np.take_along_axis(want, order, 1)).all()
+    assert computed[0] < 0.15 * 300 * 6000
+    # with the k-th known from elsewhere, nothing is scored where nothing can beat it
+    again = [0]
+    none, _ = kd.search_tree(tree, q_ids, q, np.full(300, 1e12), np.zeros(300, np.int64), 20, again)
+    assert (none == -1).all() and again[0] == 0
+
+
+def test_scores_beyond_a_long_raise(spark):
+    big = spark.createDataFrame([(i, [3e8, 1.0]) for i in (0, 1, 2)], "vec_id long, embedding array<double>")
+    rows = kd.quantised(big)
+    with pytest.raises(Exception, match="range of a long"):
+        kd.top_k(rows, rows).collect()
+
+
 def test_search_edge_cases(spark):
     e = spark.createDataFrame(
         [(0, [1.0, 0.5], 1), (20, [float("nan"), 0.0], 1), (40, None, 1), (60, [None, 1.0], 2), (None, [1.0, 1.0], 1),
