@@ -7,7 +7,6 @@ would buffer a whole hot group in one task.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -113,23 +112,21 @@ def price_features(props: DataFrame, property_type: str = "Apartment",
 def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """Pearson r for every ordered pair of ``cols``, the diagonal included
     (pairwise-complete: a row counts for a pair when both values are present); NULL where
-    one of the two is constant over those rows.  One aggregation pass, then unpivot."""
+    one of the two is constant over those rows or there are none.  A row is spread to its
+    pairs and these are summed up by pair, so the plan has the same size for any ``cols``."""
     cols = list(cols)
-    pairs = list(itertools.combinations_with_replacement(cols, 2))
-
-    def r(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
-
-    row = df.agg(*[r(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    stack = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)]))
-    half = row.select(stack.alias("_s")).select("_s.*")
-    mirrored = half.where("col_a <> col_b").select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
-    return half.unionByName(mirrored).select("col_a", "col_b", round_to("r", digits).alias("r"))
+    names = F.array(*[F.lit(c) for c in cols])
+    spread = (df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
+              .select("_v", F.posexplode("_v").alias("_i", "_x")).where("_x IS NOT NULL")
+              .select("_i", "_x", F.posexplode("_v").alias("_j", "_y")).where("_j >= _i AND _y IS NOT NULL"))
+    half = spread.groupBy("_i", "_j").agg(F.try_divide(
+        F.covar_pop("_x", "_y"), F.nullif(F.stddev_pop("_x") * F.stddev_pop("_y"), F.lit(0.0))).alias("r"))
+    n = len(cols)
+    grid = df.sparkSession.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("_a"), (F.col("id") % n).cast("int").alias("_b"))
+    return (grid.join(F.broadcast(half),           # a row for each pair of columns
+                      (F.least("_a", "_b") == F.col("_i")) & (F.greatest("_a", "_b") == F.col("_j")), "left")
+            .select(F.element_at(names, F.col("_a") + 1).alias("col_a"), F.element_at(names, F.col("_b") + 1).alias("col_b"),
+                    round_to("r", digits).alias("r")))
 
 
 def regression_metrics(pred: DataFrame, y: str = "y", yhat: str = "y_hat") -> DataFrame:
