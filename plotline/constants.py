@@ -111,3 +111,14 @@ RADIUS_SCALE = 100
 
 # FIXED VALUES: default system prompt role marker for chat sessions.
 SYSTEM_ROLE = "system"
+
+# FIXED VALUES: markup of a listing page (tag and class of the section, of a card and of its fields).
+HTML_SECTION = ("section", "max-w-[1366px] mx-auto")
+HTML_CARD = ("div", "flex my-7 mx-2.5 flex-col min-[1090px]:flex-row")
+HTML_ADDRESS = ("address", "poppins-light property-location flex items-center gap-[5px]")
+HTML_PRICE = ("p", "text-[#AD2F36] font-bold text-[18px] mt-2")
+HTML_TYPE = ("div", "max-[344px]:mr-[5px] max-[344px]:pr-[5px] pr-3 mr-3 fixInSmallScreen")
+HTML_ROOMS = ("div", "max-[344px]:mr-[5px] max-[344px]:pr-[5px] pr-2 mr-3")
+HTML_AREA_UNIT = "m²"
+# FIXED VALUES: tags that have no end tag.
+HTML_VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]

@@ -988,6 +988,31 @@ def q_scan_json_props(spark, d):
     return ev.select("event_id", "event_type", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query("scan_html_listings", with_views("raw_buy") + f"""
+SELECT CAST(floor(listing_id / {V.PAGE_IDS}) AS BIGINT) AS page_id, Address, NULLIF(Price, 'N/A') AS Price, Type, Size,
+       NULLIF(Bedrooms, 'N/A') AS Bedrooms, NULLIF(Bathrooms, 'N/A') AS Bathrooms FROM raw_buy""")
+def q_scan_html_listings(spark, d):
+    """Sale listings rendered in the source's markup and read back from the pages."""
+    return SRC.scan_html_listings(V.html_pages(Tables(spark, d))).drop("pos")
+
+
+@query("scan_json_listings", with_views("id_listing") + f"""
+SELECT CAST(floor(listing_id / {V.PAGE_IDS}) AS BIGINT) AS page, Title,
+       coalesce(CAST(CAST(Price AS DECIMAL(15,2)) AS VARCHAR), '') AS "Price", coalesce(Bedroom, '') AS "Bedroom",
+       coalesce(Bathroom, '') AS "Bathroom", coalesce(CAST(Area_sqm AS VARCHAR), '') AS "Area sqm",
+       coalesce(Furnished, '') AS "Furnished", coalesce(CAST(DistrictID AS VARCHAR), '') AS "DistrictID",
+       coalesce(CAST(ProvinceID AS VARCHAR), '') AS "ProvinceID", coalesce(CAST(CommunityID AS VARCHAR), '') AS "CommunityID"
+FROM id_listing""")
+def q_scan_json_listings(spark, d):
+    return SRC.scan_json_listings(V.json_pages(Tables(spark, d))).drop("item_pos")
+
+
+@query("scan_json_locations", with_views("location_dim") +
+       "SELECT id, '' AS province_id, name_en, '' AS name_ar, '' AS copy_field_en, '' AS copy_field_ar FROM location_dim")
+def q_scan_json_locations(spark, d):
+    return SRC.scan_json_locations(V.location_pages(Tables(spark, d)))
+
+
 # ============================ models (rows-only checks) ===========================
 # Fitted trees have no SQL; tests/test_boosting.py holds them against a written-out brute
 # force.  The features and metrics feeding them are oracle-checked above.

@@ -200,6 +200,60 @@ def id_listing(t: Tables) -> DataFrame:
     )
 
 
+#: Listings (by id) that share a rendered page.
+PAGE_IDS = 40
+
+
+def html_pages(t: Tables) -> DataFrame:
+    """``raw_listing`` as listing pages: cards nested in a section, with other markup in and
+    around them, and a card outside of the section that is no listing."""
+    def element(spec, content, inner=""):
+        return F.concat(F.lit(f'<{spec[0]} class="{spec[1]}">{inner}'), content, F.lit(f"</{spec[0]}>"))
+
+    def given(spec, name):
+        return F.when(F.col(name).isNotNull() & (F.col(name) != "N/A"), element(spec, F.col(name))).otherwise("")
+
+    rooms = F.concat(*[element(K.HTML_ROOMS, F.when(F.col(c) == "N/A", F.lit(" ")).otherwise(F.concat(F.lit("\n "), c, F.lit(f" {c}"))),
+                               '<img src="i.svg"/>') for c in ("Bedrooms", "Bathrooms")])
+    card = element(K.HTML_CARD, F.concat(
+        F.lit('<div class="photo"><img src="a.jpg"><div class="tag">new</div></div><div class="body">'),
+        element(K.HTML_ADDRESS, F.concat(F.lit("<span></span> "), "Address", F.lit(" "))),
+        given(K.HTML_PRICE, "Price"), F.lit('<div class="row">'), given(K.HTML_TYPE, "Type"), rooms,
+        F.lit("<div>plot</div><div><b>"), F.col("Size"), F.lit("</b></div></div><br></div>")))
+    cards = raw_listing(t).select(F.floor(F.col("listing_id") / PAGE_IDS).alias("page_id"), "listing_id", card.alias("card"))
+    page = F.concat(F.lit(f"<html><!-- <section class='{K.HTML_SECTION[1]}'> --><body><script>var a = '<div>';</script>"),
+                    F.lit(f'<div class="{K.HTML_CARD[1]}"><address class="{K.HTML_ADDRESS[1]}">not listed</address></div>'),
+                    F.lit(f'<section class="{K.HTML_SECTION[1]}">'), F.array_join("cards.card", "<hr>"),
+                    F.lit(f'</section><div class="{K.HTML_CARD[1]}">neither</div></body></html>'))
+    return (cards.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("listing_id", "card"))).alias("cards"))
+            .select("page_id", page.alias("html")))
+
+
+def json_pages(t: Tables) -> DataFrame:
+    """``id_listing`` as API pages; every fourth listing is a boosted one, a missing field
+    is absent."""
+    def text(c):
+        return F.col(c).cast("string")
+
+    doc = F.struct(F.col("Title").alias("title_en"), F.col("Price").cast("decimal(15,2)").cast("string").alias("price"),
+                   F.col("Bathroom").alias("bathroom_value"), F.col("Bedroom").alias("bedroom_value"),
+                   text("Area_sqm").alias("area"), F.col("Furnished").alias("furnished"), text("DistrictID").alias("district_id"),
+                   text("ProvinceID").alias("province_id"), text("CommunityID").alias("community_id"))
+    boosted = F.col("listing_id") % 4 == 0
+    return (id_listing(t).select(F.floor(F.col("listing_id") / PAGE_IDS).alias("page"), boosted.alias("b"), doc.alias("doc"))
+            .groupBy("page").agg(F.collect_list(F.when(F.col("b"), F.col("doc"))).alias("x"),
+                                 F.collect_list(F.when(~F.col("b"), F.col("doc"))).alias("y"))
+            .select("page", F.to_json(F.struct(F.struct(F.col("x").alias("boostedProperties"), F.col("y").alias("docs"))
+                                               .alias("data"))).alias("json")))
+
+
+def location_pages(t: Tables) -> DataFrame:
+    """``location_dim`` as API pages of up to 40 locations of one level."""
+    return (location_dim(t).groupBy(F.substring("id", 1, 1), F.floor(F.substring("id", 2, 20).cast("bigint") / PAGE_IDS))
+            .agg(F.collect_list(F.struct("id", "name_en")).alias("locations"))
+            .select(F.to_json(F.struct(F.struct("locations").alias("pageProps"))).alias("json")))
+
+
 def transactions(t: Tables) -> DataFrame:
     """Monthly series per nation from orders: city, month (DATE), nationkey,
     transaction_number, transaction_value (exact decimal sum, as double)."""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from plotline import constants as K
+
 # Scraped listing files (all text; "N/A" is missing).
 RAW_LISTING_SCHEMA = "Address string, Price string, Type string, Size string, Bedrooms string, Bathrooms string"
 
@@ -56,40 +58,85 @@ def scan_json_locations(pages: DataFrame, text_col: str = "json") -> DataFrame:
         *[F.coalesce(F.col("_l")[c], F.lit("")).alias(c) for c in names])
 
 
-def extract_blocks(pages: DataFrame, html_col: str, block_regex: str,
-                   keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """One row per regex match (group 1) in each page, with its position."""
-    return (pages.select(*keep, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(block_regex), 1))
-                         .alias("pos", "block")))
-
-
-def block_field(block: str, regex: str, group: int = 1):
-    """First match of ``regex`` in the block, NULL when absent."""
-    return F.nullif(F.regexp_extract(F.col(block), regex, group), F.lit(""))
-
-
-# Listing-card markup of the HTML source: blocks, then per-field rules.
-HTML_LISTING_BLOCK = r'(?s)<div class="listing-item">(.*?)</div>\s*<!--/listing-->'
-HTML_FIELDS = {
-    "Address": r'<h2[^>]*>\s*([^<]*?)\s*</h2>',
-    "Price": r'class="price"[^>]*>\s*([^<]*?)\s*<',
-    "Type": r'class="type"[^>]*>\s*([^<]*?)\s*<',
-    "Size": r'>\s*([^<>]*m²)\s*<',
-}
-HTML_ROOM_BLOCK = r'class="pr-2"[^>]*>\s*([^<]*?)\s*<'
-
-
-def scan_html_listings(pages: DataFrame, html_col: str = "html", block_regex: str = HTML_LISTING_BLOCK,
-                       fields: dict | None = None, room_regex: str = HTML_ROOM_BLOCK) -> DataFrame:
-    """HTML pages -> one row per listing card: Address, Price, Type, Size, Bedrooms,
-    Bathrooms (NULL when absent).  Bedrooms = first token of the first room block,
-    Bathrooms = first token of the second one, only if there is a second."""
-    fields = fields or HTML_FIELDS
-    b = extract_blocks(pages, html_col, block_regex)
-    rooms = F.regexp_extract_all(F.col("block"), F.lit(room_regex), 1)
-    return b.select("page_id", "pos", *[block_field("block", rx).alias(n) for n, rx in fields.items()],
-                    F.get(F.split(F.trim(F.get(rooms, 0)), " "), 0).alias("Bedrooms"),
-                    F.get(F.split(F.trim(F.get(rooms, 1)), " "), 0).alias("Bathrooms"))
+# ------------------------------ HTML listing cards --------------------------------
+
+def html_tokens(pages: DataFrame, html_col: str = "html", key: str = "page_id") -> DataFrame:
+    """One row a tag: ``key``, pos, opens, tag, cls, text (up to the next tag, common
+    entities resolved) and ``depth``, the number of elements open after it.  Comments,
+    scripts and styles are left out; void tags open nothing."""
+    clean = F.regexp_replace(html_col, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    raw = pages.select(key, F.posexplode(F.regexp_extract_all(clean, F.lit(r"<[/a-zA-Z][^>]*>[^<]*"), F.lit(0))).alias("pos", "_raw"))
+    text = F.regexp_extract("_raw", r">([^<]*)$", 1)
+    for entity, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    tok = raw.select(key, "pos", (~F.col("_raw").startswith("</")).alias("opens"),
+                     F.lower(F.regexp_extract("_raw", r"^</?([a-zA-Z0-9]+)", 1)).alias("tag"),
+                     F.regexp_extract("_raw", r"""(?i)^<[^>]*?\sclass\s*=\s*["']([^"']*)["']""", 1).alias("cls"),
+                     text.alias("text"), F.col("_raw").rlike(r"^<[^>]*/>").alias("_self"))
+    step = (F.when(~F.col("opens"), F.when(F.col("tag").isin(K.HTML_VOID_TAGS), 0).otherwise(-1))
+            .when(F.col("_self") | F.col("tag").isin(K.HTML_VOID_TAGS), 0).otherwise(1))
+    w = Window.partitionBy(key).orderBy("pos")
+    return tok.withColumn("depth", F.sum(step).over(w)).drop("_self")
+
+
+def _is(spec: tuple[str, str], t=F.col):
+    return t("opens") & (t("tag") == spec[0]) & (t("cls") == spec[1])
+
+
+def _texts(tokens, hits, strip_parts: bool = False):
+    """Text of each element that a token of ``hits`` opens: up to where the depth falls
+    below it.  (What the inner functions use is bound by an outer one, so that it is worked
+    out once for an element, not once a token.)"""
+    def of(at):
+        after = F.filter(tokens, lambda t: (t["pos"] > at["pos"]) & (t["depth"] < at["depth"]))
+        end = F.coalesce(F.get(after, 0)["pos"], F.lit(1 << 30))
+        return F.transform(F.array(end), lambda e: F.array_join(F.transform(
+            F.filter(tokens, lambda t: (t["pos"] >= at["pos"]) & (t["pos"] < e)),
+            lambda t: _stripped(t["text"]) if strip_parts else t["text"]), ""))
+
+    return F.transform(F.flatten(F.transform(hits, of)), _stripped)
+
+
+def _stripped(c):
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def scan_html_listings(pages: DataFrame, html_col: str = "html", key: str = "page_id") -> DataFrame:
+    """HTML pages -> one row a listing card: ``key``, pos (of the card, from 0), Address,
+    Price, Type, Size, Bedrooms, Bathrooms; NULL when absent or empty.
+
+    Cards count inside the page's first listing section only, whatever is nested in them.
+    A card ends where the depth falls below its own; a card inside a card starts one of its
+    own.  Size is the text of the first division without a class that holds an area unit;
+    rooms are the first words of the first and the second room block.
+    """
+    w = Window.partitionBy(key).orderBy("pos")
+    tok = html_tokens(pages.where(F.contains(html_col, F.lit(K.HTML_CARD[1]))), html_col, key)
+    tok = tok.withColumn("_section", F.first(F.when(_is(K.HTML_SECTION), F.struct("pos", "depth")), ignorenulls=True).over(w))
+    tok = tok.where("_section IS NOT NULL").withColumn("_floor", F.min("depth").over(w)).where("_floor >= _section.depth")
+    tok = tok.withColumn("_card", F.count(F.when(_is(K.HTML_CARD), 1)).over(w)).where("_card > 0")
+    inside = Window.partitionBy(key, "_card").orderBy("pos")
+    tok = (tok.withColumn("_own", F.first("depth").over(inside)).withColumn("_low", F.min("depth").over(inside))
+           .where("_low >= _own"))
+    cards = tok.groupBy(key, (F.col("_card") - 1).cast("int").alias("pos")).agg(      # the tags of one card
+        F.sort_array(F.collect_list(F.struct("pos", "depth", "opens", "tag", "cls", "text"))).alias("_t"))
+
+    def texts(spec):
+        return _texts(F.col("_t"), F.filter("_t", lambda t: _is(spec, lambda c: t[c])))
+
+    def first_word(n: int):
+        return F.regexp_extract(F.get("_rooms", n), r"^[^ ]+", 0)
+
+    plain = F.filter("_t", lambda t: t["opens"] & (t["tag"] == "div") & (t["cls"] == ""))
+    read = cards.select(
+        key, "pos", F.get(texts(K.HTML_ADDRESS), 0).alias("Address"), F.get(texts(K.HTML_PRICE), 0).alias("Price"),
+        F.get(texts(K.HTML_TYPE), 0).alias("Type"), texts(K.HTML_ROOMS).alias("_rooms"),
+        F.get(F.filter(_texts(F.col("_t"), plain, strip_parts=True), lambda s: F.contains(s, F.lit(K.HTML_AREA_UNIT))), 0)
+        .alias("Size"))
+    # exploding one row each keeps the optimizer from putting the texts in place of each use
+    once = read.select(F.explode(F.array(F.struct(*read.columns))).alias("_r")).select("_r.*")
+    return once.select(key, "pos", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("Address", "Price", "Type")], "Size",
+                       F.nullif(first_word(0), F.lit("")).alias("Bedrooms"), F.nullif(first_word(1), F.lit("")).alias("Bathrooms"))
 
 
 def page_links(pages: DataFrame, html_col: str = "html") -> DataFrame:

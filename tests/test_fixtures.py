@@ -105,20 +105,26 @@ def test_f5_json_locations(spark):
 
 
 def test_f6_html_listings(spark):
-    card = ('<div class="listing-item"><h2> Hamra, Beirut, Beirut </h2><span class="price">$1,000</span>'
-            '<span class="type">Apartment</span><span>120 m²</span><span class="pr-2">3 Beds</span>'
-            '<span class="pr-2">2 Baths</span></div><!--/listing-->')
-    no_price = ('<div class="listing-item"><h2>Zahle, Zahle, Bekaa</h2><span class="type">Land</span>'
-                '<span class="pr-2">4 Beds</span></div><!--/listing-->')
-    pages = spark.createDataFrame([(1, "u1", "<html>" + card + no_price + "</html>"),
-                                   (2, "u2", "<html><p>nothing here</p></html>")],
-                                  "page_id long, url string, html string")
+    from plotline import constants as K
+
+    def el(spec, inner):
+        return f'<{spec[0]} class="{spec[1]}">{inner}</{spec[0]}>'
+    card = el(K.HTML_CARD, "<div class='x'><div><img src=a></div></div>" + el(K.HTML_ADDRESS, "<i></i> Hamra, Beirut, Beirut\n")
+              + el(K.HTML_PRICE, "<b>$1,</b>000") + el(K.HTML_TYPE, " Apartment &amp; roof ") + "<div>x<div> 120 m² </div></div>"
+              + el(K.HTML_ROOMS, "<br> 3 Beds") + el(K.HTML_ROOMS, "2 Baths") + "<div>90 m²</div>")
+    no_price = el(K.HTML_CARD, el(K.HTML_ADDRESS, "Zahle, Zahle, Bekaa") + el(K.HTML_TYPE, "Land") + el(K.HTML_ROOMS, "4 Beds"))
+    no_bed = el(K.HTML_CARD, el(K.HTML_ROOMS, "  ") + el(K.HTML_ROOMS, "1 Bath"))
+    outside = el(K.HTML_CARD, el(K.HTML_ADDRESS, "elsewhere"))
+    pages = spark.createDataFrame([
+        (1, "u1", "<html>" + outside + el(K.HTML_SECTION, card + "<hr>" + no_price) + outside + "</html>"),
+        (2, "u2", "<html><p>nothing here</p></html>"), (3, "u3", None), (4, "u4", outside),
+        (5, "u5", el(K.HTML_SECTION, "<!-- " + card + " -->" + no_bed) + el(K.HTML_SECTION, card))],
+        "page_id long, url string, html string")
     rows = SRC.scan_html_listings(pages).orderBy("page_id", "pos").collect()
-    assert len(rows) == 2
-    a, b = rows
-    assert (a.Address, a.Price, a.Type, a.Size, a.Bedrooms, a.Bathrooms) == \
-        ("Hamra, Beirut, Beirut", "$1,000", "Apartment", "120 m²", "3", "2")
-    assert b.Price is None and b.Bedrooms == "4" and b.Bathrooms is None
+    assert [tuple(r) for r in rows] == [
+        (1, 0, "Hamra, Beirut, Beirut", "$1,000", "Apartment & roof", "x120 m²", "3", "2"),
+        (1, 1, "Zahle, Zahle, Bekaa", None, "Land", None, "4", None),
+        (5, 0, None, None, None, None, None, "1")]
 
 
 def test_f7_coords_inner_vs_left(spark):
