@@ -852,10 +852,12 @@ def q_forecast_baseline_metrics(spark, d):
 
 
 _PRICE_FEAT_SQL = with_views("listing", "coords") + _PROPS_SQL + f"""
+, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY {V.TIEBREAK_SQL}) AS rn FROM props)
+           WHERE rn = 1)
 , a AS (SELECT listing_id, district, province, city, NULLIF(CAST(bedrooms AS DOUBLE), 0) AS bedrooms,
                NULLIF(CAST(bathrooms AS DOUBLE), 0) AS bathrooms, price, CAST(size_m2 AS DOUBLE) AS size_m2,
                latitude, longitude, price / CAST(size_m2 AS DOUBLE) AS ppm
-        FROM props WHERE type = '{PRICE_TYPE}' AND price IS NOT NULL AND size_m2 IS NOT NULL AND size_m2 > 0)
+        FROM once WHERE type = '{PRICE_TYPE}' AND price IS NOT NULL AND size_m2 IS NOT NULL AND size_m2 > 0)
 , q AS (SELECT quantile_cont(ppm, {K.TRIM_QUANTILES[0]}) AS lo, quantile_cont(ppm, {K.TRIM_QUANTILES[1]}) AS hi FROM a)
 , b AS (SELECT a.*, bedrooms / NULLIF(bathrooms, 0) AS bed_bath_ratio, size_m2 / NULLIF(bedrooms, 0) AS size_per_bedroom
         FROM a, q WHERE ppm >= lo AND ppm <= hi)
@@ -863,6 +865,11 @@ _PRICE_FEAT_SQL = with_views("listing", "coords") + _PROPS_SQL + f"""
 """
 
 
+def _price_props(spark, d):
+    """Properties, each id once (the source drops repeated ids before the features)."""
+    return R.dedupe_by_key(_props(spark, d), "listing_id", [F.col(c) for c in V.TIEBREAK[1:]])
+
+
 @query("price_features", _PRICE_FEAT_SQL + f"""
 SELECT listing_id, round(ln(1 + size_m2), 6) AS log_size_m2, bedrooms, bathrooms, latitude, longitude,
        bed_bath_ratio, size_per_bedroom,
@@ -871,7 +878,7 @@ SELECT listing_id, round(ln(1 + size_m2), 6) AS log_size_m2, bedrooms, bathrooms
        round(apd, 4) AS avg_price_in_district, round(asd, 4) AS avg_size_in_district
 FROM b JOIN g USING (district)""")
 def q_price_features(spark, d):
-    f = FE.price_features(_props(spark, d), PRICE_TYPE, RARE_MIN)
+    f = FE.price_features(_price_props(spark, d), PRICE_TYPE, RARE_MIN)
     r6 = ["log_size_m2", "log_price"]
     return f.withColumns({**{c: round_to(c, 6) for c in r6},
                           "avg_price_in_district": round_to("avg_price_in_district", 4),
@@ -882,7 +889,7 @@ def q_price_features(spark, d):
        f"SELECT district, CAST(dn AS BIGINT) AS n FROM g WHERE dn < {RARE_MIN}")
 def q_rare_districts(spark, d):
     # Rows per district in the trimmed model table, before folding.
-    p = _props(spark, d)
+    p = _price_props(spark, d)
     f = FE.price_features(p, PRICE_TYPE, rare_min_rows=0)
     return FE.rare_categories(f, "district", RARE_MIN)
 
@@ -900,7 +907,7 @@ _CORR_COLS = ["price", "size_m2", "bedrooms", "bathrooms", "latitude", "longitud
 SELECT col_a, col_b, CASE WHEN NOT isnan(r) THEN round(r, 6) END AS r FROM c""")
 def q_correlation_matrix(spark, d):
     """Every pair of the numeric columns of the price-feature table (price and size unlogged)."""
-    feats = FE.price_features(_props(spark, d), PRICE_TYPE, RARE_MIN)
+    feats = FE.price_features(_price_props(spark, d), PRICE_TYPE, RARE_MIN)
     return FE.correlation_matrix(feats.withColumns({"price": F.expm1("log_price"), "size_m2": F.expm1("log_size_m2")}),
                                  _CORR_COLS)
 
@@ -1064,7 +1071,7 @@ def _price_model(spark, d):
 
     from plotline.operators import models as M
     return _fitted(spark, d, "price", lambda: M.fit_price(
-        FE.price_features(_props(spark, d), PRICE_TYPE, RARE_MIN), params=replace(M.PRICE_PARAMS, rounds=PRICE_ROUNDS)))
+        FE.price_features(_price_props(spark, d), PRICE_TYPE, RARE_MIN), params=replace(M.PRICE_PARAMS, rounds=PRICE_ROUNDS)))
 
 
 @query("price_model_metrics")
