@@ -995,6 +995,38 @@ def q_scan_json_props(spark, d):
     return ev.select("event_id", "event_type", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query("scalar_rounding", with_views("listing") + """
+SELECT listing_id, CAST(round_even(price / 100, 0) * 100 AS BIGINT) AS hundreds, CAST(floor(price + 0.5) AS BIGINT) AS half_up,
+       round(price, 4) AS back, TRY_CAST(replace(CAST(bedrooms AS VARCHAR) || '+', '+', '') AS INTEGER) AS rooms,
+       CAST(strftime(list_date, '%Y-%m-%d') AS DATE) AS listed FROM listing""")
+def q_scalar_rounding(spark, d):
+    """``round_hundreds``, ``round_half_up``, ``expm1`` of ``log1p``, ``strip_plus``, ``parse_iso``."""
+    from plotline.functions.dates import format_iso, parse_iso
+    from plotline.functions.numeric import round_half_up, round_hundreds
+    from plotline.functions.text import strip_plus
+    return _listing(spark, d).select(
+        "listing_id", round_hundreds("price").alias("hundreds"), round_half_up("price").alias("half_up"),
+        round_to(F.expm1(F.log1p("price")), 4).alias("back"),
+        strip_plus(F.concat(F.col("bedrooms").cast("string"), F.lit("+"))).alias("rooms"),
+        parse_iso(format_iso("list_date")).alias("listed"))
+
+
+@query("yearly_totals_aligned", with_views("transactions") + f"""
+, h AS (SELECT city, CAST(year(month) AS INTEGER) AS year, round(CAST(sum(CAST(transaction_value AS DECIMAL(38,3))) AS DOUBLE), 3) AS t
+        FROM transactions WHERE month < DATE '{SPLIT_DATE}' GROUP BY ALL),
+f AS (SELECT city, CAST(year(month) AS INTEGER) AS year, round(sum(CAST(transaction_value AS DOUBLE)), 3) AS t
+      FROM transactions WHERE month >= DATE '{SPLIT_DATE}' GROUP BY ALL)
+SELECT city, year, NULLIF(h.t, 0) AS historical, f.t AS forecast FROM h FULL JOIN f USING (city, year)""")
+def q_yearly_totals_aligned(spark, d):
+    """``yearly_forecast_total`` and ``align_full_outer`` with the later months as forecast."""
+    tr = V.transactions(Tables(spark, d))
+    later = F.col("month") >= F.lit(SPLIT_DATE).cast("date")
+    hist = S.yearly_total(tr.where(~later), "city", "month", "transaction_value")
+    fc = S.yearly_forecast_total(tr.where(later), "city", "month", "transaction_value")
+    both = S.align_full_outer(hist, fc)
+    return both.select("city", "year", round_to("historical", 3).alias("historical"), round_to("forecast", 3).alias("forecast"))
+
+
 @query("scan_html_listings", with_views("raw_buy") + f"""
 SELECT CAST(floor(listing_id / {V.PAGE_IDS}) AS BIGINT) AS page_id, Address, NULLIF(Price, 'N/A') AS Price, Type, Size,
        NULLIF(Bedrooms, 'N/A') AS Bedrooms, NULLIF(Bathrooms, 'N/A') AS Bathrooms FROM raw_buy""")
