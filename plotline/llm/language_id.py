@@ -5,22 +5,29 @@ temperature-calibrated.
 * Features: 1- to 3-grams of lower-cased letters (everything else is one space), hashed
   into ``DIM`` buckets; raw counts times idf, scaled to unit length.
 * Document frequencies cover every training document.
-* The classifier is fitted on a bounded sample: about ``sample_per_lang`` documents of
-  each language, picked by a hash of their content, whole texts.  ``shards`` learners run
-  FTRL-proximal on parts of it; their weights are averaged.
-* The temperature minimises the log loss on sampled training documents kept out of the fit.
+* The classifier is fitted on a bounded sample: about ``sample_per_lang`` distinct texts of
+  each language, picked by a hash of their content, whole texts; copies count once.
+  ``SHARDS`` learners run FTRL-proximal on parts of it; their weights are averaged.
+* Every language is learned.  Languages are dealt to blocks of at most ``BLOCK``; each block
+  is a softmax of its own languages and, with several blocks, one class for all others, to
+  which every sampled text of another block belongs with one chance in the number of other
+  blocks (as many texts as the block has itself).  A language's logit is taken against that
+  class, so that logits of all blocks compare.  A task holds one block and one shard; the
+  model grows by 64 KB a language, not with the rows.
+* The temperature minimises the log loss on sampled training documents kept out of the fit,
+  summed on the executors at the points of a grid, three times finer each.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is
 every text if nothing could be learned (no labelled training document).  Null languages
 are not learned from.  Repeated rows are predicted alike.  Columns other than those named
-are ignored.  At most ``MAX_LANGS`` languages are learned, the most frequent ones.
+are ignored.  Languages of equal score: the first by name.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +38,7 @@ from . import common
 
 DIM = 1 << 13
 ORDERS = 3
-MAX_LANGS = 256
+BLOCK = 256
 SAMPLE_PER_LANG = 1500
 CALIBRATION_PER_LANG = 300
 SHARDS = 4
@@ -123,33 +130,47 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int, classes: int,
     return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
-def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The T > 0 that minimises the log loss of softmax(logits / T) (golden section on
-    log T, 0.01 to 100); 1 without rows."""
-    if not len(y):
-        return 1.0
-
-    def loss(t: float) -> float:
+def log_losses(logits: np.ndarray, y: np.ndarray, log_t: np.ndarray) -> np.ndarray:
+    """Summed log loss of softmax(logits / T) at each T."""
+    out = np.zeros(len(log_t))
+    for i, t in enumerate(log_t):
         s = logits / math.exp(t)
         s = s - s.max(1, keepdims=True)
-        return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(y)), y]).mean())
+        out[i] = (np.log(np.exp(s).sum(1)) - s[np.arange(len(y)), y]).sum()
+    return out
+
+
+def temperature(losses: Callable[[np.ndarray], np.ndarray], points: int = 33, rounds: int = 3) -> float:
+    """The T of 0.01 to 100 with the smallest loss, from ``losses`` of log T at the points of a
+    grid, then of finer ones between the best point's neighbours."""
+    a, b = math.log(0.01), math.log(100.0)
+    best = 0.0
+    for _ in range(rounds):
+        grid = np.linspace(a, b, points)
+        best = float(grid[int(np.argmin(losses(grid)))])
+        step = float(grid[1] - grid[0])
+        a, b = best - step, best + step
+    return math.exp(best)
 
-    a, b, r = math.log(0.01), math.log(100.0), (math.sqrt(5) - 1) / 2
-    for _ in range(60):
-        c, d = b - r * (b - a), a + r * (b - a)
-        a, b = (a, d) if loss(c) <= loss(d) else (c, b)
-    return math.exp((a + b) / 2)
+
+def _logits(x: np.ndarray, blocks: list[np.ndarray]) -> np.ndarray:
+    """Logits of all languages in their order; language i is column i // n of block i % n."""
+    out = np.empty((len(x), sum(w.shape[1] for w in blocks)))
+    for b, w in enumerate(blocks):
+        out[:, b::len(blocks)] = x @ w[:-1] + w[-1]
+    return out
 
 
 def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG,
           calibration_per_lang: int = CALIBRATION_PER_LANG) -> dict:
     """A model from ``text`` and ``lang``; nothing else is read.  What reaches the driver
-    is bounded: DIM frequencies, SHARDS weight tables, the sampled logits."""
+    is bounded by the languages, not the rows: DIM frequencies, the languages, SHARDS weight
+    tables a block, summed losses."""
     table = _letter_table()
     rows = docs.select(common.col("text"), common.col("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted((r.lang, r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-                   .orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())
+    texts = rows.select("lang", F.xxhash64("text").alias("th")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = sorted((r.lang, r.n) for r in texts.collect())
     model = {"langs": [x for x, _ in langs], "table": table}
     if not langs:
         return model
@@ -162,15 +183,16 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG,
         else:
             df[bucket] = n
     idf = np.log((1 + total) / (1 + df)) + 1
-    # a language's documents are sampled by a hash, at the rate that gives the bound
+    # a language's texts are sampled by a hash, at the rate that gives the bound; copies come in once
+    rates = docs.sparkSession.createDataFrame(
+        [(lang, i, (sample_per_lang + calibration_per_lang) / n) for i, (lang, n) in enumerate(langs)],
+        "lang string, y int, rate double")
     pick = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.element_at(F.create_map(*[x for lang, n in langs for x in (
-        F.lit(lang), F.lit((sample_per_lang + calibration_per_lang) / n))]), F.col("lang"))
     part = calibration_per_lang / (sample_per_lang + calibration_per_lang)
-    sample = rows.where(pick < rate).select(
-        "text", "lang", (pick >= rate * (1 - part)).alias("hold") if part else F.lit(False).alias("hold"),
-        F.pmod(F.xxhash64("lang", "text", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard"))
-    at = {lang: i for i, (lang, _) in enumerate(langs)}
+    sample = rows.join(F.broadcast(rates), "lang").where(pick < F.col("rate")).distinct().select(
+        "text", "y", (pick >= F.col("rate") * (1 - part)).alias("hold") if part else F.lit(False).alias("hold"),
+        F.pmod(F.xxhash64("lang", "text", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard"),
+        F.xxhash64("lang", "text", F.lit(2)).alias("deal"))
 
     def features(batches):
         for batch in batches:
@@ -178,14 +200,16 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG,
             for a, b in _batches(texts):
                 x = tfidf(ngram_counts(texts.slice(a, b - a).to_pylist(), table), idf)
                 idx = [np.flatnonzero(r).astype(np.int32) for r in x]
-                yield pa.RecordBatch.from_pydict({
-                    "idx": pa.array([i.tobytes() for i in idx], pa.binary()),
-                    "val": pa.array([r[i].astype(np.float32).tobytes() for r, i in zip(x, idx, strict=True)], pa.binary()),
-                    "y": pa.array([at[v] for v in batch.column("lang").slice(a, b - a).to_pylist()], pa.int32()),
-                    "hold": batch.column("hold").slice(a, b - a), "shard": batch.column("shard").slice(a, b - a)})
-
-    sparse = common.checkpointed(sample.mapInArrow(features, "idx binary, val binary, y int, hold boolean, shard int"))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([i.tobytes() for i in idx], pa.binary()),
+                    pa.array([r[i].astype(np.float32).tobytes() for r, i in zip(x, idx, strict=True)], pa.binary()),
+                    *(batch.column(c).slice(a, b - a) for c in ("y", "hold", "shard", "deal"))],
+                    names=["idx", "val", "y", "hold", "shard", "deal"])
+
+    sparse = common.checkpointed(sample.mapInArrow(
+        features, "idx binary, val binary, y int, hold boolean, shard int, deal long"))
     n_langs = len(langs)
+    n_blocks = -(-n_langs // BLOCK)
 
     def rows_of(pdf):
         out = []
@@ -196,26 +220,44 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG,
 
     def fit(pdf):
         import pandas as pd
-        w = ftrl(rows_of(pdf), DIM + 1, n_langs)
-        return pd.DataFrame({"n": [len(pdf)], "w": [w.tobytes()]})
-
-    parts = sparse.where("not hold").groupBy("shard").applyInPandas(fit, "n int, w binary").collect()
+        block = int(pdf["block"].iloc[0])
+        own = len(range(block, n_langs, n_blocks))
+        pdf = pdf.assign(y=np.where(pdf["y"] % n_blocks == block, pdf["y"] // n_blocks, own))
+        w = ftrl(rows_of(pdf), DIM + 1, own + (n_blocks > 1))
+        if n_blocks > 1:  # against the class of all other languages
+            w = w[:, :-1] - w[:, -1:]
+        return pd.DataFrame({"block": [block], "n": [len(pdf)], "w": [w.tobytes()]})
+
+    home = F.col("y") % n_blocks
+    places = F.array(home) if n_blocks == 1 else F.array(
+        home, (home + 1 + F.pmod("deal", F.lit(n_blocks - 1))) % n_blocks)
+    parts = sparse.where("not hold").withColumn("block", F.explode(places.cast("array<int>"))) \
+        .groupBy("block", "shard").applyInPandas(fit, "block int, n int, w binary").collect()
     if not parts:
         return {"langs": [], "table": table}
-    weights = sum(r.n * np.frombuffer(r.w).reshape(DIM + 1, n_langs) for r in parts) / sum(r.n for r in parts)
-
-    def logits(pdfs):
-        import pandas as pd
-        for pdf in pdfs:
-            got = [(v @ weights[i], y) for i, v, y in
-                   ((np.append(np.frombuffer(i, np.int32), DIM), np.append(np.frombuffer(v, np.float32).astype(float), 1.0), y)
-                    for i, v, y in zip(pdf["idx"], pdf["val"], pdf["y"], strict=True))]
-            yield pd.DataFrame({"s": [s.tobytes() for s, _ in got], "y": [int(y) for _, y in got]})
-
-    held = sparse.where("hold").mapInPandas(logits, "s binary, y int").collect()
-    t = temperature(np.array([np.frombuffer(r.s) for r in held]).reshape(len(held), n_langs),
-                    np.array([r.y for r in held], dtype=int))
-    return model | {"idf": idf, "weights": weights, "temperature": t}
+    blocks = [np.zeros((DIM + 1, len(range(b, n_langs, n_blocks)))) for b in range(n_blocks)]
+    seen = np.bincount([r.block for r in parts], weights=[r.n for r in parts], minlength=n_blocks)
+    for r in sorted(parts, key=lambda r: (r.block, r.n, r.w)):
+        blocks[r.block] += np.frombuffer(r.w).reshape(blocks[r.block].shape) * (r.n / seen[r.block])
+
+    def losses(log_t):
+        def run(pdfs):
+            import pandas as pd
+            for pdf in pdfs:
+                for a in range(0, len(pdf), 256):
+                    held = rows_of(pdf.iloc[a:a + 256])
+                    x = np.zeros((len(held), DIM + 1))
+                    for k, (i, v, _) in enumerate(held):
+                        x[k, i] = v
+                    s = _logits(x[:, :-1], blocks)
+                    yield pd.DataFrame({"k": np.arange(len(log_t)), "loss": log_losses(s, np.array([y for _, _, y in held]), log_t)})
+        out = np.zeros(len(log_t))
+        for k, loss in sparse.where("hold").mapInPandas(run, "k int, loss double").groupBy("k").agg(F.sum("loss")).collect():
+            out[k] = loss
+        return out
+
+    some = sparse.where("hold").limit(1).count()
+    return model | {"idf": idf, "weights": blocks, "temperature": temperature(losses) if some else 1.0}
 
 
 def predict(docs: DataFrame, model: dict, keep: list[Column]) -> DataFrame:
@@ -233,8 +275,7 @@ def predict(docs: DataFrame, model: dict, keep: list[Column]) -> DataFrame:
                 known = np.array([bool(langs) and bool(t) and _LETTER.search(t) is not None for t in part], dtype=bool)
                 if langs:
                     x = tfidf(ngram_counts(part, table), model["idf"])
-                    w = model["weights"]
-                    s = (x @ w[:-1] + w[-1]) / model["temperature"]
+                    s = _logits(x, model["weights"]) / model["temperature"]
                     p = np.exp(s - s.max(1, keepdims=True))
                     p /= p.sum(1, keepdims=True)
                     best = p.argmax(1)

@@ -11,13 +11,13 @@ windows, both ways of the fingerprint, are compared by a hash of all their lines
 equal windows make up the repeated runs.  The first occurrence of a window in order of
 (doc_id, text hash, line) stays; every line of a later one is deleted.
 
-These windows (and ``OP5_SQL``, which defines the registered query) leave the last lines of
-a repeated run when no shortest window ends on them.  With ``whole_runs`` (the pipeline's
-stage) the deletion goes on both ways to the ends of the run: the shortest windows that END
+These windows alone leave the last lines of a repeated run when no shortest window ends on
+them.  With ``whole_runs`` (the registered query and the pipeline's stage) the match is
+extended both ways to the ends of the run: the shortest windows that END
 at a line with words count too, and so do two lines of ``MIN_WORDS`` words with blank lines
 between.  Every line of a repeated run of that many words, from its first line with words
 to its last, lies in one of these windows, and every window is such a run, so what is
-deleted are exactly the maximal runs.
+deleted are exactly the maximal runs (``OP5_SQL`` finds them from pairs of equal lines).
 
 Defined results: a null text stays null, an empty one empty; a text whose lines are all
 deleted becomes empty; rows without doc_id come last in the order; rows equal in doc_id
@@ -167,7 +167,7 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: b
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return deduplicate_lines(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return deduplicate_lines(common.documents(spark, sf_dir).select("doc_id", "text"), whole_runs=True)
 
 
 OP5_SQL = f"""
@@ -175,14 +175,14 @@ WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 l AS (
   SELECT doc_id, i, lines[i] AS line, len(regexp_extract_all(lines[i], '[^\\t\\n\\x0b\\f\\r ]+')) AS words
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
-c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
-w AS (
-  SELECT a.doc_id, a.i, min(b.i) AS e
-  FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto >= a.upto - a.words + {MIN_WORDS}
-  WHERE a.words > 0 GROUP BY a.doc_id, a.i),
-t AS (SELECT w.doc_id, w.i, w.e, array_to_string(d.lines[w.i:w.e], chr(10)) AS body FROM w JOIN d USING (doc_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY body, e - i ORDER BY doc_id, i) AS nth FROM t),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, e + 1)) AS i FROM r WHERE nth > 1)
+p AS (  -- equal lines, the later place against every earlier one
+  SELECT b.doc_id, b.i, b.words, a.doc_id AS other, b.i - a.i AS shift
+  FROM l a JOIN l b ON a.line = b.line AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i))),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS run FROM p),
+r AS (  -- maximal runs, from the first line with words to the last
+  SELECT doc_id, min(i) FILTER (words > 0) AS i, max(i) FILTER (words > 0) AS e
+  FROM g GROUP BY doc_id, other, shift, run HAVING sum(words) >= {MIN_WORDS}),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, e + 1)) AS i FROM r)
 SELECT x.doc_id, CASE WHEN x.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
 FROM documents x LEFT JOIN (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text

@@ -80,7 +80,42 @@ def test_temperature_finds_the_scale():
     logits = rng.normal(size=(4000, 3)) * 2
     p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
     y = np.array([rng.choice(3, p=x) for x in p])
-    assert abs(li.temperature(logits * 5, y) - 5) < 0.5 and li.temperature(np.zeros((0, 3)), np.zeros(0, int)) == 1.0
+    assert abs(li.temperature(lambda t: li.log_losses(logits * 5, y, t)) - 5) < 0.5
+    fine = np.linspace(np.log(0.01), np.log(100.0), 2001)
+    best = np.exp(fine[np.argmin(li.log_losses(logits * 5, y, fine))])
+    assert abs(np.log(li.temperature(lambda t: li.log_losses(logits * 5, y, t)) / best)) < 0.006
+
+
+def test_more_languages_than_a_block_are_all_learned(docs_of, monkeypatch):
+    rng = random.Random(4)
+    words = {f"l{i:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for i in range(270)}
+    rows = []
+    for k, (lang, w) in enumerate(words.items()):
+        for j in range(6 if k >= 10 else 3):  # ten rare ones
+            rows.append((k * 100 + j, " ".join(rng.choices(w, k=30)), lang))
+    df = docs_of(rows)
+    fresh = docs_of([(k, " ".join(rng.choices(w, k=30)), lang) for k, (lang, w) in enumerate(words.items())])
+
+    def right(model):
+        got = li.predict(fresh, model, [F.col("doc_id"), F.col("lang")]).where("lang = lang_pred").select("lang").collect()
+        return len(got), sum(r.lang < "l010" for r in got)
+
+    model = li.train(df)
+    assert len(model["langs"]) == 270 and [w.shape[1] for w in model["weights"]] == [135, 135]
+    monkeypatch.setattr(li, "BLOCK", 1024)  # one softmax of all
+    joint = li.train(df)
+    assert [w.shape[1] for w in joint["weights"]] == [270]
+    (all_blocks, rare_blocks), (all_joint, rare_joint) = right(model), right(joint)
+    assert all_blocks >= max(260, all_joint - 3) and rare_blocks >= rare_joint - 1 and rare_joint > 5
+
+
+def test_copies_of_a_text_come_into_the_sample_once(docs_of, monkeypatch):
+    seen = []
+    monkeypatch.setattr(li.common, "checkpointed", lambda df: seen.append(df.count()) or df)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["one", "two", "three", "four"], k=20)), "en") for i in range(60)]
+    li.train(docs_of(rows + [(1000 + i, "the same text again and again", "en") for i in range(400)]), 1500, 300)
+    assert seen[0] == len({t for _, t, _ in rows}) + 1
 
 
 # ------------------------------------------------------------------ importance resampling
