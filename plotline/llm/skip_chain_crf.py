@@ -284,9 +284,10 @@ def _label(w: dict[str, np.ndarray]):
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Weights from about ``sample`` documents with candidates, fitted in one task."""
+    """Weights from about ``sample`` distinct texts with candidates (copies count once),
+    fitted in one task."""
     some = docs.select("text").where(F.col("text").rlike("[0-9@]"))
-    n = some.count()
+    n = some.select(F.xxhash64("text").alias("th")).distinct().count()
     pick = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
 
     def run(pdfs):
@@ -295,7 +296,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
         w = fit(texts)
         yield pd.DataFrame({k: [v.astype(float).tobytes()] for k, v in w.items()})
 
-    got = some.where(pick < sample / max(1, n)).repartition(1).mapInPandas(run, "emit binary, chain binary, skip binary").first()
+    got = some.where(pick < sample / max(1, n)).distinct().repartition(1).mapInPandas(run, "emit binary, chain binary, skip binary").first()
     shapes = {"emit": (FEATURES, LABELS), "chain": (LABELS, LABELS), "skip": (LABELS,)}
     if got is None:
         return {k: np.zeros(s) for k, s in shapes.items()}

@@ -325,3 +325,9 @@ def test_pipeline_over_empty_tables(spark, docs_of):
 def test_registered_names():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_the_field_is_fitted_on_distinct_texts(docs_of):
+    rows = [(i, f"write to user{i % 7}@mail{i % 5}.org or call +1 555 010 {1000 + i} today") for i in range(40)]
+    once, copies = crf.train(docs_of(rows)), crf.train(docs_of(rows + rows[:1] * 300))
+    assert all(np.array_equal(once[k], copies[k]) for k in once)
