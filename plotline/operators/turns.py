@@ -40,6 +40,30 @@ def append_turn(turns: DataFrame, ids: DataFrame, user_text: str, reply_text: st
     return sel.select("conv_id", "turn", "role", "text").unionByName(new)
 
 
+def session_messages(turns: DataFrame, ids: DataFrame) -> DataFrame:
+    """The turns of the sessions in ``ids`` (column conv_id); an unknown id gives none."""
+    return turns.join(ids.select("conv_id"), "conv_id", "left_semi").select("conv_id", "turn", "role", "text")
+
+
+def append_replies(turns: DataFrame, replies: DataFrame) -> DataFrame:
+    """For the sessions in ``replies`` (conv_id, question, reply, metadata; one row a
+    session): their turns plus the question as a user message and the reply, with its
+    ``metadata`` (a variant, NULL where the service sent none), as an assistant message.
+    A session without turns begins with the question at turn 0.  Turns have the columns
+    conv_id, turn, role, text, metadata; where ``turns`` has no metadata it is NULL."""
+    meta = F.col("metadata") if "metadata" in turns.columns else F.lit(None).cast("variant").alias("metadata")
+    sel = turns.join(replies.select("conv_id"), "conv_id", "left_semi").select("conv_id", "turn", "role", "text", meta)
+    last = sel.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    at = F.coalesce("_last", F.lit(-1).cast(turns.schema["turn"].dataType))
+    both = F.array(
+        F.struct((at + 1).alias("turn"), F.lit("user").alias("role"), F.col("question").alias("text"),
+                 F.lit(None).cast("variant").alias("metadata")),
+        F.struct((at + 2).alias("turn"), F.lit("assistant").alias("role"), F.col("reply").alias("text"),
+                 F.col("metadata")))
+    new = replies.join(last, "conv_id", "left").select("conv_id", F.explode(both).alias("_m")).select("conv_id", "_m.*")
+    return sel.unionByName(new.withColumn("turn", F.col("turn").cast(turns.schema["turn"].dataType)))
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """Replace whole sessions: every turn of ``new`` plus the turns of old sessions
     that ``new`` does not contain."""

@@ -978,6 +978,59 @@ def q_session_upsert(spark, d):
     return TU.summary(TU.upsert(t, new)).select("id", "n_messages", "last_role", "last_content")
 
 
+@query("append_messages", """
+WITH s AS (SELECT conv_id, max(turn) AS last, CAST(sum(length(text)) AS BIGINT) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, turn, role, text, CAST(NULL AS BIGINT) AS prompt_chars FROM conversations
+UNION ALL SELECT conv_id, last + 1, 'user', 'How long was this?', NULL FROM s
+UNION ALL SELECT conv_id, last + 2, 'assistant', n || ' characters', CASE WHEN conv_id % 3 <> 0 THEN n END FROM s""")
+def q_append_messages(spark, d):
+    """Every session gets a question and its own reply; two in three replies carry metadata."""
+    from plotline.operators import turns as TU
+    t = _turns(spark, d)
+    n = F.sum(F.char_length("text"))
+    meta = F.when(F.col("conv_id") % 3 != 0, F.parse_json(F.to_json(F.struct(F.col("n").alias("prompt_chars")))))
+    replies = t.groupBy("conv_id").agg(n.alias("n")).select(
+        "conv_id", F.lit("How long was this?").alias("question"),
+        F.concat(F.col("n").cast("string"), F.lit(" characters")).alias("reply"), meta.alias("metadata"))
+    return TU.append_replies(t, replies).select(
+        "conv_id", "turn", "role", "text", F.variant_get("metadata", "$.prompt_chars", "bigint").alias("prompt_chars"))
+
+
+@query("session_messages", """
+SELECT conv_id, turn, role, text FROM conversations
+WHERE conv_id IN (SELECT max(conv_id) FROM conversations)""")
+def q_session_messages(spark, d):
+    """The messages of the newest session (one id, found by a partial maximum)."""
+    from plotline.operators import turns as TU
+    t = _turns(spark, d)
+    return TU.session_messages(t, t.agg(F.max("conv_id").alias("conv_id")))
+
+
+def _scratch(spark, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    import uuid
+    from plotline.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("sink_upsert", """
+WITH late AS (SELECT o_custkey AS id, max(o_totalprice) AS v FROM orders
+              WHERE o_orderdate >= TIMESTAMP '1999-01-01' GROUP BY o_custkey),
+new AS (SELECT id, v FROM late UNION ALL SELECT -id, v FROM late)
+SELECT id, v AS balance FROM new
+UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT id FROM new)""")
+def q_sink_upsert(spark, d):
+    """Customers written as a keyed table; late orders replace balances and add new keys."""
+    from plotline.sources import sinks as SK
+    t = Tables(spark, d)
+    path = _scratch(spark, "keyed")
+    SK.create_keyed_table(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")), path, "id", 16)
+    late = t.orders.where(F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp")) \
+        .groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("balance"))
+    SK.upsert_keyed_table(late.select(F.explode(F.array(F.col("k"), -F.col("k"))).alias("id"), "balance"), path)
+    return SK.read_keyed_table(spark, path)
+
+
 # ============================ document sources ====================================
 
 @query("page_links", """

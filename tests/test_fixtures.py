@@ -357,3 +357,19 @@ def test_noise_does_not_depend_on_the_layout(spark):
     many = {r.id: r.f for r in df.repartition(7).select("id", uniform_noise(7, "id").alias("f")).collect()}
     assert one == many and all(0.985 <= f < 1.015 for f in one.values()) and len(set(one.values())) > 400
 
+
+def test_append_replies_with_metadata(spark):
+    from plotline.operators import turns as TU
+    t = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c")],
+                              "conv_id long, turn long, role string, text string")
+    replies = spark.createDataFrame(
+        [(1, "q1", "r1", '{"total_tokens": 7}'), (9, "q9", "r9", None)],
+        "conv_id long, question string, reply string, metadata string").withColumn("metadata", F.parse_json("metadata"))
+    new = TU.append_replies(t, replies)
+    tokens = F.variant_get("metadata", "$.total_tokens", "int")
+    got = sorted(map(tuple, new.select("conv_id", "turn", "role", "text", tokens).collect()))
+    assert got == [(1, 0, "user", "a", None), (1, 1, "assistant", "b", None), (1, 2, "user", "q1", None),
+                   (1, 3, "assistant", "r1", 7), (9, 0, "user", "q9", None), (9, 1, "assistant", "r9", None)]
+    again = TU.append_replies(new, replies.where("conv_id = 1"))  # earlier metadata is kept
+    assert sorted(r[0] for r in again.select(tokens).collect() if r[0]) == [7, 7] and again.count() == 6
+    assert TU.append_replies(t, replies.limit(0)).count() == 0
