@@ -62,14 +62,11 @@ def fit_forecast(features: DataFrame, split_date: str, post_year: int = 2013, pa
     return boosting.fit(features, "transaction_value", numeric, ["city"], params, key=["city", "date"]), metrics
 
 
-def forecast_cities(series: DataFrame, model: BoostedTrees, months: int = K.FORECAST_HORIZON_MONTHS,
-                    city: str = "city", date: str = "month", value: str = "transaction_value",
-                    post_year: int = 2013) -> DataFrame:
-    """Every city at once: 48-month spine after its history, serving-time features
-    (index continues per city, monthly and overall means of that city's history),
-    prediction.  Columns: city, date, predicted_value.  A future month that a city never had
-    has no monthly mean: it stays missing, as the source's booster received it.  A city the
-    model was not fitted on raises."""
+def serving_features(series: DataFrame, months: int = K.FORECAST_HORIZON_MONTHS, city: str = "city",
+                     date: str = "month", value: str = "transaction_value", post_year: int = 2013) -> DataFrame:
+    """The features of every city's 48-month spine after its history (index continues per
+    city, monthly and overall means of that city's history).  A future month that a city
+    never had has no monthly mean."""
     hist = series.select(F.lower(F.col(city)).alias("city"), F.col(date).alias("month"),
                          F.col(value).alias("transaction_value"))
     spine = future_spine(hist, months, "city", "month")
@@ -77,11 +74,20 @@ def forecast_cities(series: DataFrame, model: BoostedTrees, months: int = K.FORE
         money_avg("transaction_value").alias("monthly_avg"))
     city_avg = hist.groupBy("city").agg(money_avg("transaction_value").alias("city_avg"))
     flags = calendar_flags("date", post_year)
-    feats = (spine.withColumn("_m", F.month("date"))
-             .join(month_avg, ["city", "_m"], "left").join(city_avg, "city", "left")
-             .select("city", "date", "time_index", F.year("date").alias("year"),
-                     F.month("date").alias("month"), F.quarter("date").alias("quarter"),
-                     *cyclic_month("date"), *flags[:3], "monthly_avg", "city_avg", flags[3]))
+    return (spine.withColumn("_m", F.month("date"))
+            .join(month_avg, ["city", "_m"], "left").join(city_avg, "city", "left")
+            .select("city", "date", "time_index", F.year("date").alias("year"),
+                    F.month("date").alias("month"), F.quarter("date").alias("quarter"),
+                    *cyclic_month("date"), *flags[:3], "monthly_avg", "city_avg", flags[3]))
+
+
+def forecast_cities(series: DataFrame, model: BoostedTrees, months: int = K.FORECAST_HORIZON_MONTHS,
+                    city: str = "city", date: str = "month", value: str = "transaction_value",
+                    post_year: int = 2013) -> DataFrame:
+    """Every city at once: prediction from its ``serving_features``.  Columns: city, date,
+    predicted_value.  A missing monthly mean stays missing, as the source's booster received
+    it.  A city the model was not fitted on raises."""
+    feats = serving_features(series, months, city, date, value, post_year)
     return model.predict(feats, known=True).select("city", "date", F.col("prediction").alias("predicted_value"))
 
 

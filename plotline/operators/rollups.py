@@ -61,12 +61,19 @@ def market_extremes(df: DataFrame, key: str, value: str = "price", prefix: str =
 
 
 def market_stats_levels(df: DataFrame, levels: Sequence[str], value: str = "price",
-                        prefix: str = "price", bounded_keys: bool = False) -> DataFrame:
+                        prefix: str = "price", bounded_keys: bool = False,
+                        materialize: bool = False) -> DataFrame:
     """The rollup at several location levels from ONE pass pair over ``df`` (grouping
     sets): each row is emitted once per level as ``(level, key, value)``, rows with a
     NULL key at a level are dropped for that level, and one exact-quantile aggregation
-    runs on ``(level, key)``.  Output: level, key + the ``market_stats`` columns."""
+    runs on ``(level, key)``.  Output: level, key + the ``market_stats`` columns.
+    ``materialize``: levels and value are checkpointed once for both passes (a job when
+    called), for text-parsed inputs."""
     levels = list(levels)
+    if materialize:
+        from plotline.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.select(*levels, value).checkpoint(eager=True)
     pairs = F.array(*[F.struct(F.lit(lv).alias("level"), F.col(lv).cast("string").alias("key"))
                       for lv in levels])
     x = (df.select(F.explode(pairs).alias("_l"), F.col(value).alias("_val"))

@@ -180,6 +180,14 @@ def q_rollup_rent_year_by_city(spark, d):
     return R.market_stats(_rent_parsed(spark, d), "city", "price", "rent", materialize=True)
 
 
+@query("rollup_rent_year_levels", with_views("raw_rent") + _CLEAN_RENT_SQL +
+       " UNION ALL ".join(f"SELECT '{lv}' AS level, s.* FROM ({_stats_sql('rent_prov', lv, prefix='rent', out_key='key', scale=4)}) s"
+                          for lv in ("province", "district", "city")))
+def q_rollup_rent_year_levels(spark, d):
+    """The three yearly-rent rollups from text parsed once."""
+    return R.market_stats_levels(_rent_parsed(spark, d), ["province", "district", "city"], prefix="rent", materialize=True)
+
+
 def _night(spark, d):
     t = Tables(spark, d)
     return L.night_provinces(V.night_listing(t), V.NIGHT_REGIONS, V.NIGHT_ALIASES)
@@ -476,6 +484,15 @@ def q_sale_rollup_by_city(spark, d):
     return _sale_rollup(spark, d, "city", False)
 
 
+@query("sale_rollup_levels", _SALE_SQL +
+       " UNION ALL ".join(f"SELECT '{lv}' AS level, s.* FROM ({_stats_sql('sale_prov', lv, out_key='key')}) s"
+                          for lv in ("province", "district", "city")))
+def q_sale_rollup_levels(spark, d):
+    """The three sale rollups of both sources from text parsed once."""
+    return R.market_stats_levels(L.priced(_sources(spark, d), "price", PROVINCES, DISTRICTS),
+                                 ["province", "district", "city"], materialize=True)
+
+
 @query("province_extraction", with_views("night") +
        f"SELECT listing_id, NULLIF(regexp_extract(Address, '(AFRICA|AMERICA|ASIA|EUROPE|MIDDLE EAST|MIDEAST)', 1), '') AS leftmost, "
        f"{_night_case()} AS priority FROM night")
@@ -1105,6 +1122,54 @@ def q_scan_json_locations(spark, d):
     return SRC.scan_json_locations(V.location_pages(Tables(spark, d)))
 
 
+@query("scan_csv", with_views("raw_buy") + """
+SELECT listing_id, Address, NULLIF(Price, 'N/A') AS Price, Type, Size,
+       NULLIF(Bedrooms, 'N/A') AS Bedrooms, NULLIF(Bathrooms, 'N/A') AS Bathrooms FROM raw_buy""")
+def q_scan_csv(spark, d):
+    """Sale listings written as headered CSV, a folder a region, and all folders read as
+    one table (``sink_csv``, ``scan_csv``, ``union_region_files``)."""
+    from plotline.sources import sinks as SK
+    path = _scratch(spark, "csv")
+    region = F.pmod("listing_id", F.lit(5)).cast("int")
+    SK.write_csv(V.raw_listing(Tables(spark, d)).withColumn("region", region), path, partition_by=["region"])
+    return SRC.scan_csv(spark, [f"{path}/region={r}" for r in range(5)], "listing_id bigint, " + SRC.RAW_LISTING_SCHEMA)
+
+
+@query("join_month_avg", with_views("transactions") + f"""
+, l AS (SELECT lower(city) AS city, max(month) AS last, count(*) AS n FROM transactions GROUP BY ALL),
+s AS (SELECT city, CAST(last + to_months(CAST(k AS INTEGER)) AS DATE) AS date, CAST(n + k - 1 AS BIGINT) AS time_index
+      FROM l, range(1, {K.FORECAST_HORIZON_MONTHS + 1}) r(k)),
+m AS (SELECT lower(city) AS city, month(month) AS month, CAST(sum(CAST(transaction_value AS DECIMAL(38,3))) AS DOUBLE) / count(transaction_value) AS v
+      FROM transactions GROUP BY ALL),
+a AS (SELECT lower(city) AS city, CAST(sum(CAST(transaction_value AS DECIMAL(38,3))) AS DOUBLE) / count(transaction_value) AS v
+      FROM transactions GROUP BY ALL)
+SELECT s.city, s.date, s.time_index, round(m.v, 4) AS monthly_avg, round(a.v, 4) AS city_avg
+FROM s LEFT JOIN m ON s.city = m.city AND month(s.date) = m.month LEFT JOIN a ON s.city = a.city""")
+def q_join_month_avg(spark, d):
+    """Serving-time features of the forecast: the spine with its city's monthly means."""
+    from plotline.operators import models as M
+    f = M.serving_features(V.transactions(Tables(spark, d)), post_year=POST_YEAR)
+    return f.select("city", "date", "time_index", round_to("monthly_avg", 4).alias("monthly_avg"),
+                    round_to("city_avg", 4).alias("city_avg"))
+
+
+@query("impute_standardize", with_views("listing") + """
+, m AS (SELECT median(price) AS mp, median(CAST(CASE WHEN bathrooms > 0 THEN bathrooms END AS DOUBLE)) AS mb FROM listing),
+x AS (SELECT listing_id, coalesce(price, mp) AS p, coalesce(CASE WHEN bathrooms > 0 THEN bathrooms END, mb) AS b, type
+      FROM listing, m),
+s AS (SELECT avg(p) AS ap, stddev_pop(p) AS sp, avg(b) AS ab, stddev_pop(b) AS sb FROM x),
+t AS (SELECT type FROM listing WHERE type IS NOT NULL GROUP BY type ORDER BY count(*) DESC, type LIMIT 1)
+SELECT listing_id, round((p - ap) / sp, 6) AS price, round((b - ab) / sb, 6) AS bathrooms,
+       coalesce(x.type, (SELECT type FROM t)) AS type FROM x, s""")
+def q_impute_standardize(spark, d):
+    """``impute_median``, ``impute_mode`` and ``standardize``, fitted on the listings."""
+    from plotline.operators import models as M
+    lst = _listing(spark, d).select("listing_id", "price", "type", F.when(F.col("bathrooms") > 0, F.col("bathrooms")).alias("bathrooms"))
+    made = M.Preparation.fit(lst, ["price", "bathrooms"], ["type"]).apply(lst)
+    return made.select("listing_id", round_to("n_price", 6).alias("price"), round_to("n_bathrooms", 6).alias("bathrooms"),
+                       F.col("c_type").alias("type"))
+
+
 # ============================ models (rows-only checks) ===========================
 # Fitted trees have no SQL; tests/test_boosting.py holds them against a written-out brute
 # force.  The features and metrics feeding them are oracle-checked above.

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ from pyspark.sql.types import StructType
 from plotline.operators.sessions import upsert
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
+    """Headered CSV; with ``partition_by``, a folder for each value of these columns."""
+    df.write.mode(mode).option("header", True).partitionBy(*partition_by).csv(path)
 
 
 def upsert_parquet(spark, new: DataFrame, table_path: str, out_path: str, key: str = "id") -> DataFrame:
