@@ -10,7 +10,9 @@ Only DataFrame functions touch rows.  The driver holds the matrix alone:
 ``blocks x shards`` integers, whatever the number of rows.
 
 Defined results: an empty table gives no rows; nulls in any column are values like any
-other; rows equal in every column are interchangeable; an input column named like an
+other; rows equal in every column are interchangeable (and share a block); equal texts are
+rows like any other and are not kept together, as a uniform shuffle of exact shard sizes
+leaves no room for it (a group of a third of the rows is larger than a shard); an input column named like an
 output (``shard``, ``slot``) is replaced; map columns take part through their JSON form.
 """
 
@@ -28,41 +30,31 @@ from . import common
 
 #: Rows a block holds at most on average; more rows make more blocks.
 BLOCK_ROWS = 200_000
+#: Blocks there are at least; with the row count they alone fix the number of blocks.
+LEAST_BLOCKS = 64
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     """Exact draw: good items among ``n`` taken from ``good + bad``.  Beyond the range of
-    numpy's sampler the distribution is walked outwards from its mode."""
+    numpy's sampler the distribution is built outwards from its mode by the ratios of
+    neighbours, to 12 standard deviations (what lies beyond is below a double's rounding),
+    and normalised by its own sum."""
     if n == 0 or good == 0:
         return 0
     if bad == 0:
         return n
-    if good + bad < 1_000_000_000:
+    total = good + bad
+    if total < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
     low, high = max(0, n - bad), min(n, good)
-    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-
-    def log_choose(a: int, b: int) -> float:
-        return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
-
-    peak = math.exp(log_choose(good, mode) + log_choose(bad, n - mode) - log_choose(good + bad, n))
-    u = rng.random() - peak
-    left = right = peak
-    a = b = mode
-    while u > 0 and (a > low or b < high):
-        if b < high:
-            right *= (good - b) * (n - b) / ((b + 1) * (bad - n + b + 1))
-            b += 1
-            u -= right
-            if u <= 0:
-                return b
-        if a > low:
-            left *= a * (bad - n + a) / ((good - a + 1) * (n - a + 1))
-            a -= 1
-            u -= left
-            if u <= 0:
-                return a
-    return mode
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    reach = 12 + int(12 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1))))
+    up = np.arange(mode, min(high, mode + reach), dtype=float)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=float)
+    right = np.cumprod((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))
+    left = np.cumprod(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))
+    weights = np.cumsum(np.concatenate([left[::-1], [1.0], right]))
+    return mode - len(left) + int(np.searchsorted(weights[:-1], rng.random() * weights[-1], side="right"))
 
 
 def communication_matrix(block_rows: list[int], shard_rows: list[int], seed: int) -> list[list[int]]:
@@ -94,7 +86,7 @@ def _table(spark, rows: list[dict], schema: str) -> DataFrame:
 def uniform_shards(df: DataFrame, n_shards: int = 8, seed: int = 20_240, blocks: int | None = None) -> DataFrame:
     """``df`` with ``shard`` (0 to n_shards - 1, sizes at most one apart) and ``slot``
     (gapless from 0 in each shard): one draw of a uniform shuffle, fixed by ``seed`` and
-    the rows, however they are partitioned.
+    the rows, however they are partitioned and whatever the session's settings.
 
     Two shuffles of the rows given; so hand in the columns wanted, not whole texts, and
     join the placement back where the payload is large.  The matrix and the offsets
@@ -111,7 +103,7 @@ def uniform_shards(df: DataFrame, n_shards: int = 8, seed: int = 20_240, blocks:
         return F.xxhash64(F.lit(seed * 10 + step), nulls, *values)
 
     if blocks is None:
-        blocks = max(4 * common.shuffle_partitions(spark), math.ceil(df.count() / BLOCK_ROWS))
+        blocks = max(LEAST_BLOCKS, math.ceil(df.count() / BLOCK_ROWS))
     parts = math.ceil(blocks / n_shards)
     rows = df.select(F.struct(*[common.col(c) for c in names]).alias("row"),
                      F.pmod(rnd(1), F.lit(blocks)).alias("block"), rnd(2).alias("first"),

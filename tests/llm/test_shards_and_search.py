@@ -52,6 +52,18 @@ def test_shards_are_exact_gapless_and_fixed_by_the_rows(docs_of):
     assert placed(df, n_shards=8, blocks=13, seed=2) != got
 
 
+def test_shards_do_not_depend_on_session_settings(docs_of, spark):
+    rows, got, key = [(i, f"text {i % 300}") for i in range(1000)], [], "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        for n in ("3", "16"):
+            spark.conf.set(key, n)
+            got.append(sorted((r.doc_id, r.shard, r.slot) for r in hs.uniform_shards(docs_of(rows)).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert got[0] == got[1] and len(got[0]) == 1000
+
+
 def test_shards_are_uniform(docs_of):
     df = docs_of([(i, "same") for i in range(48)]).cache()
     seen = Counter()
