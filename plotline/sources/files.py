@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from plotline import constants as K
 
@@ -60,45 +62,91 @@ def scan_json_locations(pages: DataFrame, text_col: str = "json") -> DataFrame:
 
 # ------------------------------ HTML listing cards --------------------------------
 
-def html_tokens(pages: DataFrame, html_col: str = "html", key: str = "page_id") -> DataFrame:
-    """One row a tag: ``key``, pos, opens, tag, cls, text (up to the next tag, common
-    entities resolved) and ``depth``, the number of elements open after it.  Comments,
-    scripts and styles are left out; void tags open nothing."""
-    clean = F.regexp_replace(html_col, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    raw = pages.select(key, F.posexplode(F.regexp_extract_all(clean, F.lit(r"<[/a-zA-Z][^>]*>[^<]*"), F.lit(0))).alias("pos", "_raw"))
-    text = F.regexp_extract("_raw", r">([^<]*)$", 1)
-    for entity, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    tok = raw.select(key, "pos", (~F.col("_raw").startswith("</")).alias("opens"),
-                     F.lower(F.regexp_extract("_raw", r"^</?([a-zA-Z0-9]+)", 1)).alias("tag"),
-                     F.regexp_extract("_raw", r"""(?i)^<[^>]*?\sclass\s*=\s*["']([^"']*)["']""", 1).alias("cls"),
-                     text.alias("text"), F.col("_raw").rlike(r"^<[^>]*/>").alias("_self"))
-    step = (F.when(~F.col("opens"), F.when(F.col("tag").isin(K.HTML_VOID_TAGS), 0).otherwise(-1))
-            .when(F.col("_self") | F.col("tag").isin(K.HTML_VOID_TAGS), 0).otherwise(1))
-    w = Window.partitionBy(key).orderBy("pos")
-    return tok.withColumn("depth", F.sum(step).over(w)).drop("_self")
-
-
-def _is(spec: tuple[str, str], t=F.col):
-    return t("opens") & (t("tag") == spec[0]) & (t("cls") == spec[1])
-
-
-def _texts(tokens, hits, strip_parts: bool = False):
-    """Text of each element that a token of ``hits`` opens: up to where the depth falls
-    below it.  (What the inner functions use is bound by an outer one, so that it is worked
-    out once for an element, not once a token.)"""
-    def of(at):
-        after = F.filter(tokens, lambda t: (t["pos"] > at["pos"]) & (t["depth"] < at["depth"]))
-        end = F.coalesce(F.get(after, 0)["pos"], F.lit(1 << 30))
-        return F.transform(F.array(end), lambda e: F.array_join(F.transform(
-            F.filter(tokens, lambda t: (t["pos"] >= at["pos"]) & (t["pos"] < e)),
-            lambda t: _stripped(t["text"]) if strip_parts else t["text"]), ""))
-
-    return F.transform(F.flatten(F.transform(hits, of)), _stripped)
-
-
-def _stripped(c):
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+HTML_FIELDS = ["Address", "Price", "Type", "Size", "Bedrooms", "Bathrooms"]
+_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.ASCII | re.IGNORECASE | re.DOTALL)
+#: One tag: slash, name, the rest up to ">", the text up to the next tag.
+_TAG = re.compile(r"<(?=[/a-zA-Z])(/?)([a-zA-Z0-9]*)([^>]*)>([^<]*)")
+_CLASS = re.compile(r"""\sclass\s*=\s*["']([^"']*)["']""", re.ASCII | re.IGNORECASE)
+_CLASS_BEYOND = re.compile(r"""<[^>]*?\sclass\s*=\s*["']([^"']*)["']""", re.ASCII | re.IGNORECASE)
+#: Outer white space; a last line or paragraph separator may follow it.
+_OUTER = re.compile(r"\A\s+|\s+(?=[\x85\u2028\u2029]?\Z)", re.ASCII)
+_SEPARATORS = frozenset("\x85\u2028\u2029")
+_ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+_VOID = frozenset(K.HTML_VOID_TAGS)
+
+
+def _stripped(text: str) -> str:
+    return _OUTER.sub("", text) if text[-1:] in _SEPARATORS else text.strip(" \t\n\x0b\f\r")
+
+
+def html_tokens(html: str) -> Iterator[tuple[bool, str, str, str, int]]:
+    """The tags of a page: opens, tag, cls (of opening tags), text (up to the next tag,
+    common entities resolved) and the number of elements open after it.  Comments, scripts
+    and styles are left out; void tags open nothing."""
+    depth = 0
+    for slash, tag, rest, text in _TAG.findall(_HIDDEN.sub("", html)):
+        tag = tag.lower()
+        cls = ""
+        if slash:
+            depth -= tag not in _VOID
+        else:
+            depth += tag not in _VOID and not rest.endswith("/")
+            if "class" in rest.lower():
+                # a quoted value may hold a ">"
+                found = _CLASS.search(rest) or _CLASS_BEYOND.match(f"<{tag}{rest}>{text}")
+                cls = found[1] if found else ""
+        if "&" in text:
+            for entity, char in _ENTITIES:
+                text = text.replace(entity, char)
+        yield not slash, tag, cls, text, depth
+
+
+def _cards(html: str) -> Iterator[list[tuple]]:
+    """The tags of each card in the first listing section of a page."""
+    floor = own = None          # depths of the section and of the card that tags belong to
+    card: list[tuple] = []
+    for token in html_tokens(html):
+        opens, tag, cls, _, depth = token
+        if floor is None:
+            if not (opens and (tag, cls) == K.HTML_SECTION):
+                continue
+            floor = depth
+        if depth < floor:
+            break
+        if opens and (tag, cls) == K.HTML_CARD:
+            if card:
+                yield card
+            card, own = [], depth
+        elif own is not None and depth < own:
+            own = None
+        if own is not None:
+            card.append(token)
+    if card:
+        yield card
+
+
+def _card_fields(card: list[tuple]) -> list[str | None]:
+    """``HTML_FIELDS`` of one card.  An element's text ends where the depth falls below it."""
+    found: dict[tuple[str, str], list[str]] = {s: [] for s in (K.HTML_ADDRESS, K.HTML_PRICE, K.HTML_TYPE, K.HTML_ROOMS)}
+    size = None
+    for i, (opens, tag, cls, _, depth) in enumerate(card):
+        plain = tag == "div" and cls == "" and size is None
+        if not opens or not plain and (tag, cls) not in found:
+            continue
+        parts = []
+        for j in range(i, len(card)):
+            if card[j][4] < depth and j > i:
+                break
+            parts.append(card[j][3])
+        if plain:
+            text = _stripped("".join(map(_stripped, parts)))
+            if K.HTML_AREA_UNIT in text:
+                size = text
+        else:
+            found[(tag, cls)].append(_stripped("".join(parts)))
+    rooms = [text.split(" ", 1)[0] or None for text in found[K.HTML_ROOMS][:2]] + [None, None]
+    first = [next(iter(found[s]), None) or None for s in (K.HTML_ADDRESS, K.HTML_PRICE, K.HTML_TYPE)]
+    return [*first, size, *rooms[:2]]
 
 
 def scan_html_listings(pages: DataFrame, html_col: str = "html", key: str = "page_id") -> DataFrame:
@@ -109,34 +157,25 @@ def scan_html_listings(pages: DataFrame, html_col: str = "html", key: str = "pag
     A card ends where the depth falls below its own; a card inside a card starts one of its
     own.  Size is the text of the first division without a class that holds an area unit;
     rooms are the first words of the first and the second room block.
+
+    Every page is read once, tag by tag, where it lies: nothing is shuffled or sorted, and
+    a task holds the cards of one batch of pages.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    tok = html_tokens(pages.where(F.contains(html_col, F.lit(K.HTML_CARD[1]))), html_col, key)
-    tok = tok.withColumn("_section", F.first(F.when(_is(K.HTML_SECTION), F.struct("pos", "depth")), ignorenulls=True).over(w))
-    tok = tok.where("_section IS NOT NULL").withColumn("_floor", F.min("depth").over(w)).where("_floor >= _section.depth")
-    tok = tok.withColumn("_card", F.count(F.when(_is(K.HTML_CARD), 1)).over(w)).where("_card > 0")
-    inside = Window.partitionBy(key, "_card").orderBy("pos")
-    tok = (tok.withColumn("_own", F.first("depth").over(inside)).withColumn("_low", F.min("depth").over(inside))
-           .where("_low >= _own"))
-    cards = tok.groupBy(key, (F.col("_card") - 1).cast("int").alias("pos")).agg(      # the tags of one card
-        F.sort_array(F.collect_list(F.struct("pos", "depth", "opens", "tag", "cls", "text"))).alias("_t"))
-
-    def texts(spec):
-        return _texts(F.col("_t"), F.filter("_t", lambda t: _is(spec, lambda c: t[c])))
-
-    def first_word(n: int):
-        return F.regexp_extract(F.get("_rooms", n), r"^[^ ]+", 0)
-
-    plain = F.filter("_t", lambda t: t["opens"] & (t["tag"] == "div") & (t["cls"] == ""))
-    read = cards.select(
-        key, "pos", F.get(texts(K.HTML_ADDRESS), 0).alias("Address"), F.get(texts(K.HTML_PRICE), 0).alias("Price"),
-        F.get(texts(K.HTML_TYPE), 0).alias("Type"), texts(K.HTML_ROOMS).alias("_rooms"),
-        F.get(F.filter(_texts(F.col("_t"), plain, strip_parts=True), lambda s: F.contains(s, F.lit(K.HTML_AREA_UNIT))), 0)
-        .alias("Size"))
-    # exploding one row each keeps the optimizer from putting the texts in place of each use
-    once = read.select(F.explode(F.array(F.struct(*read.columns))).alias("_r")).select("_r.*")
-    return once.select(key, "pos", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("Address", "Price", "Type")], "Size",
-                       F.nullif(first_word(0), F.lit("")).alias("Bedrooms"), F.nullif(first_word(1), F.lit("")).alias("Bathrooms"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, pos, fields = [], [], []
+            for i, html in enumerate(batch.column(1).to_pylist()):
+                for n, card in enumerate(_cards(html)):
+                    at.append(i)
+                    pos.append(n)
+                    fields.append(_card_fields(card))
+            columns = list(zip(*fields)) or [()] * len(HTML_FIELDS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()),
+                 *[pa.array(c, pa.string()) for c in columns]], names=[key, "pos", *HTML_FIELDS])
+
+    schema = StructType([pages.schema[key], StructField("pos", IntegerType()), *[StructField(c, StringType()) for c in HTML_FIELDS]])
+    return pages.where(F.contains(html_col, F.lit(K.HTML_CARD[1]))).select(key, html_col).mapInArrow(run, schema)
 
 
 def page_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
