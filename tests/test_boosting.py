@@ -165,3 +165,35 @@ def test_empty_and_constant_labels(spark):
         B.fit(df.where("false"), "y", ["p"], [], B.BoostParams(rounds=1))
     flat = B.fit(df.withColumn("y", F.lit(4.0)), "y", ["p"], [], B.BoostParams(rounds=2))
     assert {r.prediction for r in flat.predict(df).collect()} == {4.0}
+
+
+def test_one_job_grows_the_trees_of_one_block(spark, monkeypatch):
+    x, cats, y = table(300, 11)
+    df = frame(spark, x, cats, y, np.arange(300) % 5 == 0)
+    p = B.BoostParams(rounds=40, depth=4, rate=0.2, subsample=0.8, colsample=0.8)
+
+    def fit(group):
+        spark.sparkContext.setJobGroup(group, group)
+        model = B.fit(df, "y", ["p", "q", "r"], ["k"], p, key=["id"], valid=F.col("v"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return model, jobs
+
+    one, jobs = fit("boost-one")
+    assert len(one.trees) == 40 and jobs < 30
+    monkeypatch.setattr(B, "BLOCK_ROWS", 50)
+    many, _ = fit("boost-many")
+    assert many.errors == pytest.approx(one.errors, rel=1e-12)
+    for s, t in zip(one.trees, many.trees, strict=True):
+        assert s.feature.tolist() == t.feature.tolist() and s.code.tolist() == t.code.tolist()
+        assert s.weight.tolist() == t.weight.tolist()
+
+
+def test_cuts_of_few_and_many_values_in_one_pass(spark):
+    rows = [(float(i % 300), float(i % 7) if i % 3 else None, float("nan") if i % 2 else -0.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    a, b, c = B.cuts_of(df, ["a", "b", "c"], bins=256)
+    assert 200 < len(a) < 256 and a == sorted(set(a)) and min(a) > 0
+    assert b == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0] and c == []
+    assert B.cuts_of(df, ["a"], bins=400) == [[float(i) for i in range(1, 300)]]
+    assert B.cuts_of(df.where("false"), ["a"]) == [[]]
