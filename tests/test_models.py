@@ -137,3 +137,14 @@ def test_offsets_over_ranges(spark):
     hits = O.one_hot_indices(df, ["v"], {"v": O.frequent_levels(df, "v", 3), "w": O.frequent_levels(df, "w", 3)}, 3)
     assert hits.where("index >= 3").count() == 5000 and hits.where("index < 3").count() == 3
     assert K.PRICE_FOLDS == 5
+
+
+def test_label_codes_read_the_table_once_a_column(spark):
+    df = spark.createDataFrame([(str(i % 3), str(i % 4), str(i % 5), i) for i in range(60)], "a string, b string, c string, y int")
+    codes = {k: O.dense_codes(df, k) for k in "abc"}
+    coded = O.label_encode(df, codes)
+    assert all((r.a_code, r.b_code, r.c_code) == (r.y % 3, r.y % 4, r.y % 5) for r in coded.collect())
+    # the rows once and a column's count at four places (one exchange when run); counts of
+    # the joined rows would stand for the whole table at five times as many with each column
+    plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [a#") <= 2 + 4 * 3
