@@ -112,7 +112,10 @@ def resolve_location(listings: DataFrame, dim: DataFrame) -> DataFrame:
         n = (names.where(F.col("id").startswith(prefix))
              .select(F.col("id").alias(f"_{alias}_id"), strip_suffix_words("name", suffixes).alias(alias)))
         out = out.withColumn(f"_{alias}_id", F.concat(F.lit(prefix), F.col(col).cast("string")))
-        out = (join_groups(out, n, [f"_{alias}_id"], "left", broadcast=bounded)
+        # names are one an id, so the rows of an id are counted before the joins
+        counts = None if bounded else listings.groupBy(
+            F.concat(F.lit(prefix), F.col(col).cast("string")).alias(f"_{alias}_id")).agg(F.count(F.lit(1)).alias("_rows"))
+        out = (join_groups(out, n, [f"_{alias}_id"], "left", broadcast=bounded, counts=counts)
                .drop(f"_{alias}_id")
                .withColumn(alias, F.coalesce(F.col(alias), F.lit(""))))
 

@@ -121,3 +121,13 @@ def test_heavy_keys_are_spread_in_proportion(spark, how):
     assert salted.count() == 25 and salted.agg(F.max("count")).first()[0] < 1.3 * n / parts
     empty = spread_join(fact.where("false"), groups, ["k"], how)
     assert empty.isEmpty() and empty.columns == got.columns
+
+
+def test_rows_filtered_by_the_wanted_buckets(spark):
+    rows = [(None if i % 11 == 0 else f"k{i % 7}", None if i % 5 == 0 else float((i * 7919) % 997) - 300.0) for i in range(2000)]
+    df = spark.createDataFrame([*rows, ("none", None), ("one", 4.0)], "k string, v double")
+    extra = [F.count("v").alias("n"), F.min("v").alias("lo")]
+    want = sorted(exact_quantiles(df, ["k"], "v", {"m": 0.5, "q": 0.9}, extra).collect(), key=str)
+    made = exact_quantiles(df, ["k"], "v", {"m": 0.5, "q": 0.9}, extra, accuracy=64, filter_rows=True)
+    assert sorted(made.collect(), key=str) == want and len(want) == 10
+    assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString()
