@@ -6,8 +6,8 @@ child (and, to step over one replaced character, the node two characters on).  A
 (word, position, node, edits).  States without an edit lie on the word's own path, so
 their nodes are known; there one character is deleted or replaced, in the second half of
 the word for either direction, so each edit of a word is made on one side only, below a
-prefix of three characters or more.  The states with one edit join the edge table on
-(node, next character), level by level, until their word ends; those that end on an end
+prefix of three characters or more.  The states with one edit join the table of jumps
+(edges of 1, 2, 4 and more characters) on (node, next characters) until their word ends; those that end on an end
 mark have reached a neighbour, which an exact edit distance confirms.  Insertions are the
 deletions of the other word, and are read backwards.
 
@@ -42,6 +42,9 @@ TYPO_OF = 199
 #: The form of a word must stand at least this many times as often.
 FORM_RATIO = 5
 LONG = 40
+#: Characters that one step below an edit may take; the largest that fits is taken, so the
+#: steps of a word grow with the logarithm of its length.
+SPANS = (1, 2, 4, 8, 16, 32)
 #: Distinct words that a task holds before it hands on their counts.
 HELD_WORDS = 100_000
 END = "\0"
@@ -89,8 +92,8 @@ def _node(side, prefix):
     return F.xxhash64(side, prefix)
 
 
-def _walk(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges (node, ch, over, child), edited states (word, n, s, pos, node, over) one step
+def _walk(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Jumps of SPANS characters (node, ch, child), edges (node, ch, over, child), edited states (word, n, s, pos, node, over) one step
     before their next character, and ends (node, near, near_n) of words in both directions."""
     both = words.select("word", "n", F.length("word").alias("len"), F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("word").alias("s")),
@@ -101,12 +104,15 @@ def _walk(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     prefix = F.substring("s", F.lit(1), F.col("p"))
     one = F.substring("s", F.col("p") + 1, F.lit(1))
     two = F.substring("s", F.col("p") + 2, F.lit(1))
-    direct = at.select(_node("side", prefix).alias("node"), one.alias("ch"), F.lit("").alias("over"),
-                       _node("side", F.substring("s", F.lit(1), F.col("p") + 1)).alias("child"))
+    spans = F.filter(F.array(*[F.lit(k) for k in SPANS]), lambda k: F.col("p") + k <= F.col("len") + 1)
+    jumps = common.checkpointed(at.select("*", F.explode(spans).alias("k")).select(
+        _node("side", prefix).alias("node"), F.substring("s", F.col("p") + 1, F.col("k")).alias("ch"),
+        _node("side", F.substring("s", F.lit(1), F.col("p") + F.col("k"))).alias("child")).distinct())
+    direct = jumps.where(F.length("ch") == 1).select("node", "ch", F.lit("").alias("over"), "child")
     skip = at.where("p < len").select(
         _node("side", prefix).alias("node"), two.alias("ch"), one.alias("over"),
         _node("side", F.substring("s", F.lit(1), F.col("p") + 2)).alias("child"))
-    edges = direct.union(skip).distinct()
+    edges = direct.union(skip.distinct())
     half = (F.col("len") / 2).cast("int")
     own = both.select("word", "n", "len", "side", "s", F.explode(F.sequence(
         F.when(F.col("side") == 0, half).otherwise(F.col("len") - half), F.col("len") - 1)).alias("p"))
@@ -116,14 +122,12 @@ def _walk(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                         (F.when(F.col("side") == 0, two).otherwise(F.substring("s", F.col("p"), F.lit(1))) != one)
                         .alias("deletes"))
     ends = both.select(_node("side", "s").alias("node"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return edges, edited, ends
+    return jumps, edges, edited, ends
 
 
 def _short_pairs(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): one edit apart; replaced pairs both ways, deletions one way."""
-    edges, edited, ends = _walk(words)
-    edges = common.checkpointed(edges)
-    plain = edges.where("over = ''").drop("over")
+    jumps, edges, edited, ends = _walk(words)
     # first level: the edit and the character after it
     states = spread_join(edited, edges, ["node", "ch"]).where(
         ((F.col("over") == "") & F.col("deletes")) | ((F.col("over") != "") & (F.col("over") != F.col("own")))) \
@@ -135,9 +139,11 @@ def _short_pairs(words: DataFrame) -> DataFrame:
         open_ = states.where(F.col("pos") < F.length("s"))
         if open_.isEmpty():
             break
-        open_ = open_.withColumn("ch", F.substring("s", F.col("pos") + 1, F.lit(1)))
-        states = common.checkpointed(spread_join(open_, plain, ["node", "ch"]).select(
-            "word", "n", "s", (F.col("pos") + 1).alias("pos"), F.col("child").alias("node")))
+        left = F.length("s") - F.col("pos")
+        span = F.greatest(*[F.when(left >= k, k).otherwise(1) for k in SPANS])
+        open_ = open_.withColumn("ch", F.substring("s", F.col("pos") + 1, span))
+        states = common.checkpointed(spread_join(open_, jumps, ["node", "ch"]).select(
+            "word", "n", "s", (F.col("pos") + F.length("ch")).alias("pos"), F.col("child").alias("node")))
     reached = done[0]
     for more in done[1:]:
         reached = reached.union(more)

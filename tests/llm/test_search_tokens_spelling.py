@@ -247,3 +247,17 @@ def test_spelling_variants_of_documents(spark, docs_of):
     got = variants(sv.spelling_variants(docs_of(rows, CLASHES)))
     assert got == brute_variants(words)
     assert any(v[0] for v in got.values())
+
+
+def test_steps_of_the_longest_words_are_few(spark, monkeypatch):
+    from plotline.llm import spelling_variants as S
+
+    long_ = "abcdefghijklmnopqrstuvwxyzabcdefghijklm"
+    words = [(long_, 9), ("x" + long_[1:], 50), (long_[:20] + long_[21:], 5), (long_[:-1] + "z", 7), ("letter", 5), ("better", 30)]
+    joins = []
+    join = S.spread_join
+    monkeypatch.setattr(S, "spread_join", lambda *a, **k: joins.append(1) or join(*a, **k))
+    got = {(r.word, r.near) for r in S.near_words(spark.createDataFrame(words, "word string, n long")).collect()}
+    want = {(a, b) for a, b in ((long_, w) for w, _ in words[1:4])} | {("letter", "better")}
+    assert got == want | {(b, a) for a, b in want}
+    assert len(joins) <= 7          # one with the edit, then at most one for each span
