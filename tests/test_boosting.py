@@ -197,3 +197,76 @@ def test_cuts_of_few_and_many_values_in_one_pass(spark):
     assert b == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0] and c == []
     assert B.cuts_of(df, ["a"], bins=400) == [[float(i) for i in range(1, 300)]]
     assert B.cuts_of(df.where("false"), ["a"]) == [[]]
+
+
+def wide_table(n, levels, seed):
+    """Rows of a number and a category of many levels, some of which alone move the label."""
+    rng = np.random.default_rng(seed)
+    at = (levels * rng.random(n) ** 2).astype(int)
+    x = np.column_stack([np.round(rng.normal(size=n), 2), rng.integers(0, 5, n).astype(float), rng.integers(0, 3, n).astype(float)])
+    y = x[:, 0] + 9.0 * (at % 7 == 3) + np.round(rng.normal(size=n), 3)
+    return x, np.array([[f"é{v:03d}" if v % 2 else f"L{v:03d}"] for v in at], dtype=object), y
+
+
+@pytest.mark.parametrize("block", [1 << 16, 100])
+def test_every_level_has_its_column(spark, monkeypatch, tmp_dir, block):
+    """The trees are those of all levels' columns, however few sums go through the driver."""
+    x, cats, y = wide_table(700, 90, 3)
+    df = frame(spark, x, cats, y, np.arange(700) % 6 == 0 if block == 100 else np.arange(700) < 100)
+    p = B.BoostParams(rounds=6, depth=3, rate=0.5, min_child=2, subsample=0.9, colsample=0.9)
+    args = df, "y", ["p", "q", "r"], ["k"], p
+    whole = B.fit(*args, key=["id"], valid=F.col("v"))
+    monkeypatch.setattr(B, "BLOCK_ROWS", block)
+    monkeypatch.setattr(B, "CACHED_ROWS", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    few = B.fit(*args, key=["id"], valid=F.col("v"), width=4)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert whole.sizes == few.sizes and len(whole.levels[0]) == whole.sizes[0] > 80 and len(few.levels[0]) == 4
+    assert few.split[0] and not whole.split[0]          # rarer levels were split on
+    for s, t in zip(whole.trees, few.trees, strict=True):
+        assert s.feature.tolist() == t.feature.tolist() and s.weight.tolist() == t.weight.tolist()
+        assert [c for f, c in zip(s.feature, s.code) if f >= 0] == [c for f, c in zip(t.feature, t.code) if f >= 0]
+    assert few.errors == pytest.approx(whole.errors, rel=1e-12)
+    few.save(spark, f"{tmp_dir}/few")
+    again = B.BoostedTrees.load(spark, f"{tmp_dir}/few")
+    want = sorted((r.id, r.prediction) for r in whole.predict(df).collect())
+    for model in (few, again):
+        assert sorted((r.id, r.prediction) for r in model.predict(df, known=True).collect()) == want
+        assert model.importance() == whole.importance() and model.importance("weight") == whole.importance("weight")
+        with pytest.raises(Exception, match="not fitted on"):
+            model.predict(df.withColumn("k", F.lit("new")), known=True).collect()
+
+
+def test_two_wide_categories_and_deep_trees(spark, monkeypatch):
+    x, cats, y = wide_table(500, 60, 4)
+    other = np.array([[f"m{int(v) % 41}"] for v in np.random.default_rng(1).integers(0, 999, 500)], dtype=object)
+    rows = [(i, float(x[i, 0]), cats[i, 0], None if i % 50 == 0 else other[i, 0], float(y[i] + 4 * (other[i, 0] == "m7"))) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, p double, k string, m string, y double")
+    p = B.BoostParams(rounds=3, depth=8, rate=0.5)
+    whole = B.fit(df, "y", ["p"], ["k", "m"], p, key=["id"])
+    assert max(np.flatnonzero(t.feature >= 0).max() for t in whole.trees) >= 2 ** 7 - 1       # splits in the last level
+    monkeypatch.setattr(B, "BLOCK_ROWS", 120)
+    few = B.fit(df, "y", ["p"], ["k", "m"], p, key=["id"], width=3)
+    for s, t in zip(whole.trees, few.trees, strict=True):
+        assert s.feature.tolist() == t.feature.tolist() and s.weight.tolist() == t.weight.tolist()
+    assert sorted((r.id, r.prediction) for r in whole.predict(df).collect()) == sorted((r.id, r.prediction) for r in few.predict(df).collect())
+
+
+def test_a_level_adds_up_one_of_two_children(spark):
+    """Below the root the rows of the smaller child of each split are summed, at most half of
+    the rows; the other child's sums are the parent's less these."""
+    x, _, y = table(600, 12)
+    p = B.BoostParams(rounds=4, depth=5, rate=0.3)
+    layout = B._Layout([sorted(set(v[~np.isnan(v)]))[1:] for v in x.T], [], [])
+    block = {"res": y.mean() - y} | {f"c{j}": c for j, c in enumerate(layout.encode(x, np.zeros((600, 0))))}
+    grower, seen = B._Grower(p, layout, 2.0 ** 20, 1e6), []
+
+    class Blocks(B._TaskBlocks):
+        def sums(self, tree, depth, round_, todo, nodes, totals):
+            out = super().sums(tree, depth, round_, todo, nodes, totals)
+            seen.append((depth, len(todo), len(nodes), out[1][:, :layout.widths[0]].sum()))
+            return out
+
+    trees, _ = grower.grow(Blocks(grower, [block]), None)
+    assert len(trees) == 4 and max(d for d, *_ in seen) == 4
+    assert all((k, rows) == (1, 600) if d == 0 else 2 * k == n and 2 * rows <= 600 for d, k, n, rows in seen)
