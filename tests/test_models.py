@@ -148,3 +148,13 @@ def test_label_codes_read_the_table_once_a_column(spark):
     # the joined rows would stand for the whole table at five times as many with each column
     plan = coded._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD [a#") <= 2 + 4 * 3
+
+
+def test_label_fit_counts_labels_once(spark):
+    df = spark.createDataFrame([(str(i % 3), str(i % 4), i) for i in range(60)], "a string, b string, y int")
+    model = M.fit_label_encoded(df, df, ["a", "b"], [], "y", B.BoostParams(rounds=1))
+    assert {c: {r[c]: r._rows for r in t.collect()} for c, t in model.counts.items()} == {
+        "a": {str(i): 20 for i in range(3)}, "b": {str(i): 15 for i in range(4)}}
+    # the rows to predict are read once; their labels are not counted again for each column
+    plan = O.label_encode(df, model.codes, counts=model.counts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [a#") <= 2 + 4 and O.label_encode(df, model.codes, counts=model.counts).count() == 60
