@@ -150,6 +150,14 @@ def test_label_codes_read_the_table_once_a_column(spark):
     assert plan.count("LogicalRDD [a#") <= 2 + 4 * 3
 
 
+def test_registered_price_model_has_the_source_rounds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M, "fit_price", lambda features, **given: seen.append(given.get("params", M.PRICE_PARAMS)) or ("model", "metrics"))
+    monkeypatch.setattr(C, "_FITS", {})
+    assert C._price_model(spark, SF_SMALL) == ("model", "metrics")
+    assert seen == [M.PRICE_PARAMS] and seen[0] in M.grid_settings() and seen[0].rounds in K.PRICE_GRID["rounds"]
+
+
 def test_label_fit_counts_labels_once(spark):
     df = spark.createDataFrame([(str(i % 3), str(i % 4), i) for i in range(60)], "a string, b string, y int")
     model = M.fit_label_encoded(df, df, ["a", "b"], [], "y", B.BoostParams(rounds=1))
